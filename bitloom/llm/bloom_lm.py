@@ -38,7 +38,7 @@ _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 @dataclass(frozen=True)
 class Params:
     base: float = 1.5
-    kappa: float = 4.0
+    kappa: float = 300.0
     bits_per_entry: float = 9.6
     hashes: int = 6
     max_bytes: int = 192 << 20
