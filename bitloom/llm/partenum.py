@@ -13,10 +13,11 @@ well). ``n1``, ``n2``, ``k2`` of each band are searched for the fewest signature
 
 The plan: equal sets fall into classes by a 128-bit hash (summed map-side; a class's documents are never paired).
 Signatures, once per class and task, are dealt out by hash and sorted; a streaming pass links every member of a
-signature to its first, so rows stay linear in members. Distinct links are verified on the documents' whole texts,
-and verified links are contracted to components. Where a verified failure leaves a signature's members in different
-components, the signatures concerned are issued once more and their remaining pairs across components are verified
-as well: no link is lost, and nothing is capped.
+signature to its first, so rows stay linear in members, and notes the members of signatures that three or more share.
+Distinct links are tested: first by the sets' parity sketches (two sets differ in at least as many shingles as their
+sketches differ in bits, so a sketch only ever rejects pairs that are too far apart), then on the documents' whole
+texts. Linked pairs are contracted to components. Where a signature's members still lie in different components, their
+remaining pairs across components are tested as well: no link is lost, and nothing is capped.
 
 Defined results: null text, or text without words, is the empty set, linked with nothing; fewer than five words are one
 shingle; rows without doc_id take no part in links and have no component; rows of one doc_id are one document for
@@ -41,7 +42,6 @@ from bitloom.llm.shared import slots, written
 
 #: Hashings of the domain a set tries before it issues signatures of empty choices as well.
 TURNS = 24
-BROADCAST_KEYS = 1_000_000
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -202,21 +202,43 @@ def signatures(h: np.ndarray, count: np.ndarray, p: Params) -> tuple[np.ndarray,
     return cat(out, np.uint64), cat(rows, np.int64)
 
 
+def sketches(h: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set: bit i is the parity of its shingles that hash to i; 4 bits a shingle or more.
+
+    Sizes are powers of two, and a longer sketch folds to a shorter by XOR of its halves."""
+    size = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(count, 1) / 16)).astype(np.int64))
+    start = np.cumsum(size) - size
+    at = (K.mix(h + _SALT * np.uint64(5)) & (np.repeat(size, count) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(start, count)
+    bits = np.packbits((np.bincount(at, minlength=int(size.sum())) & 1).astype(bool), bitorder="little").tobytes()
+    return [bits[a // 8 : (a + n) // 8] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two parity sketches differ: at most the number of shingles in just one of the sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 of every row."""
+    """doc_id, n_shingles, h1, h2, sketch of every row."""
 
     def run(batches):
         for batch in batches:
             for part in K.chunks(batch, "text"):
                 h, count = shingle_sets(*K.text_buffers(part.column("text")), p.words)
                 a, b = set_hashes(h, count)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n_shingles", "h1", "h2"])
+                columns = [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sketches(h, count), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
-def _signed(docs: DataFrame, p: Params, only=None) -> DataFrame:
-    """(sig, doc) of every set, once for equal sets of a task. only: a broadcast of sorted keys to keep."""
+def _signed(docs: DataFrame, p: Params) -> DataFrame:
+    """(sig, doc) of every set, once for equal sets of a task."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -230,57 +252,74 @@ def _signed(docs: DataFrame, p: Params, only=None) -> DataFrame:
                     if count[i] and key not in seen:
                         seen.add(key)
                         new[i] = True
-                keep = np.repeat(new, count)
-                count = count * new
-                sig, row = signatures(h[keep], count, p)
-                if only is not None:
-                    keys = only.value
-                    key = sig >> np.uint64(1)
-                    hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
-                    sig, row = sig[hit], row[hit]
+                sig, row = signatures(h[np.repeat(new, count)], count * new, p)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row].astype(np.int64))], names=["sig", "doc"])
 
     return docs.where("doc_id is not null").mapInArrow(run, "sig long, doc long")
 
 
-def _first_links(signed: DataFrame) -> DataFrame:
-    """(a, b): each member of a signature with its first member of the upper band; linear, streaming."""
+def _runs(signed: DataFrame) -> DataFrame:
+    """(key, a, b), written. key 0: a link of a signature's member with its first member of the upper band. Other keys:
+    member a, of the lower band if b is 1, of a signature with three members or more. Linear, streaming."""
 
     def run(batches):
-        key_, hub_, high_ = None, 0, False
+        sig_, doc_ = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the last run, while it is short
+        long_, hub_, high_ = None, 0, False  # its key, if it is long; its first member
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = batch.column("sig").to_numpy().view(np.uint64)
-            doc = batch.column("doc").to_numpy()
+            carried = len(sig_)
+            sig = np.concatenate((sig_, batch.column("sig").to_numpy().view(np.uint64)))
+            doc = np.concatenate((doc_, batch.column("doc").to_numpy()))
             key = sig >> np.uint64(1)
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
             hub, high = doc[first].copy(), (sig[first] & np.uint64(1)) == 0
-            if key_ is not None and key[0] == key_:
+            goes_on = long_ is not None and key[0] == long_
+            if goes_on:
                 hub[0], high[0] = hub_, high_
-            size = np.diff(np.append(first, len(key)))
-            key_, hub_, high_ = key[-1], hub[-1], high[-1]
-            hubs, ok = np.repeat(hub, size), np.repeat(high, size)
-            ok &= hubs != doc
+            many = size >= 3
+            many[0] |= goes_on
+            long_, hub_, high_ = (key[-1], hub[-1], high[-1]) if many[-1] else (None, 0, False)
+            sig_, doc_ = (sig[:0], doc[:0]) if many[-1] else (sig[first[-1] :], doc[first[-1] :])
+            hubs = np.repeat(hub, size)
+            ok = np.repeat(high, size) & (hubs != doc)
+            ok[:carried] &= carried < 2  # those were linked before
             pair = np.stack((np.minimum(hubs[ok], doc[ok]), np.maximum(hubs[ok], doc[ok])), 1)
             if len(pair):
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
                 pair = pair[np.concatenate(([True], (pair[1:] != pair[:-1]).any(1)))]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            member = np.repeat(many & high, size)
+            keys = np.concatenate((np.zeros(len(pair), np.int64), key[member].astype(np.int64)))
+            a = np.concatenate((pair[:, 0], doc[member]))
+            b = np.concatenate((pair[:, 1], (sig[member] & np.uint64(1)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
     dealt = signed.repartition(slots(signed.sparkSession), F.shiftright("sig", 1)).sortWithinPartitions("sig", "doc")
-    return dealt.mapInArrow(run, "a long, b long")
+    return written(dealt.mapInArrow(run, "key long, a long, b long"), "runs")
+
 
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, written."""
+    ends = lambda x: x.select(F.col("a").alias("__e")).unionByName(x.select(F.col("b").alias("__e"))).distinct()
+    some = sets.where("doc_id is not null").join(ends(pairs), F.col("doc_id") == F.col("__e"), "left_semi")
+    some = written(some.groupBy("doc_id", "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "sketches")
+    side = lambda x, end: x.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("s").alias(f"s{end}"))
+    both = pairs.join(side(some, "a"), "a").join(side(some, "b"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """(a, b, linked, keys): keys are the signatures that a failing pair shares."""
-    ends = pairs.select(F.col("a").alias("__e")).unionByName(pairs.select(F.col("b").alias("__e"))).distinct()
-    texts = docs.where("doc_id is not null").join(ends, F.col("doc_id") == F.col("__e"), "left_semi").select(F.col("doc_id").alias("__d"), F.col("text").alias("__t"))
-    texts = texts.groupBy("__d", F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t")).select("__d", "__t")
-    texts = written(texts, "texts")
+    def near(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            far = np.array([sketch_distance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            ok = (p.den + p.num) * np.maximum(far, np.abs(na - nb)) <= (p.den - p.num) * (na + nb)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = written(both.mapInArrow(near, "a long, b long").distinct(), "near")
+    texts = docs.where("doc_id is not null").join(ends(pairs), F.col("doc_id") == F.col("__e"), "left_semi").select(F.col("doc_id").alias("__d"), F.col("text").alias("__t"))
+    texts = written(texts.groupBy("__d", F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t")).select("__d", "__t"), "texts")
     both = pairs.join(texts.select(F.col("__d").alias("a"), F.col("__t").alias("ta")), "a").join(texts.select(F.col("__d").alias("b"), F.col("__t").alias("tb")), "b")
 
-    def run(batches):
+    def exact(batches):
         for batch in batches:
             for part in K.chunks(batch, "ta", K.CHUNK_BYTES // 2):
                 for q in K.chunks(part, "tb", K.CHUNK_BYTES // 2):
@@ -288,18 +327,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                     (ha, ca), (hb, cb) = (shingle_sets(*K.text_buffers(q.column(t)), p.words) for t in ("ta", "tb"))
                     mark = K.mix(np.arange(1, n + 1, dtype=np.uint64))
                     ra, rb = np.repeat(np.arange(n), ca), np.repeat(np.arange(n), cb)
-                    both_in = np.isin(K.mix(ha ^ mark[ra]), K.mix(hb ^ mark[rb]))
-                    inter = np.bincount(ra[both_in], minlength=n)
+                    inter = np.bincount(ra[np.isin(K.mix(ha ^ mark[ra]), K.mix(hb ^ mark[rb]))], minlength=n)
                     ok = (p.den * inter >= p.num * (ca + cb - inter)) & (ca > 0) & (cb > 0)
-                    keys = [[] for _ in range(n)]
-                    if not ok.all():
-                        bad = ~ok
-                        (sa, wa), (sb, wb) = (signatures(h[np.repeat(bad, c)], c * bad, p) for h, c in ((ha, ca), (hb, cb)))
-                        for i in np.flatnonzero(bad):
-                            keys[i] = np.intersect1d(sa[wa == i] >> np.uint64(1), sb[wb == i] >> np.uint64(1)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([q.column("a"), q.column("b"), pa.array(ok), pa.array(keys, pa.list_(pa.int64()))], names=["a", "b", "linked", "keys"])
+                    yield q.select(["a", "b"]).filter(pa.array(ok))
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, keys array<long>"), "verified")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "linked")
 
 
 def _mapped(pairs: DataFrame, to: DataFrame) -> DataFrame:
@@ -309,31 +341,17 @@ def _mapped(pairs: DataFrame, to: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _rest(docs: DataFrame, tested: DataFrame, comps: DataFrame, copies: DataFrame, p: Params) -> DataFrame | None:
-    """The untested pairs across components of the signatures that a failed link leaves divided, verified."""
-    spark = docs.sparkSession
-    of = lambda end: comps.select(F.col("node").alias(f"__n{end}"), F.col("comp").alias(f"__c{end}"))
-    failed = tested.where("not linked").join(of("a"), F.col("a") == F.col("__na"), "left").join(of("b"), F.col("b") == F.col("__nb"), "left")
-    failed = failed.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b"))
-    keys = written(failed.select(F.explode("keys").alias("key")).distinct(), "keys")
-    n = keys.count()
-    if not n:
-        return None
-    only = None
-    if n <= BROADCAST_KEYS:  # 8 MB at most; beyond, all signatures are issued and the join picks
-        only = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in keys.collect()], np.int64).view(np.uint64)))
-    rows = _signed(docs, p, only).select(F.shiftrightunsigned("sig", 1).alias("key"), F.col("sig").bitwiseAND(F.lit(1)).alias("lower"), F.col("doc"))
-    rows = rows.join(keys.select(F.col("key").alias("__k")), F.col("key") == F.col("__k"), "left_semi")
+def _rest(members: DataFrame, tested: DataFrame, comps: DataFrame, copies: DataFrame) -> DataFrame:
+    """The untested pairs across components of the signatures that the links so far leave divided."""
+    rows = members.select("key", F.col("b").alias("lower"), F.col("a").alias("doc"))
     rows = rows.join(copies, F.col("doc") == F.col("__n"), "left").select("key", "lower", F.coalesce("__to", "doc").alias("doc"))
-    rows = rows.join(of(""), F.col("doc") == F.col("__n"), "left").select("key", "lower", "doc", F.coalesce("__c", "doc").alias("comp"))
-    rows = written(rows.distinct(), "divided")
+    rows = rows.join(comps.select(F.col("node").alias("__n"), F.col("comp").alias("__c")), F.col("doc") == F.col("__n"), "left").select("key", "lower", "doc", F.coalesce("__c", "doc").alias("comp"))
     divided = rows.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo <> __hi").select(F.col("key").alias("__k"))
-    rows = written(rows.join(divided, F.col("key") == F.col("__k"), "left_semi"), "divided2")
+    rows = written(rows.join(written(divided, "divided"), F.col("key") == F.col("__k"), "left_semi").distinct(), "members")
     other = rows.select(F.col("key").alias("__k"), F.col("lower").alias("__l"), F.col("doc").alias("__d"), F.col("comp").alias("__c"))
     pairs = rows.join(other, (F.col("key") == F.col("__k")) & (F.col("comp") < F.col("__c")) & (F.col("lower") + F.col("__l") < 2))
     pairs = pairs.select(F.least("doc", "__d").alias("a"), F.greatest("doc", "__d").alias("b")).distinct()
-    pairs = written(pairs.join(tested.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "pairs2")
-    return None if pairs.isEmpty() else _verified(pairs, docs, p)
+    return written(pairs.join(tested.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "rest")
 
 
 def join(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -346,12 +364,12 @@ def join(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, D
     classes = written(classes.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("__rep").alias("__to")), "classes")
     copies = named.join(classes, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).where("doc_id <> __to").select(F.col("doc_id").alias("__n"), "__to")
     copies = written(copies.groupBy("__n").agg(F.min("__to").alias("__to")), "copies")
-    pairs = written(_mapped(_first_links(_signed(docs, p)).distinct(), copies), "pairs")
-    tested = _verified(pairs, docs, p)
-    links = tested.where("linked").select("a", "b")
-    more = _rest(docs, tested, components(links), copies, p)
-    if more is not None:
-        links = links.unionByName(more.where("linked").select("a", "b"))
+    runs = _runs(_signed(docs, p))
+    pairs = written(_mapped(runs.where("key = 0").select("a", "b").distinct(), copies), "pairs")
+    links = _linked(pairs, docs, sets, p)
+    rest = _rest(runs.where("key <> 0"), pairs, components(links), copies)
+    if not rest.isEmpty():
+        links = links.unionByName(_linked(rest, docs, sets, p))
     return sets, copies, links
 
 
