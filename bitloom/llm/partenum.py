@@ -16,8 +16,10 @@ Signatures, once per class and task, are dealt out by hash and sorted; a streami
 signature to its first, so rows stay linear in members, and notes the members of signatures that three or more share.
 Distinct links are tested: first by the sets' parity sketches (two sets differ in at least as many shingles as their
 sketches differ in bits, so a sketch only ever rejects pairs that are too far apart), then on the documents' whole
-texts. Linked pairs are contracted to components. Where a signature's members still lie in different components, their
-remaining pairs across components are tested as well: no link is lost, and nothing is capped.
+texts. Linked pairs are contracted to components. Where a signature's members still lie in different components, all their pairs across
+components are compared by sketch within the task (in blocks of ``BLOCK`` members, a task a pair of blocks, so no
+signature is one task's); only pairs that the sketches leave become rows, and are tested as before: no link is lost,
+and nothing is capped.
 
 Defined results: null text, or text without words, is the empty set, linked with nothing; fewer than five words are one
 shingle; rows without doc_id take no part in links and have no component; rows of one doc_id are one document for
@@ -42,6 +44,8 @@ from bitloom.llm.shared import slots, written
 
 #: Hashings of the domain a set tries before it issues signatures of empty choices as well.
 TURNS = 24
+#: Members of a signature that one task compares with each other or with as many others.
+BLOCK = 1024
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -203,24 +207,54 @@ def signatures(h: np.ndarray, count: np.ndarray, p: Params) -> tuple[np.ndarray,
 
 
 def sketches(h: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """A parity sketch of each set: bit i is the parity of its shingles that hash to i; 4 bits a shingle or more.
+    """A parity sketch of each set: bit i is the parity of its shingles that hash to i; 2 bits a shingle or more.
 
     Sizes are powers of two, and a longer sketch folds to a shorter by XOR of its halves."""
-    size = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(count, 1) / 16)).astype(np.int64))
+    size = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(count, 1) / 32)).astype(np.int64))
     start = np.cumsum(size) - size
-    at = (K.mix(h + _SALT * np.uint64(5)) & (np.repeat(size, count) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(start, count)
+    at = (K.mix(h ^ K._M2) & (np.repeat(size, count) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(start, count)
     bits = np.packbits((np.bincount(at, minlength=int(size.sum())) & 1).astype(bool), bitorder="little").tobytes()
     return [bits[a // 8 : (a + n) // 8] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch as so many 64-bit words."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """Bits in which two parity sketches differ: at most the number of shingles in just one of the sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+def near_pairs(doc: np.ndarray, comp: np.ndarray, lower: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[bytes], p: Params) -> np.ndarray:
+    """The pairs (doc, doc) of different components, not both lower, that size and sketch don't rule out.
+
+    With two blocks, pairs within a block are left to others. The largest component is only compared with the rest."""
+    words = min(map(len, sketch)) // 8
+    x = np.stack([folded(s, words) for s in sketch])
+    names, size = np.unique(comp, return_counts=True)
+    two = block.min() != block.max()
+    out = []
+    rows = np.flatnonzero(comp != names[size.argmax()])
+    step = max(1, (1 << 22) // (len(doc) * words))
+    for at in range(0, len(rows), step):
+        i = rows[at : at + step, None]
+        ok = (comp[i] != comp) & (lower[i] + lower < 2)
+        if two:
+            ok &= block[i] != block
+        both = n[i] + n
+        ok &= (p.den + p.num) * np.abs(n[i] - n) <= (p.den - p.num) * both
+        r, c = np.nonzero(ok)
+        far = np.concatenate([np.bitwise_count(x[i[r[k : k + (1 << 16)], 0]] ^ x[c[k : k + (1 << 16)]]).sum(1, dtype=np.int64) for k in range(0, len(r), 1 << 16)] or [np.zeros(0, np.int64)])
+        good = (p.den + p.num) * far <= (p.den - p.num) * both[r, c]
+        a, b = doc[i[r[good], 0]], doc[c[good]]
+        out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def _sets(docs: DataFrame, p: Params) -> DataFrame:
@@ -341,16 +375,55 @@ def _mapped(pairs: DataFrame, to: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _rest(members: DataFrame, tested: DataFrame, comps: DataFrame, copies: DataFrame) -> DataFrame:
-    """The untested pairs across components of the signatures that the links so far leave divided."""
+def _rest(members: DataFrame, tested: DataFrame, comps: DataFrame, copies: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The untested pairs across components of the signatures that the links so far leave divided, as sketches allow."""
+    spark = members.sparkSession
     rows = members.select("key", F.col("b").alias("lower"), F.col("a").alias("doc"))
     rows = rows.join(copies, F.col("doc") == F.col("__n"), "left").select("key", "lower", F.coalesce("__to", "doc").alias("doc"))
     rows = rows.join(comps.select(F.col("node").alias("__n"), F.col("comp").alias("__c")), F.col("doc") == F.col("__n"), "left").select("key", "lower", "doc", F.coalesce("__c", "doc").alias("comp"))
-    divided = rows.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo <> __hi").select(F.col("key").alias("__k"))
-    rows = written(rows.join(written(divided, "divided"), F.col("key") == F.col("__k"), "left_semi").distinct(), "members")
-    other = rows.select(F.col("key").alias("__k"), F.col("lower").alias("__l"), F.col("doc").alias("__d"), F.col("comp").alias("__c"))
-    pairs = rows.join(other, (F.col("key") == F.col("__k")) & (F.col("comp") < F.col("__c")) & (F.col("lower") + F.col("__l") < 2))
-    pairs = pairs.select(F.least("doc", "__d").alias("a"), F.greatest("doc", "__d").alias("b")).distinct()
+    divided = rows.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.count(F.lit(1)).alias("__m")).where("__lo <> __hi")
+    divided = written(divided.select(F.col("key").alias("__k"), F.ceil(F.col("__m") / BLOCK).cast("int").alias("__cuts")), "divided")
+    rows = rows.join(divided, F.col("key") == F.col("__k")).select("key", "lower", "doc", "comp", "__cuts").distinct()
+    ends = written(rows, "members")
+    some = sets.where("doc_id is not null").join(ends.select(F.col("doc").alias("__e")).distinct(), F.col("doc_id") == F.col("__e"), "left_semi")
+    some = some.groupBy("doc_id", "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
+    rows = ends.join(some.select(F.col("doc_id").alias("__d"), "n", "s"), F.col("doc") == F.col("__d"))
+    own = F.pmod(F.xxhash64("doc"), F.col("__cuts")).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "comp", "lower", "block", "n", "s")
+
+    def run(batches):
+        held: list[pa.Table] = []
+        now = None
+
+        def close():
+            t = pa.concat_tables(held).combine_chunks()
+            held.clear()
+            col = lambda c: t.column(c).to_numpy()
+            if t.num_rows < 2 or now[1] != now[2] and len(set(col("block").tolist())) < 2:
+                return None
+            got = near_pairs(col("doc"), col("comp"), col("lower"), col("block"), col("n"), t.column("s").to_pylist(), p)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            cut = np.concatenate(([0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], 0)) + 1, [batch.num_rows]))
+            table = pa.Table.from_batches([batch])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                name = tuple(int(x[a]) for x in at)
+                if now is not None and name != now and (out := close()) is not None:
+                    yield out
+                elif name != now:
+                    held.clear()
+                now = name
+                held.append(table.slice(a, b - a))
+        if held and (out := close()) is not None:
+            yield out
+
+    dealt = rows.repartition(slots(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(run, "a long, b long").distinct()
     return written(pairs.join(tested.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "rest")
 
 
@@ -367,7 +440,7 @@ def join(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, D
     runs = _runs(_signed(docs, p))
     pairs = written(_mapped(runs.where("key = 0").select("a", "b").distinct(), copies), "pairs")
     links = _linked(pairs, docs, sets, p)
-    rest = _rest(runs.where("key <> 0"), pairs, components(links), copies)
+    rest = _rest(runs.where("key <> 0"), pairs, components(links), copies, sets, p)
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, docs, sets, p))
     return sets, copies, links
