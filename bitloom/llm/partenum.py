@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm.components import components
+from bitloom.llm.semi import only, without
 from bitloom.llm.shared import slots, written
 
 #: Hashings of the domain a set tries before it issues signatures of empty choices as well.
@@ -336,7 +337,7 @@ def _runs(signed: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, written."""
     ends = lambda x: x.select(F.col("a").alias("__e")).unionByName(x.select(F.col("b").alias("__e"))).distinct()
-    some = sets.where("doc_id is not null").join(ends(pairs), F.col("doc_id") == F.col("__e"), "left_semi")
+    some = only(sets, "doc_id", written(ends(pairs), "ends"), "__e")
     some = written(some.groupBy("doc_id", "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s")), "sketches")
     side = lambda x, end: x.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("s").alias(f"s{end}"))
     both = pairs.join(side(some, "a"), "a").join(side(some, "b"), "b").select("a", "b", "na", "nb", "sa", "sb")
@@ -349,7 +350,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = written(both.mapInArrow(near, "a long, b long").distinct(), "near")
-    texts = docs.where("doc_id is not null").join(ends(pairs), F.col("doc_id") == F.col("__e"), "left_semi").select(F.col("doc_id").alias("__d"), F.col("text").alias("__t"))
+    texts = only(docs, "doc_id", written(ends(pairs), "ends"), "__e").select(F.col("doc_id").alias("__d"), F.col("text").alias("__t"))
     texts = written(texts.groupBy("__d", F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t")).select("__d", "__t"), "texts")
     both = pairs.join(texts.select(F.col("__d").alias("a"), F.col("__t").alias("ta")), "a").join(texts.select(F.col("__d").alias("b"), F.col("__t").alias("tb")), "b")
 
@@ -385,7 +386,7 @@ def _rest(members: DataFrame, tested: DataFrame, comps: DataFrame, copies: DataF
     divided = written(divided.select(F.col("key").alias("__k"), F.ceil(F.col("__m") / BLOCK).cast("int").alias("__cuts")), "divided")
     rows = rows.join(divided, F.col("key") == F.col("__k")).select("key", "lower", "doc", "comp", "__cuts").distinct()
     ends = written(rows, "members")
-    some = sets.where("doc_id is not null").join(ends.select(F.col("doc").alias("__e")).distinct(), F.col("doc_id") == F.col("__e"), "left_semi")
+    some = only(sets, "doc_id", written(ends.select(F.col("doc").alias("__e")).distinct(), "ends"), "__e")
     some = some.groupBy("doc_id", "h1", "h2").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
     rows = ends.join(some.select(F.col("doc_id").alias("__d"), "n", "s"), F.col("doc") == F.col("__d"))
     own = F.pmod(F.xxhash64("doc"), F.col("__cuts")).cast("int")
@@ -457,6 +458,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def keep_first(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One document of each component (the smallest doc_id), with all its columns; rows without doc_id stay."""
-    comps = near_duplicates(docs, p).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(written(comps, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    # Written once: the components are wanted for the documents that go, and the ids for those that come twice.
+    found = written(near_duplicates(docs, p).where("doc_id is not null"), "components")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    kept = without(docs, "doc_id", gone, "__gone")
+    twice = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"), "twice")
+    if twice.isEmpty():
+        return kept
+    return without(kept, "doc_id", twice, "__twice").unionByName(only(kept, "doc_id", twice, "__twice").dropDuplicates(["doc_id"]))
