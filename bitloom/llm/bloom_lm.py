@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ class Params:
     hashes: int = 6
     max_bytes: int = 192 << 20
     head: int = 200_000
-    flush: int = 2_000_000
+    flush: int = 1_500_000
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +97,12 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, p: Params) -> bytes:
 class Filter:
     """Segments ``first`` to ``last`` of the filter."""
 
-    def __init__(self, segments: list[tuple[int, bytes]], hashes: int):
+    def __init__(self, sizes: np.ndarray, body: bytes, hashes: int):
+        """sizes: bytes of each segment (0 where it isn't here); body: the segments in order."""
         self.hashes = hashes
-        size = np.zeros(1 << SEGMENT_BITS, np.int64)
-        for s, body in segments:
-            size[s] = len(body)
-        self.start = np.cumsum(size) - size
-        self.bits = (8 * size).astype(np.uint64)
-        self.table = np.frombuffer(b"".join(body for _, body in sorted(segments)), np.uint8)
+        self.start = np.cumsum(sizes) - sizes
+        self.bits = (8 * sizes).astype(np.uint64)
+        self.table = np.frombuffer(body, np.uint8)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """The last level present without a gap; 0 for absent n-grams and segments that aren't here."""
@@ -235,15 +234,17 @@ def score(docs: DataFrame, train: Column, p: Params = Params()) -> DataFrame:
     groups = _groups(bloom, p)
 
     def load(group):
-        rows = bloom.where(F.col("segment").isin(group) if len(groups) > 1 else F.lit(True)).toArrow()
-        return spark.sparkContext.broadcast([(s, b.as_py()) for s, b in zip(rows.column("segment").to_pylist(), rows.column("body"), strict=True)])
+        rows = bloom.where(F.col("segment").isin(group) if len(groups) > 1 else F.lit(True)).orderBy("segment").toArrow()
+        sizes = np.zeros(1 << SEGMENT_BITS, np.int64)
+        sizes[rows.column("segment").to_numpy()] = pc.binary_length(rows.column("body")).to_numpy()
+        return spark.sparkContext.broadcast((sizes, b"".join(b.as_py() for b in rows.column("body"))))
 
     made: dict[int, Filter] = {}
 
     def lookup(sent, distinct):
         if id(sent) not in made:
             made.clear()
-            made[id(sent)] = Filter(sent.value, p.hashes)
+            made[id(sent)] = Filter(*sent.value, p.hashes)
         return made[id(sent)].levels(distinct)
 
     for group in groups[:-1]:  # a filter beyond max_bytes: levels travel with the text from pass to pass
