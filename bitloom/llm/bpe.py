@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from bitloom.llm import kernels as K
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE_ENTRIES, CACHE_BYTES = 400_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 64
+CHUNK_BYTES = 3 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -74,8 +75,8 @@ def character_classes() -> bytes:
     return out.tobytes()
 
 
-def pretokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the pre-tokens; ``cuts`` are further byte positions where texts end and begin.
+def pretokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the pre-tokens, and whether each is white space; ``cuts`` are further byte positions where texts end and begin.
 
     Runs of letters, numbers or others, each with the one blank before it; white space otherwise, of which the last
     character before a run stands apart; and 's 't 're 've 'm 'll 'd where a lone apostrophe starts a token."""
@@ -83,7 +84,7 @@ def pretokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray, cuts: np.nd
     n = len(cp)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z
+        return z, z, z.astype(bool)
     heads = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
     kind = classes[cp]
     edge = np.zeros(n + 1, bool)
@@ -110,7 +111,8 @@ def pretokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray, cuts: np.nd
         begin[lone[one] + 2] = True
         begin[lone[two] + 3] = True
     at = np.flatnonzero(begin[:n])
-    return heads[at], heads[np.append(at[1:], n)]
+    to = np.append(at[1:], n)
+    return heads[at], heads[to], kind[to - 1] == SPACE
 
 
 def gather_lists(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +124,32 @@ def gather_lists(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: n
 
 
 class Splitter:
-    """Pre-tokens of a chunk, encoded by ``encode(list of byte strings) -> list of id arrays``, distinct ones once."""
+    """Pre-tokens of a chunk, encoded by ``encode``, distinct ones once, with a cache of bounded size in arrays.
+
+    ``encode(buf, starts, ends, blank)`` gives the ids of the byte segments, one after another, and their counts."""
 
     def __init__(self, classes: bytes, added: dict[str, int], encode):
         self.classes = np.frombuffer(classes, np.uint8)
         self.added = {k.encode(): v for k, v in added.items()}
         self.marks = re.compile(b"|".join(re.escape(k) for k in sorted(self.added, key=len, reverse=True))) if added else None
         self.encode = encode
-        self.cache: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the added tokens are known, under keys of their own."""
+        ids = np.sort(np.array(sorted(set(self.added.values())), np.uint64))
+        self.keys, self.flat = ids | np.uint64(1 << 63), ids.astype(np.uint32)
+        self.start, self.size = np.arange(len(ids)), np.ones(len(ids), np.int64)
 
-    def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, the offsets of each text's ids, and the (possibly repaired) offsets' bytes."""
+    def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the offsets of each text's."""
         buf, off = K.clean(buf, off)
         raw = buf.tobytes()
         marks = []
         if self.marks and any(k in raw for k in self.added):
             for i in range(len(off) - 1):
                 marks += [(m.start() + off[i], m.end() + off[i], self.added[m[0]]) for m in self.marks.finditer(raw[off[i] : off[i + 1]])]
-        starts, ends = pretokens(buf, off, self.classes, np.array([x for m in marks for x in m[:2]], np.int64))
+        starts, ends, blank = pretokens(buf, off, self.classes, np.array([x for m in marks for x in m[:2]], np.int64))
         if marks:  # pre-tokens inside an added token fall together into one
             first = np.searchsorted(starts, [m[0] for m in marks])
             last = np.searchsorted(starts, [m[1] for m in marks])
@@ -148,28 +158,34 @@ class Splitter:
                 alive[a + 1 : b] = False
                 ends[a] = to
             place = (np.cumsum(alive) - 1)[first]
-            starts, ends = starts[alive], ends[alive]
-        key = K.segment_hash(buf, starts, ends)
+            starts, ends, blank = starts[alive], ends[alive], blank[alive]
+        key = K.segment_hash(buf, starts, ends) & ~np.uint64(1 << 63)
         if marks:
-            key[place] = np.array([m[2] for m in marks], np.uint64) | np.uint64(1 << 63)  # never looked up as text
-            self.cache |= {int(v | (1 << 63)): np.array([v], np.uint32) for v in self.added.values()}
+            key[place] = np.array([m[2] for m in marks], np.uint64) | np.uint64(1 << 63)
         distinct, where, which = np.unique(key, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        got = [self.cache.get(k) for k in keys]
-        missing = [i for i, g in enumerate(got) if g is None]
-        if missing:
-            pieces = [raw[starts[where[i]] : ends[where[i]]] for i in missing]
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
-            for i, piece, ids in zip(missing, pieces, self.encode(pieces), strict=True):
-                got[i] = ids
-                if len(piece) <= CACHE_BYTES:
-                    self.cache[keys[i]] = ids
-        size = np.array([len(g) for g in got], np.int64)
-        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
-        ids, count = gather_lists(flat, np.cumsum(size) - size, size, which)
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        start, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        start[hit], size[hit] = self.start[at[hit]], self.size[at[hit]]
+        flat, new = self.flat, np.flatnonzero(~hit)
+        if len(new):
+            got = where[new]
+            ids, size[new] = self.encode(buf, starts[got], ends[got], blank[got])
+            start[new] = np.cumsum(size[new]) - size[new] + len(flat)
+            flat = np.concatenate((flat, ids))
+        ids, count = gather_lists(flat, start, size, which)
+        short = new[ends[where[new]] - starts[where[new]] <= CACHE_BYTES]
+        if len(self.keys) + len(short) > CACHE_ENTRIES:
+            self._forget()
+        elif len(short):
+            kept, _ = gather_lists(flat, start, size, short)
+            keys = np.concatenate((self.keys, distinct[short]))
+            order = np.argsort(keys, kind="stable")
+            sizes = np.concatenate((self.size, size[short]))
+            begins = np.concatenate((self.start, np.cumsum(size[short]) - size[short] + len(self.flat)))
+            self.keys, self.size, self.start, self.flat = keys[order], sizes[order], begins[order], np.concatenate((self.flat, kept))
         running = np.concatenate(([0], np.cumsum(count)))
-        return ids, running[np.searchsorted(starts, off)], off
+        return ids, running[np.searchsorted(starts, off)]
 
 
 class Codec:
@@ -207,26 +223,34 @@ class Codec:
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.fragments: dict[bytes, list[int]] = {}
-        self.split = Splitter(classes, added, lambda pieces: [self.encode_pretoken(x) for x in pieces])
-
-    def cut(self, piece: bytes) -> list[bytes]:
-        """The fragments between forced boundaries."""
-        x = np.frombuffer(piece, np.uint8)
-        at = [0, *(np.flatnonzero(~self.within[x[:-1], x[1:]]) + 1).tolist(), len(piece)]
-        return [piece[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def encode_pretoken(self, piece: bytes) -> np.ndarray:
+        self.split = Splitter(classes, added, self.encode_pretokens)
+
+    def encode_pretokens(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens: cut all at the forced boundaries, encode fragment by fragment, concatenate."""
+        size = ends - starts
+        flat, _ = gather_lists(buf, starts, size, np.arange(len(size)))
+        opens = np.cumsum(size) - size
+        edge = np.ones(len(flat), bool)
+        edge[1:] = ~self.within[flat[:-1], flat[1:]]
+        edge[opens[size > 0]] = True
+        cuts = np.flatnonzero(edge)
+        raw, known = flat.tobytes(), self.fragments
         out: list[int] = []
-        for fragment in self.cut(piece):
-            ids = self.fragments.get(fragment)
+        counts = np.zeros(len(cuts), np.int64)
+        for i, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(raw)], strict=True)):
+            fragment = raw[a:b]
+            ids = known.get(fragment)
             if ids is None:
                 ids = self.merge(fragment)
                 if len(fragment) <= CACHE_BYTES:
-                    if len(self.fragments) > CACHE_ENTRIES:
-                        self.fragments.clear()
-                    self.fragments[fragment] = ids
+                    if len(known) > CACHE_ENTRIES:
+                        known.clear()
+                    known[fragment] = ids
             out += ids
-        return np.array(out, np.uint32)
+            counts[i] = len(ids)
+        running = np.concatenate(([0], np.cumsum(counts)))
+        bounds = running[np.searchsorted(cuts, np.append(opens, len(flat)))]
+        return np.array(out, np.uint32), np.diff(bounds)
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: always the lowest-rank pair first, the leftmost of equals."""
@@ -301,8 +325,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         c = codec(*shared.value)
         for batch in batches:
             view, done = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text)).cast(pa.string())], names=["t"]), 0
-            for part in K.chunks(view, "t"):
-                ids, at, _ = c.split(*K.text_buffers(part.column("t")))
+            for part in K.chunks(view, "t", CHUNK_BYTES):
+                ids, at = c.split(*K.text_buffers(part.column("t")))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 back = pa.array([c.decode(ids[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
                 body = batch.slice(done, part.num_rows)
@@ -319,8 +343,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(*shared.value)
         for batch in batches:
-            for part in K.chunks(batch, "text"):
-                ids, at, _ = c.split(*K.text_buffers(part.column("text")))
+            for part in K.chunks(batch, "text", CHUNK_BYTES):
+                ids, at = c.split(*K.text_buffers(part.column("text")))
                 ids = ids.astype("<u4")
                 rows = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -215,8 +215,34 @@ def library_splitter(text: str, classes: bytes) -> bpe.Splitter:
         tokenizer.no_padding()
         added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-        def encode(pieces: list[bytes]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        line = tokenizer.encode("\n", add_special_tokens=False).ids
+
+        def encode(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pre-tokens that aren't white space go to the library as lines of one text: a line break before a
+            pre-token, with or without its leading blank, is a pre-token and a token of its own. The others go singly."""
+            sizes, parts = np.zeros(len(starts), np.int64), []
+            lines = np.flatnonzero(~blank) if len(line) == 1 else np.zeros(0, np.int64)
+            if len(lines):
+                size = ends[lines] - starts[lines]
+                to = np.cumsum(size + 1)
+                text = np.full(int(to[-1]), 10, np.uint8)
+                within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                text[within + np.repeat(to - size - 1, size)] = buf[within + np.repeat(starts[lines], size)]
+                ids = np.array(tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+                breaks = np.flatnonzero(ids == line[0])
+                if len(breaks) != len(lines):
+                    raise ValueError("the tokenizer doesn't keep line breaks apart")
+                sizes[lines] = np.diff(np.concatenate(([-1], breaks))) - 1
+                parts.append(ids[ids != line[0]])
+            rest = np.flatnonzero(sizes == 0)
+            for i, e in zip(rest.tolist(), tokenizer.encode_batch_fast([buf[starts[i] : ends[i]].tobytes().decode() for i in rest], add_special_tokens=False), strict=True):
+                sizes[i] = len(e.ids)
+                parts.append(np.array(e.ids, np.uint32))
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            order = np.concatenate((lines, rest))
+            start = np.zeros(len(sizes), np.int64)
+            start[order] = np.cumsum(sizes[order]) - sizes[order]
+            return bpe.gather_lists(flat, start, sizes, np.arange(len(sizes)))
 
         _SPLITTERS[key] = bpe.Splitter(classes, added, encode)
     return _SPLITTERS[key]
@@ -245,8 +271,8 @@ def write(docs: DataFrame, p: Params = Params(), folder: str | None = None) -> D
             return row
 
         for batch in batches:
-            for chunk in K.chunks(batch, "text"):
-                x, at, _ = split(*K.text_buffers(chunk.column("text")))
+            for chunk in K.chunks(batch, "text", bpe.CHUNK_BYTES):
+                x, at = split(*K.text_buffers(chunk.column("text")))
                 ids.append(np.insert(x, at[1:], p.end_id).astype(np.uint32))
                 names.append(chunk.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 sizes.append(np.diff(at) + 1)
