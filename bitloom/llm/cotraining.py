@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
-from bitloom.llm.quality_rules import labelled
 
 META_BITS = 12
 
@@ -35,7 +34,7 @@ META_BITS = 12
 class Params:
     rows: int = 2000
     pool: int = 2000
-    chars: int = 7_000_000
+    chars: int = 2_500_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3, 4), words=(1,), bits=18, shape=True))
     l2: float = 1e-3
     meta_l2: float = 1e-2
@@ -120,13 +119,15 @@ def cotrain(text: L.Sparse, meta: L.Sparse, y: np.ndarray, p: Params) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     meta = [F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"), F.col("n_chars").cast("long").alias("__n")]
-    marks = labelled(labels, "quality")
+    marks = L.labelled(labels, "quality")
     carry = ["__source", "__lang", "__n", "__y"]
-    got = []
     base = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    for how, size, y in (("inner", p.rows, F.col("__y")), ("left_anti", p.pool, F.lit(-1.0).alias("__y"))):
-        rows = base.join(marks, F.col("doc_id") == F.col("__lid"), how)
-        got.append(L.gather(L.sample(rows, F.lit(True), size, p.chars, [*meta, y]), p.features, carry))
+    got = [L.gather(L.sample(base, marks, p.rows, p.chars, meta), p.features, carry)]
+    pool, rows = L.gather(L.sample(base, None, p.pool, p.chars, meta), p.features, carry)
+    drawn = docs.sparkSession.createDataFrame(rows[["__id"]], "__id long")
+    seen = set(marks.join(F.broadcast(drawn), F.col("__lid") == F.col("__id"), "left_semi").toPandas()["__lid"])  # of the pool's ids
+    free = ~rows["__id"].isin(seen).to_numpy(bool)
+    got.append((L.pick(pool, free), rows[free].assign(__y=-1.0)))
     (a, ra), (b, rb) = got
     text = L.Sparse(np.concatenate((a.rows, b.rows + a.n)), np.concatenate((a.idx, b.idx)), np.concatenate((a.val, b.val)), a.n + b.n)
     y = np.concatenate((ra["__y"], rb["__y"])).astype(int)

@@ -98,25 +98,30 @@ def margins(buf: np.ndarray, off: np.ndarray, spec: Features, weights: np.ndarra
     return out
 
 
-def sample(docs: DataFrame, keep: Column, rows: int, chars: int, carry: list[Column]) -> DataFrame:
-    """At most ``rows`` rows and ``chars`` characters of text, by hash of the id: a documented bound for fitting.
-
-    Columns: ``__id``, ``__text`` and those in ``carry``. Only the chosen ids (a bounded table) are broadcast.
-    """
-    base = docs.where(keep & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = base.select(F.col("doc_id").alias("__id"), F.length("text").alias("__len"), F.xxhash64(F.col("doc_id"), F.lit(11)).alias("__h"))
-    ids = ids.orderBy("__h", "__id").limit(rows)
-    chosen = ids.collect()
-    total, take = 0, set()
-    for r in chosen:
-        total += r["__len"]
-        if total > chars and take:
-            break
-        take.add(r["__id"])
+def labelled(labels: DataFrame, column: str) -> DataFrame:
+    """One row per id: ``__lid``, ``__y``; the largest of several labels holds."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("__lid"), F.col(column).cast("double").alias("__y"))
+    return rows.where("__lid is not null and __y is not null").groupBy("__lid").agg(F.max("__y").alias("__y"))
+
+
+def sample(docs: DataFrame, marks: DataFrame | None, rows: int, chars: int, carry: list[Column]) -> DataFrame:
+    """At most ``rows`` documents and ``chars`` characters of text, by hash of the id: a documented bound for fitting.
+
+    With marks (``__lid``, ``__y``) those documents are drawn, else any. Only the drawn ids, a bounded table, meet the
+    documents, by broadcast; of several texts of an id the one with the smallest hash is taken. Columns: ``__id``,
+    ``__text``, ``__y`` (null without marks) and those in ``carry``."""
     spark = docs.sparkSession
-    picked = spark.createDataFrame(pd.DataFrame({"__id": np.array(sorted(take), np.int64)}), "__id long")
+    base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    ids = (base.select(F.col("doc_id").cast("long").alias("__lid"), F.lit(None).cast("double").alias("__y")) if marks is None else marks).withColumn("__h", F.xxhash64("__lid", F.lit(11)))
+    drawn = ids.orderBy("__h", "__lid").limit(rows).toPandas().drop_duplicates("__lid")
+    table = lambda x: spark.createDataFrame(pd.DataFrame({"__lid": x["__lid"].to_numpy(np.int64), "__y": x["__y"].to_numpy(float)}), "__lid long, __y double")
     body = base.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *carry)
-    return body.join(F.broadcast(picked), "__id", "left_semi").dropDuplicates(["__id"])
+    size = body.join(F.broadcast(table(drawn)), F.col("__id") == F.col("__lid")).groupBy("__id").agg(F.max(F.length("__text")).alias("n")).toPandas()
+    drawn = drawn.merge(size, left_on="__lid", right_on="__id").sort_values(["__h", "__lid"])
+    drawn = drawn[(drawn["n"].cumsum() <= chars).to_numpy() | (np.arange(len(drawn)) == 0)]
+    names = [c for c in body.columns if c not in ("__id", "__text")]
+    got = body.join(F.broadcast(table(drawn)), F.col("__id") == F.col("__lid")).groupBy("__id").agg(F.min_by(F.struct("__text", "__y", *names), F.xxhash64("__text")).alias("r"))
+    return got.select("__id", "r.*")
 
 
 def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, pd.DataFrame]:
@@ -135,18 +140,17 @@ def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, p
                 )
 
     schema = ", ".join(["__id long", *(f"{c} {kinds[c]}" for c in carry), "__idx binary", "__val binary"])
-    got = rows.mapInArrow(run, schema).toPandas().sort_values("__id", kind="stable").reset_index(drop=True)
-    idx = [np.frombuffer(b, np.uint32) for b in got["__idx"]]
-    val = [np.frombuffer(b, np.float32) for b in got["__val"]]
-    rows_ = np.repeat(np.arange(len(idx)), [len(a) for a in idx])
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return Sparse(rows_, cat(idx, np.uint32).astype(np.int64), cat(val, np.float32).astype(np.float64), len(got)), got.drop(columns=["__idx", "__val"])
+    got = rows.mapInArrow(run, schema).toArrow().sort_by("__id")
+    view = lambda c, kind: np.frombuffer(b"".join(v.as_buffer() for v in got.column(c) if v.is_valid), kind)
+    idx, val = view("__idx", np.uint32), view("__val", np.float32)
+    size = [v.as_buffer().size // 4 for v in got.column("__idx")]
+    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, val, len(size)), got.select(["__id", *carry]).to_pandas()
 
 
 def pick(x: Sparse, mask: np.ndarray) -> Sparse:
     """The rows where mask holds, renumbered."""
     on = mask[x.rows]
-    return Sparse((np.cumsum(mask) - 1)[x.rows[on]], x.idx[on], x.val[on], int(mask.sum()))
+    return Sparse((np.cumsum(mask, dtype=np.int32) - 1)[x.rows[on]], x.idx[on], x.val[on], int(mask.sum()))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -185,12 +189,18 @@ def lbfgs(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
+def _dense(idx: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and each entry's place among them."""
+    live = np.bincount(idx, minlength=dim) > 0
+    return np.flatnonzero(live), (np.cumsum(live, dtype=np.int32) - 1)[idx]
+
+
 def fit_binary(x: Sparse, y: np.ndarray, dim: int, l2: float = 1e-3, steps: int = 60, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression: (weights over all buckets, intercept). y may be soft, within 0..1."""
     out = np.zeros(dim)
     if not x.n:
         return out, 0.0
-    used, idx = np.unique(x.idx, return_inverse=True)
+    used, idx = _dense(x.idx, dim)
     weight = np.ones(x.n) if weight is None else weight
     total = weight.sum()
 
@@ -211,7 +221,7 @@ def fit_softmax(x: Sparse, y: np.ndarray, classes: int, dim: int, l2: float = 1e
     out = np.zeros((dim, classes))
     if not x.n:
         return out, np.zeros(classes)
-    used, idx = np.unique(x.idx, return_inverse=True)
+    used, idx = _dense(x.idx, dim)
     hot, d = np.eye(classes)[y], len(used)
 
     def f(p):

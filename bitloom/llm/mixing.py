@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
-from bitloom.llm.quality_rules import labelled
 from bitloom.llm.shared import written
 
 UNIT = 10_000
@@ -37,7 +36,7 @@ UNIT = 10_000
 class Params:
     domain: str = "lang"
     rows: int = 2000
-    chars: int = 6_000_000
+    chars: int = 3_000_000
     max_domains: int = 64
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3,), words=(), bits=16, lower=True))
     l2: float = 1e-3
@@ -55,9 +54,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """The domain classifier; the domains are the ``max_domains`` commonest in the sample, the rest ``other``."""
-    known = docs.select("doc_id", "text", F.coalesce(F.col(p.domain).cast("string"), F.lit("null")).alias("__d"))
-    known = known.join(labelled(labels, "quality"), F.col("doc_id") == F.col("__lid"))
-    x, rows = L.gather(L.sample(known, F.lit(True), p.rows, p.chars, [F.col("__d")]), p.features, ["__d"])
+    domain = F.coalesce(F.col(p.domain).cast("string"), F.lit("null")).alias("__d")
+    x, rows = L.gather(L.sample(docs, L.labelled(labels, "quality"), p.rows, p.chars, [domain]), p.features, ["__d"])
     if not len(rows):
         return Model(["all"], np.zeros((1 << p.features.bits, 1), np.float32), np.zeros(1))
     top = sorted(rows["__d"].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[: p.max_domains])

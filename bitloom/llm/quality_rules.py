@@ -26,7 +26,7 @@ from bitloom.llm.textstats import statistics
 @dataclass(frozen=True)
 class Params:
     rows: int = 3000
-    chars: int = 9_000_000
+    chars: int = 4_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3, 4), words=(1, 2), bits=18))
     l2: float = 1e-3
     threshold: float = 0.5
@@ -45,15 +45,8 @@ class Model:
         return L.sigmoid(self.slope * (L.margins(buf, off, spec, self.weights) + self.bias) + self.shift)
 
 
-def labelled(labels: DataFrame, column: str) -> DataFrame:
-    """One row per id: ``__lid``, ``__y``; the largest of several labels holds."""
-    rows = labels.select(F.col("doc_id").alias("__lid"), F.col(column).cast("double").alias("__y"))
-    return rows.where("__lid is not null and __y is not null").groupBy("__lid").agg(F.max("__y").alias("__y"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    known = docs.select("doc_id", "text").join(labelled(labels, "quality"), F.col("doc_id") == F.col("__lid"))
-    x, rows = L.gather(L.sample(known, F.lit(True), p.rows, p.chars, [F.col("__y")]), p.features, ["__y"])
+    x, rows = L.gather(L.sample(docs, L.labelled(labels, "quality"), p.rows, p.chars, []), p.features, ["__y"])
     y = rows["__y"].to_numpy(float)
     dim = 1 << p.features.bits
     if not len(y):

@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
-from bitloom.llm.quality_rules import labelled
 from bitloom.llm.shared import fold
 
 
 @dataclass(frozen=True)
 class Params:
     rows: int = 5000
-    chars: int = 16_000_000
+    chars: int = 8_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(4, 5), words=(), bits=20, lower=True, presence=True))
     smoothing: float = 1.0
     min_rows: int = 4
@@ -48,22 +47,22 @@ def train(x: L.Sparse, y: np.ndarray, p: Params) -> Model:
         return Model(np.zeros(dim, np.float32), -1e9)
     toxic = y > 0.5
     on = np.bincount(x.idx[toxic[x.rows]], minlength=dim)
-    off = np.bincount(x.idx[~toxic[x.rows]], minlength=dim)
+    off = np.bincount(x.idx, minlength=dim) - on
     a = p.smoothing
     ratio = np.log((on + a) / (toxic.sum() + 2 * a)) - np.log((off + a) / ((~toxic).sum() + 2 * a))
     ratio[on + off < p.min_rows] = 0
     live = ratio[x.idx] != 0
-    scaled = L.Sparse(x.rows[live], x.idx[live], ratio[x.idx[live]], x.n)
+    rows, idx = x.rows[live], x.idx[live]
+    scaled = L.Sparse(rows, idx, ratio[idx].astype(np.float32), x.n)
+    del x, live
     w, b = L.fit_binary(scaled, y, dim, p.l2, steps=80, weight=np.where(toxic, max(1.0, np.sqrt((~toxic).sum() / toxic.sum())), 1.0))
     return Model((w * ratio).astype(np.float32), b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, p: Params = Params()) -> Model:
-    """learn: which documents may be learnt from (all, if none is given)."""
-    base = docs.select("doc_id", "text")
-    base = base if learn is None else base.where(learn)
-    known = base.join(labelled(labels, "toxic"), F.col("doc_id") == F.col("__lid"))
-    x, rows = L.gather(L.sample(known, F.lit(True), p.rows, p.chars, [F.col("__y")]), p.features, ["__y"])
+    """learn: a condition on doc_id, which documents may be learnt from (all, if none is given)."""
+    labels = labels if learn is None else labels.where(learn)
+    x, rows = L.gather(L.sample(docs, L.labelled(labels, "toxic"), p.rows, p.chars, []), p.features, ["__y"])
     return train(x, rows["__y"].to_numpy(float), p)
 
 
