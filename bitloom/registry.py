@@ -1,11 +1,405 @@
-"""The registered queries of the library and their DuckDB SQL."""
+"""The registered queries of the library and their DuckDB SQL, side by side."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bitloom.functions.thermo import probabilities, probit
+from bitloom.operators import encoders as E
+from bitloom.operators import evaluate as V
+from bitloom.operators import prep as R
+from bitloom.streaming import steps as S
 
-def oracle_sql() -> dict:
-    return {}
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]"
+
+
+def bits_sql(thresholds: str, k: int = 8, more: str = "", rise: bool = True, probs: list[float] | None = None, ctes: str = "") -> str:
+    """SQL for (feature, bit, threshold, ones) from an expression for a feature's sorted list of thresholds.
+
+    At hand: n, lo, hi, mu, sd, ss, sk, ku, nu, dv (the distinct values), q (quantiles); ``more`` adds columns."""
+    union = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x FROM lineitem" for f in FEATURES)
+    moved = "threshold + 1e-10 * (row_number() OVER (PARTITION BY feature, threshold ORDER BY bit) - 1)" if rise else "threshold"
+    return f"""
+WITH long AS ({union}),
+m AS (SELECT feature, avg(x) AS mu0, stddev_pop(x) AS sd0 FROM long GROUP BY feature),
+z AS (SELECT long.feature, count(*) AS n, min(x) AS lo, max(x) AS hi, any_value(mu0) AS mu, any_value(sd0) AS sd, stddev_samp(x) AS ss,
+  avg(((x - mu0) / sd0) ** 3) AS sk, avg(((x - mu0) / sd0) ** 4) - 3 AS ku, count(DISTINCT x) AS nu,
+  list_sort(list(DISTINCT x)) AS dv, quantile_cont(x, {_list(probs or probabilities(k))}) AS q FROM long JOIN m USING (feature) GROUP BY long.feature),
+s AS (SELECT *{more} FROM z){ctes},
+t0 AS (SELECT feature, unnest({thresholds}) AS threshold, generate_subscripts({thresholds}, 1) AS bit FROM s),
+t AS (SELECT feature, bit, {moved} AS threshold FROM t0)
+SELECT t.feature, t.bit, round(t.threshold, 6) AS threshold, count(*) FILTER (WHERE long.x >= t.threshold) AS ones
+FROM t JOIN long USING (feature) GROUP BY t.feature, t.bit, t.threshold
+"""
+
+
+def lineitem_bits(spark: SparkSession, sf_dir: str, fit, **params) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").select(*FEATURES)
+    return fit(df, FEATURES, **params).ones(df)
+
+
+def even(lo: str, hi: str, k: int) -> str:
+    return f"list_transform(range({k}), lambda i: ({lo}) + (({hi}) - ({lo})) * i / {k - 1})"
+
+
+def inner(lo: str, hi: str, k: int) -> str:
+    return f"list_transform(range(1, {k + 1}), lambda i: ({lo}) + (({hi}) - ({lo})) * i / {k + 1})"
+
+
+@query(bits_sql("q", rise=False))
+def quantile_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.quantile)
+
+
+@query(bits_sql(inner("lo", "hi", 8), rise=False))
+def uniform_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.uniform)
+
+
+@query(bits_sql(inner("mu - 3 * (sd + 1e-8)", "mu + 3 * (sd + 1e-8)", 8), rise=False))
+def deviation_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.deviation)
+
+
+@query(bits_sql("q", probs=[0.25, 0.75], rise=False))
+def quartile_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.quartiles)
+
+
+@query(bits_sql("CASE WHEN nu - 1 <= 25 THEN dv[2:] ELSE list_transform(range(25), lambda i: dv[2 + CAST(floor(i * (nu - 1) / 25) AS INTEGER)]) END", rise=False))
+def distinct_step_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.distinct_steps)
+
+
+@query(bits_sql("CASE WHEN nu <= 1 THEN [lo + 1e-10] WHEN nu <= 10 THEN dv[2:] ELSE q END", k=10))
+def adaptive_quantile_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.adaptive_quantile)
+
+
+@query(bits_sql("CASE WHEN nu <= 1 THEN [lo + 1e-10] WHEN nu <= 10 THEN dv[2:] ELSE list_transform(range(10), lambda i: dv[1 + CAST(floor(i * nu / 10.0) AS INTEGER)]) END", k=10, rise=False))
+def adaptive_distinct_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.adaptive_quantile, method="unique")
+
+
+_CENTRE = "q[1] + (q[8] - q[1]) * (sign(2.0 * i / 7 - 1) * abs(2.0 * i / 7 - 1) ** (1 + {g}) + 1) / 2"
+
+
+@query(bits_sql(f"CASE WHEN kf >= 0.05 AND q[8] - q[1] >= 1e-15 AND nu > 4 THEN list_transform(range(8), lambda i: (1 - 0.3 * kf) * q[i + 1] + 0.3 * kf * ({_CENTRE.format(g='1.5 * kf * 0.3')})) ELSE q END", more=", greatest(0, least(1, greatest(-2, least(30, ku)) / 15)) AS kf"))
+def kurtosis_blend_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.kurtosis_blend)
+
+
+@query(
+    bits_sql(
+        "list_sort(list_transform(range(1, 9), lambda i: q[i] + 0.3 * 0.1 * sd * (w[i + 1] - w[i]) / (w[i + 1] + w[i] + 1e-20) + 0.05 * greatest(-3, least(3, sk)) * sd))",
+        ctes="""
+, b AS (SELECT z.feature, len(list_filter(z.q, lambda e: e <= x)) AS bin, x FROM long JOIN z USING (feature)),
+d AS (SELECT feature, bin, stddev_pop(x) AS sdv FROM b GROUP BY feature, bin),
+g AS (SELECT z.feature, r.bin, coalesce(d.sdv, 0) AS sdv FROM z CROSS JOIN range(9) AS r(bin) LEFT JOIN d ON d.feature = z.feature AND d.bin = r.bin),
+w AS (SELECT feature, list(sdv ORDER BY bin) AS w FROM g GROUP BY feature),
+s2 AS (SELECT * FROM z JOIN w USING (feature))""",
+    ).replace("AS bit FROM s)", "AS bit FROM s2)")
+)
+def bin_pulse_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.bin_pulse)
+
+
+@query()
+def density_edge_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.density_edges)
+
+
+@query(bits_sql(f"CASE WHEN len(list_distinct(q[1:8])) < 4 THEN {inner('q[9]', 'q[10]', 8)} ELSE q[1:8] END", probs=[*probabilities(8), 0.01, 0.99]))
+def hybrid_width_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.known_methods)
+
+
+@query(bits_sql(inner("q[1]", "q[2]", 8), probs=[0.01, 0.99]))
+def clipped_width_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.known_methods, method="equal_width")
+
+
+_ABOVE = """
+, a AS (SELECT z.feature, i, avg((x >= z.q[i])::DOUBLE) AS share FROM long JOIN z USING (feature) CROSS JOIN range(1, 9) AS r(i) GROUP BY z.feature, i),
+al AS (SELECT feature, list(share ORDER BY i) AS a FROM a GROUP BY feature),
+s2 AS (SELECT * FROM z JOIN al USING (feature))"""
+
+
+@query(bits_sql("list_sort(list_transform(range(1, 9), lambda i: q[i] + (a[i] - 1 + i / 9.0) * sd * 0.3 * 0.5))", ctes=_ABOVE).replace("AS bit FROM s)", "AS bit FROM s2)"))
+def rate_corrected_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.rate_corrected)
+
+
+@query()
+def fusion_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.fusion)
+
+
+@query(bits_sql(f"list_transform({_list(probit(p) for p in probabilities(8))}, lambda v: mu + ss * v * least(greatest(0.5 * least(greatest(greatest(abs(hi - mu), abs(mu - lo)) / ss, 2.4), 6.0), 1.2), {2.5 / probit(8 / 9)!r}))"))
+def probit_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.probit_scaled)
+
+
+@query()
+def budgeted_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.budgeted)
+
+
+@query(bits_sql("q", rise=False).replace("GROUP BY t.feature, t.bit, t.threshold", "GROUP BY t.feature, t.bit, t.threshold").replace("t0 AS (SELECT feature, unnest(q) AS threshold, generate_subscripts(q, 1) AS bit FROM s)", "t0 AS (SELECT feature, threshold, row_number() OVER (PARTITION BY feature ORDER BY threshold) AS bit FROM (SELECT DISTINCT feature, unnest(q) AS threshold, lo, hi FROM s) WHERE threshold > lo AND threshold < hi)"))
+def even_count_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.even_bins)
+
+
+@query(bits_sql(inner("lo", "hi", 8), rise=False))
+def even_width_bits(spark, sf_dir):
+    return lineitem_bits(spark, sf_dir, E.even_bins, strategy="uniform")
+
+
+@query()
+def packed_bits(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return E.quantile(df, ["o_totalprice"], 12).packed(df).select("o_orderkey", F.hex("packed").alias("packed"))
+
+
+@query("""WITH s AS (SELECT quantile_cont(o_totalprice, [""" + ", ".join(repr(p) for p in probabilities(8)) + """]) AS q FROM orders)
+SELECT o_orderkey, array_to_string(list_transform(q, lambda t: CASE WHEN o_totalprice >= t THEN '1' ELSE '0' END), '') AS bits FROM orders, s""")
+def order_bit_strings(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return E.quantile(df, ["o_totalprice"]).strings(df).select("o_orderkey", "bits")
+
+
+# --- online encoders, by event type in order of time ------------------------------------------------------------
+
+
+def _online(spark, sf_dir, make):
+    df = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return S.encode_rows(df, ["event_type"], "event_id", "value", make)
+
+
+@query()
+def gaussian_band_online(spark, sf_dir):
+    s = table(spark, sf_dir, "events").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).first()
+    return _online(spark, sf_dir, lambda m=s["m"], v=s["v"]: S.GaussianBand(mean=m, var=v))
+
+
+@query()
+def moving_band_online(spark, sf_dir):
+    return _online(spark, sf_dir, lambda: S.MovingBand(latch=0.1))
+
+
+@query()
+def range_band_online(spark, sf_dir):
+    return _online(spark, sf_dir, lambda: S.TrueRangeBand())
+
+
+@query()
+def marker_quantiles_online(spark, sf_dir):
+    return _online(spark, sf_dir, lambda: S.MarkerQuantiles())
+
+
+@query()
+def marker_quantiles_before_online(spark, sf_dir):
+    return _online(spark, sf_dir, lambda: S.MarkerQuantiles(first=True))
+
+
+_RECENT = f"""WITH w AS (SELECT event_id, event_type, value, quantile_cont(value, {_list(probabilities(8))}) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS q FROM events)
+SELECT event_id, event_type, array_to_string(list_transform(coalesce(q, {_list([0.0] * 8)}), lambda t: CASE WHEN value >= t THEN '1' ELSE '0' END), '') AS bits FROM w"""
+
+
+@query(_RECENT)
+def recent_quantiles_online(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return S.recent_quantiles(df, ["event_type"], "event_id", "value").select("event_id", "event_type", "bits")
+
+
+@query(f"""WITH b AS ({_RECENT}), p AS (SELECT event_type, event_id, bits, lag(bits) OVER (PARTITION BY event_type ORDER BY event_id) AS last FROM b)
+SELECT event_type, CAST(i AS BIGINT) AS bit, CAST(sum(CASE WHEN last IS NOT NULL AND substr(bits, i::INTEGER, 1) <> substr(last, i::INTEGER, 1) THEN 1 ELSE 0 END) AS BIGINT) AS flips, count(*) AS n_rows
+FROM p CROSS JOIN range(1, 9) AS r(i) GROUP BY event_type, i""")
+def flip_counts(spark, sf_dir):
+    return S.flip_rates(recent_quantiles_online(spark, sf_dir), ["event_type"], "event_id")
+
+
+# --- preparation -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT vec_id, i - 1 AS place, round(((embedding[i] - list_avg(embedding::DOUBLE[])) / sqrt(list_avg(list_transform(embedding::DOUBLE[], lambda v: (v - list_avg(embedding::DOUBLE[])) ** 2)))), 6) AS value
+FROM embeddings CROSS JOIN range(1, 65) AS r(i)""")
+def row_normalised(spark, sf_dir):
+    x = R.normalised(F.col("embedding").cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(x).alias("place", "v")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("value"))
+
+
+@query("""SELECT vec_id, i AS place, embedding[1 + round_even(i * 63 / 19.0, 0)::INTEGER]::DOUBLE AS value FROM embeddings CROSS JOIN range(20) AS r(i)""")
+def series_decimated(spark, sf_dir):
+    x = R.decimated(F.col("embedding").cast("array<double>"), 20)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(x).alias("place", "value")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT vec_id, CASE WHEN i <= 64 THEN embedding[i] ELSE embedding[64] END::DOUBLE AS value, i - 1 AS place FROM embeddings CROSS JOIN range(1, 71) AS r(i)")
+def series_padded(spark, sf_dir):
+    x = R.padded(F.col("embedding").cast("array<double>"), 70)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(x).alias("place", "value")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 60)")
+def rare_dropped(spark, sf_dir):
+    return R.drop_rare(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 60)
+
+
+@query("""WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, n AS n_rows, CAST(round_even(n * 0.3, 0) AS BIGINT) AS n_test FROM c""")
+def split_sizes(spark, sf_dir):
+    s = R.split(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey")
+    return s.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_test").alias("n_test"))
+
+
+@query("""WITH w AS (SELECT c_custkey, c_mktsegment, count(*) OVER () AS n, count(*) OVER (PARTITION BY c_mktsegment) AS c, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer)
+SELECT c_custkey, c_mktsegment FROM w WHERE n <= 100 OR r <= greatest(1, round_even(100.0 * c / n, 0))""")
+def capped(spark, sf_dir):
+    return R.stratified_cap(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 100)
+
+
+@query("SELECT event_id, value FROM events ORDER BY ts LIMIT 500")
+def stream_prefix(spark, sf_dir):
+    return R.first_rows(table(spark, sf_dir, "events").select("event_id", "value", "ts"), "ts", 500).select("event_id", "value")
+
+
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS y FROM orders")
+def class_labels(spark, sf_dir):
+    return R.class_numbers(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority").select("o_orderkey", "y")
+
+
+@query("""WITH x AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS v FROM customer), m AS (SELECT quantile_cont(v, 0.5) AS med FROM x)
+SELECT c_custkey, round(coalesce(v, med), 6) AS v FROM x, m""")
+def imputed(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).otherwise(F.lit(float("nan"))).alias("v"))
+    return R.impute_median(df, ["v"]).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS sd FROM documents), k AS (SELECT avg(((n_chars - m) / sd) ** 3) AS sk, quantile_cont(n_chars, 0.005) AS lo, quantile_cont(n_chars, 0.995) AS hi FROM documents, s)
+SELECT doc_id, round(CASE WHEN abs(sk) > 3 THEN greatest(lo, least(hi, n_chars)) ELSE n_chars END, 6) AS n FROM documents, k""")
+def clipped_tails(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"))
+    return R.winsorised(df, ["n"]).withColumn("n", F.round("n", 6))
+
+
+@query("SELECT p_partkey, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6) AS p_retailprice FROM part")
+def standard_scores(spark, sf_dir):
+    return R.standardised(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"]).withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
+@query("""WITH s AS (SELECT stddev_pop(value) AS sd, count(*) AS n FROM events), r AS (SELECT event_id, value, (row_number() OVER (ORDER BY event_id) - 1) / (SELECT n - 1 FROM s) AS t FROM events)
+SELECT event_id, round(value * (1 + 2.5 * t) + 2.5 * t * (sd + 1e-9), 6) AS value FROM r, s""")
+def drift_injected(spark, sf_dir):
+    return R.drifted(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value").withColumn("value", F.round("value", 6))
+
+
+@query("""WITH c AS (SELECT l_returnflag, count(*) AS c FROM lineitem GROUP BY 1)
+SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_classes, round(max(c) / min(c), 6) AS imbalance, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, CAST(0 AS BIGINT) AS n_constant,
+CASE WHEN count(*) < 2 THEN 'FAIL' WHEN max(c) > 10 * min(c) THEN 'WARN' ELSE 'OK' END AS status FROM c""")
+def ingest_report(spark, sf_dir):
+    return R.ingest_profile(table(spark, sf_dir, "lineitem"), FEATURES, "l_returnflag").withColumn("imbalance", F.round("imbalance", 6))
+
+
+# --- evaluation and reports -------------------------------------------------------------------------------------
+
+_PREDICTED = "SELECT l_returnflag AS truth, CASE WHEN l_quantity > 25 THEN 'A' WHEN l_discount > 0.05 THEN 'N' ELSE 'R' END AS predicted FROM lineitem"
+_CLASSES = f"""WITH p AS ({_PREDICTED}), c AS (SELECT truth, predicted, count(*) AS n FROM p GROUP BY ALL),
+r AS (SELECT truth AS label, sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS tp, sum(n) AS support FROM c GROUP BY 1),
+g AS (SELECT predicted AS label, sum(n) AS given FROM c GROUP BY 1),
+s AS (SELECT label, coalesce(tp, 0) / nullif(coalesce(given, 0), 0) AS pr, coalesce(tp, 0) / nullif(coalesce(support, 0), 0) AS re, 2.0 * coalesce(tp, 0) / (coalesce(support, 0) + coalesce(given, 0)) AS f, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp FROM r FULL JOIN g USING (label))"""
+
+
+def _predictions(spark, sf_dir):
+    p = F.when(F.col("l_quantity") > 25, "A").when(F.col("l_discount") > 0.05, "N").otherwise("R")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("truth"), p.alias("predicted"))
+
+
+@query(f"WITH p AS ({_PREDICTED}) SELECT truth, predicted, count(*) AS n FROM p GROUP BY ALL")
+def confusion_counts(spark, sf_dir):
+    return V.confusion(_predictions(spark, sf_dir), "truth", "predicted")
+
+
+@query(_CLASSES + " SELECT label, round(coalesce(pr, 0), 6) AS precision, round(coalesce(re, 0), 6) AS recall, round(f, 6) AS f1, CAST(support AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp FROM s")
+def class_f1(spark, sf_dir):
+    s = V.class_scores(_predictions(spark, sf_dir), "truth", "predicted")
+    return s.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(_CLASSES + " SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f), 6) AS macro_f1, round(sum(f * support) / sum(support), 6) AS weighted_f1, round(avg(coalesce(pr, 0)), 6) AS macro_precision, round(avg(coalesce(re, 0)), 6) AS macro_recall, round(max(support) / sum(support), 6) AS majority, round(min(f), 6) AS lowest_f1 FROM s")
+def macro_scores(spark, sf_dir):
+    s = V.summary(_predictions(spark, sf_dir), "truth", "predicted")
+    return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
+
+
+@query("SELECT n_nationkey, least(2000, greatest(256, 2 * CAST(ceil(round_even(50 * n_regionkey + 0.3 * n_nationkey * 37, 0) / 2) AS BIGINT))) AS clauses FROM nation")
+def clause_budgets(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", V.clause_budget(F.col("n_regionkey"), F.col("n_nationkey") * 37).alias("clauses"))
+
+
+_SCORES = "SELECT n_name AS dataset, c_mktsegment AS encoder, round(avg(c_acctbal), 6) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"
+
+
+def _scores(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("dataset"), F.col("c_mktsegment").alias("encoder")).agg(F.round(F.avg("c_acctbal"), 6).alias("score"))
+
+
+@query(f"WITH s AS ({_SCORES}) SELECT dataset, encoder, score, CAST(row_number() OVER (PARTITION BY dataset ORDER BY score DESC, encoder) AS INTEGER) AS place FROM s QUALIFY place <= 3")
+def top_encoders(spark, sf_dir):
+    return V.top(_scores(spark, sf_dir), ["dataset"], "score", "encoder", 3)
+
+
+@query(f"""WITH s AS ({_SCORES}), w AS (SELECT encoder, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, encoder) AS r FROM s)
+SELECT s.encoder, round(avg(score), 4) AS mean_score, count(*) AS n, (SELECT count(*) FROM w WHERE w.encoder = s.encoder AND r = 1) AS wins FROM s GROUP BY s.encoder""")
+def encoder_leaderboard(spark, sf_dir):
+    return V.leaderboard(_scores(spark, sf_dir), "dataset", "score", "encoder").withColumn("mean_score", F.round("mean_score", 4))
+
+
+@query("SELECT n_name AS dataset, 'a' AS name, n_nationkey / 10 AS score FROM nation UNION ALL SELECT n_name, 'b', CAST(n_regionkey AS DOUBLE) FROM nation WHERE n_regionkey > 1")
+def map_scores(spark, sf_dir):
+    m = F.create_map(F.lit("a"), F.col("n_nationkey") / 10, F.lit("b"), F.when(F.col("n_regionkey") > 1, F.col("n_regionkey").cast("double")).otherwise(-1.0))
+    return V.scores_of(table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset"), m.alias("m")), "dataset", "m")
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey < 10 THEN 'new' ELSE 'old' END AS v FROM nation")
+def newest_rows(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    return V.newest([n.withColumn("v", F.lit("old")), n.where("k < 10").withColumn("v", F.lit("new"))], "k")
+
+
+@query(f"""WITH o AS ({bits_sql("q", rise=False)}), n AS (SELECT count(*) AS n FROM lineitem), p AS (SELECT feature, ones, n, ones / n AS p FROM o, n)
+SELECT feature, count(*) AS width, count(*) FILTER (WHERE ones = 0 OR ones = n) AS dead, count(*) - count(DISTINCT ones) AS duplicate, round(avg(CASE WHEN p > 0 AND p < 1 THEN -p * log2(p) - (1 - p) * log2(1 - p) ELSE 0 END), 6) AS entropy FROM p GROUP BY feature""")
+def bit_report(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").count()
+    return V.bit_quality(quantile_bits(spark, sf_dir), n).withColumn("entropy", F.round("entropy", 6))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
