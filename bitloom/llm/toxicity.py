@@ -1,7 +1,8 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct hashed character n-grams of its whole lower-cased text, each scaled by the log of
-the ratio of its smoothed shares in toxic and other training texts; an L2-regularised logistic regression is fitted
+the ratio of its smoothed shares in toxic and other training texts; n-grams whose ratio is within ``least_z`` standard
+errors of none are left out; an L2-regularised logistic regression is fitted
 on the scaled features of at most ``Params.rows`` labelled rows and ``Params.chars`` characters. A score is the logistic
 function of the sum, found in one narrow pass with a table of ``2**bits`` weights.
 
@@ -31,6 +32,7 @@ class Params:
     features: L.Features = field(default_factory=lambda: L.Features(chars=(4, 5), words=(), bits=20, lower=True, presence=True))
     smoothing: float = 1.0
     min_rows: int = 4
+    least_z: float = 4.0
     l2: float = 1e-4
     threshold: float = 0.5
 
@@ -50,7 +52,7 @@ def train(x: L.Sparse, y: np.ndarray, p: Params) -> Model:
     off = np.bincount(x.idx, minlength=dim) - on
     a = p.smoothing
     ratio = np.log((on + a) / (toxic.sum() + 2 * a)) - np.log((off + a) / ((~toxic).sum() + 2 * a))
-    ratio[on + off < p.min_rows] = 0
+    ratio[(on + off < p.min_rows) | (np.abs(ratio) < p.least_z * np.sqrt(1 / (on + a) + 1 / (off + a)))] = 0
     live = ratio[x.idx] != 0
     rows, idx = x.rows[live], x.idx[live]
     scaled = L.Sparse(rows, idx, ratio[idx].astype(np.float32), x.n)
