@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
+from bitloom.llm.shared import small_batches
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 64
-CHUNK_BYTES = 3 << 20
+CACHE_ENTRIES, CACHE_BYTES = 800_000, 64
+FRAGMENT_ENTRIES = 60_000
+CHUNK_BYTES = 2 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -243,7 +245,7 @@ class Codec:
             if ids is None:
                 ids = self.merge(fragment)
                 if len(fragment) <= CACHE_BYTES:
-                    if len(known) > CACHE_ENTRIES:
+                    if len(known) > FRAGMENT_ENTRIES:
                         known.clear()
                     known[fragment] = ids
             out += ids
@@ -291,6 +293,12 @@ class Codec:
                         heapq.heappush(heap, (m[0], left, ids[left], ids[right], m[1]))
         return [ids[i] for i in range(n) if alive[i]]
 
+    def forget(self) -> None:
+        """Empties the caches: worker processes live on after their task."""
+        self.fragments.clear()
+        self.split._forget()
+        K.give_back()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids in UTF-8; incomplete characters become U+FFFD."""
         out = gather_lists(self.flat, self.start, self.length, ids.astype(np.int64))[0].tobytes()
@@ -310,6 +318,7 @@ def codec(text: str, classes: bytes) -> Codec:
 
 def shipped(spark: SparkSession, path: str | None):
     """The vocabulary file's text and the character classes (about 3 MB whatever the corpus), broadcast."""
+    small_batches(spark)
     with open(path or vocabulary_path()) as f:
         return spark.sparkContext.broadcast((f.read(), character_classes()))
 
@@ -332,6 +341,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
                 body = batch.slice(done, part.num_rows)
                 done += part.num_rows
                 yield pa.RecordBatch.from_arrays([*body.columns, lists, back], names=[*batch.schema.names, "ids", "decoded"])
+        c.forget()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
@@ -351,5 +361,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     [part.column("doc_id"), pa.array(np.diff(at)), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in rows]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in rows])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        c.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

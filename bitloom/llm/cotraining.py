@@ -34,7 +34,7 @@ META_BITS = 12
 class Params:
     rows: int = 2000
     pool: int = 2000
-    chars: int = 2_500_000
+    chars: int = 2_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3, 4), words=(1,), bits=18, shape=True))
     l2: float = 1e-3
     meta_l2: float = 1e-2

@@ -133,18 +133,21 @@ def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, p
             for part in K.chunks(batch, "__text"):
                 x = featurise(*K.text_buffers(part.column("__text")), spec)
                 cut = np.searchsorted(x.rows, np.arange(1, x.n))
-                idx, val = x.idx.astype(np.uint32), x.val.astype(np.float32)
+                idx, val = x.idx.astype(np.uint32), x.val[: 0 if spec.presence else None].astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("__id"), *(part.column(c) for c in carry), pa.array([a.tobytes() for a in np.split(idx, cut)], pa.binary()), pa.array([a.tobytes() for a in np.split(val, cut)], pa.binary())],
+                    [part.column("__id"), *(part.column(c) for c in carry), pa.array([a.tobytes() for a in np.split(idx, cut)], pa.binary()), pa.array([a.tobytes() for a in (np.split(val, cut) if len(val) else [val] * x.n)], pa.binary())],
                     names=["__id", *carry, "__idx", "__val"],
                 )
 
     schema = ", ".join(["__id long", *(f"{c} {kinds[c]}" for c in carry), "__idx binary", "__val binary"])
     got = rows.mapInArrow(run, schema).toArrow().sort_by("__id")
     view = lambda c, kind: np.frombuffer(b"".join(v.as_buffer() for v in got.column(c) if v.is_valid), kind)
-    idx, val = view("__idx", np.uint32), view("__val", np.float32)
+    idx, val = view("__idx", np.uint32), view("__val", np.float16).astype(np.float32)
     size = [v.as_buffer().size // 4 for v in got.column("__idx")]
-    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, val, len(size)), got.select(["__id", *carry]).to_pandas()
+    rest = got.select(["__id", *carry]).to_pandas()
+    del got
+    K.give_back()
+    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, np.ones(len(idx), np.float32) if spec.presence else val, len(size)), rest
 
 
 def pick(x: Sparse, mask: np.ndarray) -> Sparse:
@@ -213,6 +216,7 @@ def fit_binary(x: Sparse, y: np.ndarray, dim: int, l2: float = 1e-3, steps: int
     base = np.clip((weight @ y) / total, 1e-3, 1 - 1e-3)
     p = lbfgs(f, np.append(np.zeros(len(used)), np.log(base / (1 - base))), steps)
     out[used] = p[:-1]
+    K.give_back()
     return out, float(p[-1])
 
 

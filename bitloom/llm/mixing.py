@@ -74,13 +74,13 @@ def whole_posterior(z: np.ndarray) -> np.ndarray:
     return q
 
 
-def posteriors(docs: DataFrame, m: Model, p: Params = Params()) -> DataFrame:
-    """All columns of docs, ``__tokens`` (words) and ``__p`` (posterior in UNITths)."""
-    shared = docs.sparkSession.sparkContext.broadcast(m)  # 2**bits by max_domains + 1 weights at most
+def posteriors(docs: DataFrame, m: Model, p: Params = Params(), moves: np.ndarray | None = None) -> DataFrame:
+    """All columns of docs, ``__tokens`` (words), ``__p`` (posterior in UNITths) and, given the moves, ``__rate``."""
+    shared = docs.sparkSession.sparkContext.broadcast((m, moves))  # 2**bits by max_domains + 1 weights at most
     names = docs.columns
 
     def run(batches):
-        m = shared.value
+        m, moves = shared.value
         for batch in batches:
             done = 0
             view = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text")).cast(pa.string())], names=["t"])
@@ -91,11 +91,13 @@ def posteriors(docs: DataFrame, m: Model, p: Params = Params()) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * q.shape[1], pa.int32()), pa.array(q.ravel()))
                 body = batch.slice(done, part.num_rows)
                 done += part.num_rows
-                yield pa.RecordBatch.from_arrays([*body.columns, pa.array(np.bincount(row, minlength=len(q)).astype(np.int64)), lists], names=[*names, "__tokens", "__p"])
+                rate = [] if moves is None else [pa.array(rates(q, moves))]
+                yield pa.RecordBatch.from_arrays([*body.columns, pa.array(np.bincount(row, minlength=len(q)).astype(np.int64)), lists, *rate], names=[*names, "__tokens", "__p", *["__rate"] * len(rate)])
 
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("__tokens", LongType()), StructField("__p", ArrayType(LongType()))])
+    more = [] if moves is None else [StructField("__rate", DoubleType())]
+    schema = StructType([*docs.schema.fields, StructField("__tokens", LongType()), StructField("__p", ArrayType(LongType())), *more])
     return docs.mapInArrow(run, schema)
 
 
@@ -154,23 +156,10 @@ def solve(grouped: DataFrame, classes: int, p: Params = Params(), targets: np.nd
 def with_rates(docs: DataFrame, labels: DataFrame, p: Params = Params(), targets: np.ndarray | None = None) -> tuple[DataFrame, Model]:
     """All columns of docs with ``__tokens``, ``__p``, ``__rate``; and the domain model."""
     m = fit(docs, labels, p)
-    scored = posteriors(docs, m, p)
-    k = len(m.domains)
     # Equal posteriors move alike: tokens are summed by posterior before the steps (map-side combined), exactly.
     narrow = posteriors(docs.select("text"), m, p).groupBy("__p").agg(F.sum("__tokens").alias("__w"))
-    moves = solve(written(narrow, "mixing"), k, p, targets)
-    shared = docs.sparkSession.sparkContext.broadcast(moves)
-    names = scored.columns
-
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("__p")
-            q = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(q, shared.value))], names=[*names, "__rate"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return scored.mapInArrow(run, StructType([*scored.schema.fields, StructField("__rate", DoubleType())])), m
+    moves = solve(written(narrow, "mixing"), len(m.domains), p, targets)
+    return posteriors(docs, m, p, moves), m
 
 
 def copies(rate, key):

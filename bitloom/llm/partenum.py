@@ -329,6 +329,7 @@ def _runs(signed: DataFrame) -> DataFrame:
             a = np.concatenate((pair[:, 0], doc[member]))
             b = np.concatenate((pair[:, 1], (sig[member] & np.uint64(1)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+        K.give_back()
 
     dealt = signed.repartition(slots(signed.sparkSession), F.shiftright("sig", 1)).sortWithinPartitions("sig", "doc")
     return written(dealt.mapInArrow(run, "key long, a long, b long"), "runs")
@@ -422,6 +423,7 @@ def _rest(members: DataFrame, tested: DataFrame, comps: DataFrame, copies: DataF
                 held.append(table.slice(a, b - a))
         if held and (out := close()) is not None:
             yield out
+        K.give_back()
 
     dealt = rows.repartition(slots(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = dealt.mapInArrow(run, "a long, b long").distinct()

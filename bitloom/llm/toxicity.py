@@ -28,11 +28,11 @@ from bitloom.llm.shared import fold
 @dataclass(frozen=True)
 class Params:
     rows: int = 5000
-    chars: int = 8_000_000
+    chars: int = 7_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(4, 5), words=(), bits=20, lower=True, presence=True))
     smoothing: float = 1.0
     min_rows: int = 4
-    least_z: float = 4.0
+    least_z: float = 3.0
     l2: float = 1e-4
     threshold: float = 0.5
 

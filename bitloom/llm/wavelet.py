@@ -37,6 +37,7 @@ from bitloom.llm.shared import shared_path, slots, written
 
 MAGIC = b"BLWM0001"
 BLOCK_BITS = 1 << 17
+CHUNK_BYTES = 3 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -271,7 +272,7 @@ def write(docs: DataFrame, p: Params = Params(), folder: str | None = None) -> D
             return row
 
         for batch in batches:
-            for chunk in K.chunks(batch, "text", bpe.CHUNK_BYTES):
+            for chunk in K.chunks(batch, "text", CHUNK_BYTES):
                 x, at = split(*K.text_buffers(chunk.column("text")))
                 ids.append(np.insert(x, at[1:], p.end_id).astype(np.uint32))
                 names.append(chunk.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
