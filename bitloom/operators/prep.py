@@ -32,9 +32,9 @@ def _let(value: Column, use) -> Column:
 def normalised(series: Column) -> Column:
     """A series less its mean, over its population deviation (1 where that is 0)."""
     total = lambda a, v: a + v
-    mean = F.aggregate(series, F.lit(0.0), total) / F.size(series)
+    mean = F.aggregate(series, F.lit(0.0), total) / F.greatest(F.size(series), F.lit(1))
     centred = _let(mean, lambda m: F.transform(series, lambda v: v - m))
-    var = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c)
+    var = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.greatest(F.size(c), F.lit(1))
     return _let(centred, lambda c: _let(F.sqrt(var(c)), lambda sd: F.transform(c, lambda v: v / F.when(sd == 0, F.lit(1.0)).otherwise(sd))))
 
 
