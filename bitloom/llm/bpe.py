@@ -130,7 +130,8 @@ class Splitter:
 
     ``encode(buf, starts, ends, blank)`` gives the ids of the byte segments, one after another, and their counts."""
 
-    def __init__(self, classes: bytes, added: dict[str, int], encode):
+    def __init__(self, classes: bytes, added: dict[str, int], encode, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.classes = np.frombuffer(classes, np.uint8)
         self.added = {k.encode(): v for k, v in added.items()}
         self.marks = re.compile(b"|".join(re.escape(k) for k in sorted(self.added, key=len, reverse=True))) if added else None
@@ -177,7 +178,7 @@ class Splitter:
             flat = np.concatenate((flat, ids))
         ids, count = gather_lists(flat, start, size, which)
         short = new[ends[where[new]] - starts[where[new]] <= CACHE_BYTES]
-        if len(self.keys) + len(short) > CACHE_ENTRIES:
+        if len(self.keys) + len(short) > self.entries:
             self._forget()
         elif len(short):
             kept, _ = gather_lists(flat, start, size, short)

@@ -38,6 +38,7 @@ from bitloom.llm.shared import shared_path, slots, written
 MAGIC = b"BLWM0001"
 BLOCK_BITS = 1 << 17
 CHUNK_BYTES = 3 << 20
+CACHE_ENTRIES = 1_200_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -245,7 +246,7 @@ def library_splitter(text: str, classes: bytes) -> bpe.Splitter:
             start[order] = np.cumsum(sizes[order]) - sizes[order]
             return bpe.gather_lists(flat, start, sizes, np.arange(len(sizes)))
 
-        _SPLITTERS[key] = bpe.Splitter(classes, added, encode)
+        _SPLITTERS[key] = bpe.Splitter(classes, added, encode, CACHE_ENTRIES)
     return _SPLITTERS[key]
 
 
