@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.plans.order import numbered
+
 
 def finite(x: Column) -> Column:
     """x, or 0 where it is NaN or infinite."""
@@ -95,26 +97,13 @@ def standardised(df: DataFrame, features: list[str]) -> DataFrame:
 def drifted(df: DataFrame, order: str, feature: str, slope: float = 2.5) -> DataFrame:
     """The ordered column stretched and shifted more and more: x (1 + slope t) + slope t sd, t from 0 to 1.
 
-    Places come from counts by range partition and a number within each, not from one global window."""
+    Places come from counts of ranges and a number within each, not from one global window."""
     s = df.agg(F.stddev_pop(feature).alias("s"), F.count(F.lit(1)).alias("n")).first()
     ranked = numbered(df, order)
     t = F.col("__at") / F.lit(float(max(s["n"] - 1, 1)))
     return ranked.withColumn(feature, F.col(feature) * (1 + slope * t) + slope * t * F.lit((s["s"] or 0.0) + 1e-9)).drop("__at")
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with ``__at``, the row's place from 0 in the order (unique), without a global window."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    ends = parts.groupBy("__p").agg(F.min(order).alias("__lo"), F.count(F.lit(1)).alias("__n")).orderBy("__lo").collect()  # a row a partition
-    spark, before, rows = df.sparkSession, 0, []
-    for r in ends:
-        rows.append((r["__p"], before))
-        before += r["__n"]
-    base = spark.createDataFrame(rows, "__q int, __before long")
-    local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    return local.join(F.broadcast(base), F.col("__p") == F.col("__q")).withColumn("__at", F.col("__before") + F.col("__r")).drop("__p", "__q", "__r", "__before")
-
-
 def ingest_profile(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row: rows, classes, imbalance, missing and infinite cells, constant features, status."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("n_classes"), F.max("c").alias("hi"), F.min("c").alias("lo"), F.sum("c").alias("n_rows"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.plans.order import numbered
+
 
 def clean(df: DataFrame, features: list[str]) -> DataFrame:
     """The features as doubles, NaN as null, so that aggregates leave both out."""
@@ -35,18 +37,19 @@ def quantiles(df: DataFrame, features: list[str], probs: list[float]) -> dict[st
 
 
 def distinct_sorted(df: DataFrame, feature: str, limit: int | None = None) -> list[float]:
-    """The sorted distinct values; limit: how many places to keep, spread evenly from the first (i * n / limit).
-
-    With a limit the distinct values are ranked in Spark and only the chosen places are brought back."""
-    from pyspark.sql import Window
-
-    values = clean(df, [feature]).where(F.col(feature).isNotNull()).groupBy(feature).agg(F.count(F.lit(1)).alias("c"))
+    """The sorted distinct values; limit: how many places to keep, spread evenly from the first (i * n / limit)."""
+    values = clean(df, [feature]).where(F.col(feature).isNotNull()).distinct()
     n = values.count()
     if limit is None or n <= limit:
-        return [r[0] for r in values.select(feature).orderBy(feature).collect()]
-    places = [int(i * n / limit) for i in range(limit)]
-    ranked = values.select(feature, F.row_number().over(Window.orderBy(feature)).alias("r"))
-    return [r[0] for r in ranked.where(F.col("r").isin([p + 1 for p in places])).orderBy("r").collect()]
+        return [r[0] for r in values.orderBy(feature).collect()]
+    return distinct_at(df, feature, [int(i * n / limit) for i in range(limit)])
+
+
+def distinct_at(df: DataFrame, feature: str, places: list[int]) -> list[float]:
+    """The distinct values at these places (from 0) of their order; only they are brought back."""
+    values = clean(df, [feature]).where(F.col(feature).isNotNull()).distinct()
+    wanted = numbered(values, feature).where(F.col("__at").isin([int(p) for p in places]))
+    return [r[0] for r in wanted.select(feature).orderBy(feature).collect()]
 
 
 def share_above(df: DataFrame, thresholds: dict[str, list[float]]) -> dict[str, list[float]]:
@@ -59,12 +62,15 @@ def share_above(df: DataFrame, thresholds: dict[str, list[float]]) -> dict[str,
 
 def mode_share(df: DataFrame, features: list[str]) -> dict[str, float]:
     """The commonest value's share of each feature (values rounded to 8 places)."""
-    out = {}
-    for f in features:
-        counts = clean(df, [f]).where(F.col(f).isNotNull()).groupBy(F.bround(f, 8).alias("v")).count()
-        row = counts.agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
-        out[f] = (row["m"] or 0) / max(row["n"] or 1, 1)
-    return out
+    return {f: mode(df, f, 8)[1] for f in features}
+
+
+def mode(df: DataFrame, feature: str, places: int | None = None) -> tuple[float, float]:
+    """The commonest value (ties to the smallest) and its share; 0 of nothing."""
+    v = F.col(feature) if places is None else F.bround(feature, places)
+    counts = clean(df, [feature]).where(F.col(feature).isNotNull()).groupBy(v.alias("v")).count()
+    row = counts.agg(F.max(F.struct("count", (-F.col("v")).alias("v"))).alias("m"), F.sum("count").alias("n")).first()
+    return (0.0 - row["m"]["v"], row["m"]["count"] / row["n"]) if row["n"] else (0.0, 0.0)
 
 
 def deviations_between(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[float]]:
