@@ -72,3 +72,70 @@ def bit_quality(ones: DataFrame, n: int) -> DataFrame:
     h = F.when((p > 0) & (p < 1), -p * F.log2(p) - (1 - p) * F.log2(1 - p)).otherwise(0.0)
     per = ones.withColumn("__h", h).groupBy("feature").agg(F.count(F.lit(1)).alias("width"), F.count_if((F.col("ones") == 0) | (F.col("ones") == n)).alias("dead"), (F.count(F.lit(1)) - F.count_distinct("ones")).alias("duplicate"), F.avg("__h").alias("entropy"))
     return per.select("feature", "width", "dead", "duplicate", "entropy")
+
+
+def training_plan(df: DataFrame, rows: str, width: str, classes: str) -> DataFrame:
+    """df with clauses, target, specificity and epochs for a clause learner of these rows, bits and classes."""
+    clauses = clause_budget(F.col(classes), F.col(width))
+    target = F.least(F.lit(120), F.greatest(F.lit(8), F.bround(clauses / 16).cast("long")))
+    epochs = F.least(F.lit(35), F.greatest(F.lit(12), F.bround(120000 / F.greatest(F.col(rows), F.lit(1))).cast("long") + 8))
+    return df.withColumns({"clauses": clauses, "target": target, "specificity": F.lit(5.0), "epochs": epochs})
+
+
+def root_causes(df: DataFrame) -> DataFrame:
+    """df with ``tags``, why a score is low, from accuracy, macro_f1, gap (train less test), majority, imbalance, n_missing,
+    n_infinite and n_constant. ``moderate`` stands only where none of the three before it does."""
+    main = F.array_compact(
+        F.array(
+            F.when((F.col("imbalance") > 20) & (F.col("accuracy") - F.col("macro_f1") > 0.15), "imbalance"),
+            F.when(F.col("gap") > 0.15, "overfit"),
+            F.when(F.col("accuracy") <= F.col("majority") + 0.05, "weak"),
+        )
+    )
+    more = F.array_compact(
+        F.array(
+            F.when((F.col("macro_f1") < 0.7) & (F.size(main) == 0), "moderate"),
+            F.when(F.col("n_missing") + F.col("n_infinite") > 0, "dq"),
+            F.when(F.col("n_constant") > 0, "const"),
+        )
+    )
+    return df.withColumn("tags", F.concat(main, more))
+
+
+def suspects(df: DataFrame, accuracy: str, majority: str) -> DataFrame:
+    """Rows of near-perfect accuracy where the majority class alone doesn't explain it: the labels may leak."""
+    return df.where((F.col(accuracy) >= 0.999) & (F.col(majority) < 0.95))
+
+
+def successes(df: DataFrame, score: str, name: str, least: float = 0.9) -> DataFrame:
+    """Rows of at least this score, best first."""
+    return df.where(F.col(score) >= least).orderBy(F.desc(score), name)
+
+
+def head_to_head(ours: DataFrame, theirs: DataFrame, key: str, score: str, names: tuple[str, str] = ("ours", "theirs")) -> DataFrame:
+    """(key, both scores, delta, winner) for keys that both have; a tie goes to the first side."""
+    a, b = (d.select(key, F.col(score).alias(n)) for d, n in zip((ours, theirs), names, strict=True))
+    delta = F.col(names[0]) - F.col(names[1])
+    return a.join(b, key).withColumn("delta", delta).withColumn("winner", F.when(delta >= 0, names[0]).otherwise(names[1]))
+
+
+def group_summary(df: DataFrame, group: Column, names: tuple[str, str]) -> DataFrame:
+    """From ``head_to_head`` rows: by group the count, how often the first side is at least level, and both means."""
+    a, b = names
+    return df.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("delta") >= 0).alias("level_or_above"), F.avg(a).alias(f"mean_{a}"), F.avg(b).alias(f"mean_{b}"))
+
+
+def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n commonest values with their counts, ties to the smaller value."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def sequence_credit(gains: Column, gamma: float = 0.9, most: int = 8) -> Column:
+    """The discounted sum of the latest ``most`` gains, the newest undiscounted."""
+    last = F.reverse(F.slice(gains, -F.least(F.size(gains), F.lit(most)), most))
+    return F.when(F.size(gains) == 0, 0.0).otherwise(F.aggregate(F.transform(last, lambda v, i: v * F.pow(F.lit(gamma), i)), F.lit(0.0), lambda a, v: a + v))
+
+
+def trimmed(bits: Column, width: int) -> Column:
+    """Values as bits (anything but 0 is 1), cut to a width that two tables share."""
+    return F.transform(F.slice(bits, 1, width), lambda v: (v != 0).cast("tinyint"))

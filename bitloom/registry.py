@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from bitloom.functions.thermo import probabilities, probit
 from bitloom.operators import encoders as E
 from bitloom.operators import evaluate as V
+from bitloom.operators import ladders as L
+from bitloom.operators import ordered as O
 from bitloom.operators import prep as R
+from bitloom.operators import series as T
 from bitloom.streaming import steps as S
+from bitloom.streaming import trackers as K
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,6 +401,201 @@ def bit_report(spark, sf_dir):
     return V.bit_quality(quantile_bits(spark, sf_dir), n).withColumn("entropy", F.round("entropy", 6))
 
 
+# --- ladders and splits; encoders that depend on order ---------------------------------------------------------
+
+
+def _add(name: str, f: Callable, sql: str | None = None) -> None:
+    f.__name__ = name
+    query(sql)(f)
+
+
+for _name, _fit in {
+    "dense_bin_bits": L.dense_bins,
+    "density_width_bits": L.density_and_width,
+    "core_edge_bits": L.core_and_edges,
+    "widest_gap_bits": L.widest_gaps,
+    "around_mode_bits": L.around_mode,
+    "sparse_aware_bits": L.sparse_aware,
+    "variance_split_bits": L.variance_splits,
+    "density_valley_bits": L.density_valleys,
+    "uncorrelated_bits": L.uncorrelated,
+}.items():
+    _add(_name, lambda spark, sf_dir, fit=_fit: lineitem_bits(spark, sf_dir, fit))
+
+
+def _event_bits(spark, sf_dir, fit):
+    df = table(spark, sf_dir, "events").select("event_id", "value")
+    return fit(df, ["value"], "event_id").ones(df)
+
+
+_add("sliding_window_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.sliding_windows))
+_add("segment_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.segments))
+_add("segment_or_density_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.segments_or_density))
+
+
+@query(f"""WITH a AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS n FROM events),
+f AS (SELECT quantile_cont(value, {_list(probabilities(8))}) AS q FROM events),
+l AS (SELECT quantile_cont(value, {_list(probabilities(8))}) AS r FROM a WHERE place >= n - greatest(floor(n * 0.2), 10)),
+t AS (SELECT i AS bit, 0.6 * q[i] + 0.4 * r[i] AS threshold FROM f, l CROSS JOIN range(1, 9) AS g(i))
+SELECT 'value' AS feature, bit, round(threshold, 6) AS threshold, count(*) FILTER (WHERE value >= threshold) AS ones FROM events, t GROUP BY bit, threshold""")
+def recent_blend_bits(spark, sf_dir):
+    return _event_bits(spark, sf_dir, lambda df, f, o: O.drift_robust(df, f, o, how="none"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_totalprice AS a, o_custkey::DOUBLE AS b FROM orders)
+SELECT o_orderkey, round(a / (sqrt(a * a + b * b) + 1e-20), 6) AS a, round(b / (sqrt(a * a + b * b) + 1e-20), 6) AS b FROM r""")
+def levelled_rows(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("a"), F.col("o_custkey").cast("double").alias("b"))
+    return O.levelled(df, ["a", "b"], "l2").withColumns({c: F.round(c, 6) for c in "ab"})
+
+
+_LOCAL = f"""SELECT event_id, array_to_string(list_transform(quantile_cont(value, {_list(probabilities(7))}) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 64 PRECEDING AND CURRENT ROW), lambda t: CASE WHEN value >= t THEN '1' ELSE '0' END), '') AS bits, event_type FROM events"""
+
+
+def _typed_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+
+
+@query(f"SELECT event_id, bits FROM ({_LOCAL})")
+def local_window_bits(spark, sf_dir):
+    return O.local_bits(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value", 64).select("event_id", "bits")
+
+
+# --- series ------------------------------------------------------------------------------------------------------
+
+_ANGLES = [-3.141592653589793, -1.5707963267948966, 0.0, 1.5707963267948966, 3.141592653589793]
+
+
+@query(
+    """WITH d AS (SELECT *, value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS dx FROM events),
+m AS (SELECT event_id, event_type, value - avg(value) OVER (PARTITION BY event_type) AS zx, dx - avg(dx) OVER (PARTITION BY event_type) AS zd FROM d WHERE dx IS NOT NULL),
+r AS (SELECT *, sqrt(zx * zx + zd * zd + 1e-8) AS r, atan2(zd, zx) AS a FROM m),
+e AS (SELECT *, quantile_cont(r, 0.5) OVER (PARTITION BY event_type) AS e FROM r)
+SELECT event_id, """
+    + " || ".join(f"CASE WHEN {ring} AND a >= {_ANGLES[i]} AND a < {_ANGLES[i + 1]} THEN '1' ELSE '0' END" for ring in ("r < e", "r >= e") for i in range(4))
+    + " AS phase FROM e"
+)
+def phase_plane_bits(spark, sf_dir):
+    return T.phase_plane(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("phase is not null").select("event_id", "phase")
+
+
+_COUNTS = ", ".join(f"sum((b = {i})::INTEGER) OVER w / 8.0 AS p{i}" for i in range(8))
+_ENTROPY = " + ".join(f"CASE WHEN p{i} > 0 THEN p{i} * log2(p{i} + 1e-12) ELSE 0 END" for i in range(8))
+
+
+@query(f"""WITH l AS (SELECT event_id, event_type, value, min(value) OVER (PARTITION BY event_type) - 1e-8 AS lo, max(value) OVER (PARTITION BY event_type) + 1e-8 AS hi FROM events),
+b AS (SELECT *, {" + ".join(f"(value >= lo + (hi - lo) / 8 * {i})::INTEGER" for i in range(1, 8))} AS b FROM l),
+p AS (SELECT *, {_COUNTS}, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+h AS (SELECT event_id, event_type, CASE WHEN n = 8 THEN round(-({_ENTROPY}), 9) END AS h FROM p)
+SELECT event_id, (h > tau)::INTEGER AS gate FROM (SELECT *, avg(h) OVER (PARTITION BY event_type) AS tau FROM h) WHERE h IS NOT NULL""")
+def entropy_gates(spark, sf_dir):
+    return T.entropy_gate(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("gate is not null").select("event_id", "gate")
+
+
+@query()
+def moving_entropy_gates(spark, sf_dir):
+    h = T.with_entropy(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value")
+    return S.encode_rows(h, ["event_type"], "event_id", "entropy", lambda: T.MovingGate(2.0))
+
+
+@query()
+def frequency_band_bits(spark, sf_dir):
+    return T.frequency_bands(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("bands is not null").select("event_id", "bands")
+
+
+@query("""WITH s AS (SELECT *, sign(value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) AS s, var_pop(value) OVER (PARTITION BY event_type) + 1e-12 AS g FROM events),
+c AS (SELECT *, (s <> lag(s) OVER (PARTITION BY event_type ORDER BY event_id))::INTEGER AS c FROM s),
+w AS (SELECT event_id, g, sum((s = 1)::INTEGER) OVER w8 / 8.0 AS up, sum((s = -1)::INTEGER) OVER w8 / 8.0 AS down, sum(c) OVER w7 / 7.0 AS turns, var_pop(value) OVER w9 AS v, count(*) OVER w9 AS n FROM c
+WINDOW w7 AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w8 AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), w9 AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW))
+SELECT event_id, (up > 0.7)::INTEGER || '' || (down > 0.7)::INTEGER || (turns > 0.4)::INTEGER || (v > 2 * g)::INTEGER || (v < 0.3 * g)::INTEGER AS logic FROM w WHERE n = 9""")
+def temporal_predicate_bits(spark, sf_dir):
+    return T.temporal_predicates(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("logic is not null").select("event_id", "logic")
+
+
+@query()
+def chronological_bits(spark, sf_dir):
+    return T.chronological(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").select("event_id", "bits")
+
+
+@query(f"""WITH b AS ({_LOCAL}), s AS (SELECT event_id, bits || lag(bits) OVER w || lag(bits, 2) OVER w AS bits FROM b WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+SELECT event_id, bits, substr(bits, 1, 1) = '1' AND substr(bits, 11, 1) <> '1' AS fires FROM s WHERE bits IS NOT NULL""")
+def stacked_clauses(spark, sf_dir):
+    b = O.local_bits(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value", 64)
+    return T.stacked(b, ["event_type"], "event_id", lags=2).select("event_id", "bits", T.clause(F.col("bits"), [(0, False), (10, True)]).alias("fires"))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-5 * (value - 50) / 100)), 9) AS low, round(1 / (1 + exp(-5 * (value / 100 - 2))), 9) AS high FROM events")
+def soft_event_bits(spark, sf_dir):
+    df = _typed_events(spark, sf_dir).withColumn("b", T.soft_bits(F.col("value") / 100, [0.5, 2.0]))
+    return df.select("event_id", F.round(F.get("b", 0), 9).alias("low"), F.round(F.get("b", 1), 9).alias("high"))
+
+
+@query()
+def momentum_series(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", T.momentum_bits(F.col("embedding").cast("array<double>")).alias("bits"))
+    return df.withColumns({"n_events": F.size(T.events(F.col("bits"))).cast("long"), "sparsity": T.sparsity(F.col("bits")), "compression": T.compression(F.col("bits"))})
+
+
+# --- more online encoders ----------------------------------------------------------------------------------------
+
+for _name, _make in {
+    "oscillator_online": K.Oscillator,
+    "step_size_online": K.StepSize,
+    "digest_quantiles_online": K.DigestQuantiles,
+    "steady_markers_online": K.SteadyMarkers,
+    "dual_speed_online": K.DualSpeed,
+    "drift_reset_online": K.DriftReset,
+    "momentum_online": T.Momentum,
+}.items():
+    _add(_name, lambda spark, sf_dir, make=_make: _online(spark, sf_dir, make))
+_add("drift_reset_fixed_online", lambda spark, sf_dir: _online(spark, sf_dir, lambda: K.DriftReset(fixed=True)))
+
+
+# --- more reports ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), k AS (SELECT c_nationkey, n, least(2000, greatest(256, 2 * CAST(ceil(round_even(50 * (c_nationkey + 1) + 0.3 * n, 0) / 2) AS BIGINT))) AS clauses FROM c)
+SELECT c_nationkey, clauses, least(120, greatest(8, CAST(round_even(clauses / 16, 0) AS BIGINT))) AS target, 5.0::DOUBLE AS specificity, least(35, greatest(12, CAST(round_even(120000 / n, 0) AS BIGINT) + 8)) AS epochs FROM k""")
+def training_plans(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.col("c_nationkey") + 1)
+    return V.training_plan(df, "n", "n", "k").drop("n", "k")
+
+
+@query("""WITH f AS (SELECT n_nationkey AS k, n_nationkey * 3 AS im, 0.5 + n_nationkey / 50 AS acc, n_nationkey / 30 AS f1, n_regionkey / 10 AS gap, n_regionkey / 5 AS base, n_nationkey % 3 AS mi, n_nationkey % 2 AS co FROM nation),
+t AS (SELECT *, im > 20 AND acc - f1 > 0.15 AS a, gap > 0.15 AS b, acc <= base + 0.05 AS c FROM f)
+SELECT k, concat_ws(',', CASE WHEN a THEN 'imbalance' END, CASE WHEN b THEN 'overfit' END, CASE WHEN c THEN 'weak' END, CASE WHEN f1 < 0.7 AND NOT (a OR b OR c) THEN 'moderate' END, CASE WHEN mi > 0 THEN 'dq' END, CASE WHEN co > 0 THEN 'const' END) AS tags FROM t""")
+def cause_tags(spark, sf_dir):
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    made = {"imbalance": k * 3, "accuracy": 0.5 + k / 50, "macro_f1": k / 30, "gap": r / 10, "majority": r / 5, "n_missing": k % 3, "n_infinite": F.lit(0), "n_constant": k % 2}
+    return V.root_causes(table(spark, sf_dir, "nation").withColumns(made)).select(k.alias("k"), F.concat_ws(",", "tags").alias("tags"))
+
+
+_SIDES = "SELECT n_name AS dataset, n_regionkey, avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 0) AS a, avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 1) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL"
+
+
+def _sides(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    side = lambda odd: j.where(F.col("c_custkey") % 2 == odd).groupBy(F.col("n_name").alias("dataset")).agg(F.avg("c_acctbal").alias("score"))
+    return V.head_to_head(side(0), side(1), "dataset", "score", ("a", "b"))
+
+
+@query(f"SELECT dataset, round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS delta, CASE WHEN a >= b THEN 'a' ELSE 'b' END AS winner FROM ({_SIDES})")
+def head_to_head(spark, sf_dir):
+    return _sides(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("a", "b", "delta")})
+
+
+@query(f"SELECT CASE WHEN dataset < 'I' THEN 'early' ELSE 'late' END AS \"group\", count(*) AS n, count(*) FILTER (WHERE a >= b) AS level_or_above, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b FROM ({_SIDES}) GROUP BY 1")
+def group_summary(spark, sf_dir):
+    g = F.when(F.col("dataset") < "I", "early").otherwise("late")
+    return V.group_summary(_sides(spark, sf_dir), g, ("a", "b")).withColumns({c: F.round(c, 6) for c in ("mean_a", "mean_b")})
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
+def commonest_nations(spark, sf_dir):
+    return V.most_common(table(spark, sf_dir, "customer"), "c_nationkey", 12)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
