@@ -14,6 +14,7 @@ from bitloom.operators import ladders as L
 from bitloom.operators import ordered as O
 from bitloom.operators import prep as R
 from bitloom.operators import series as T
+from bitloom.streaming import regimes as G
 from bitloom.streaming import steps as S
 from bitloom.streaming import trackers as K
 
@@ -530,6 +531,14 @@ def soft_event_bits(spark, sf_dir):
     return df.select("event_id", F.round(F.get("b", 0), 9).alias("low"), F.round(F.get("b", 1), 9).alias("high"))
 
 
+@query("""WITH c AS (SELECT DISTINCT event_type FROM events), p AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i FROM c)
+SELECT event_id, (i // 8 % 2) || '' || (i // 4 % 2) || (i // 2 % 2) || (i % 2) AS bits FROM events JOIN p USING (event_type)""")
+def category_bit_strings(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type")
+    values = sorted(r[0] for r in df.select("event_type").distinct().limit(17).collect())  # more than 16 are refused
+    return df.select("event_id", G.category_bits(F.col("event_type"), values).alias("bits"))
+
+
 @query()
 def momentum_series(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", T.momentum_bits(F.col("embedding").cast("array<double>")).alias("bits"))
@@ -546,6 +555,12 @@ for _name, _make in {
     "dual_speed_online": K.DualSpeed,
     "drift_reset_online": K.DriftReset,
     "momentum_online": T.Momentum,
+    "incoherence_online": G.Incoherence,
+    "signal_quantiles_online": G.SignalQuantiles,
+    "fast_follower_online": G.FastFollower,
+    "drift_follower_online": G.DriftFollower,
+    "warm_schema_online": G.WarmSchema,
+    "charted_schema_online": G.ChartedSchema,
 }.items():
     _add(_name, lambda spark, sf_dir, make=_make: _online(spark, sf_dir, make))
 _add("drift_reset_fixed_online", lambda spark, sf_dir: _online(spark, sf_dir, lambda: K.DriftReset(fixed=True)))

@@ -160,15 +160,19 @@ def flip_rates(df: DataFrame, stream: list[str], seq: str, column: str = "bits")
 
 
 def _run(machine, xs) -> list[str]:
+    if hasattr(machine, "begin"):
+        machine.begin([float(x) for x in list(xs)[: machine.warm]])
     return ["".join(map(str, machine.step(float(x)))) for x in xs]
 
 
 def encode_rows(df: DataFrame, stream: list[str], seq: str, value: str, make: Callable) -> DataFrame:
     """(stream..., seq, bits) of every row, in order of seq within a stream; null and non-finite values are skipped.
 
-    ``make()`` gives a fresh machine. Parallel over streams: split features into streams of their own."""
+    ``make()`` gives a fresh machine; one that ``takes_all`` is given NaN and infinite values too (null as NaN). Parallel over streams: split features into streams of their own."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = df.select(*stream, seq, F.col(value).cast("double").alias("__x")).where("__x is not null and not isnan(__x) and abs(__x) < double('infinity')")
+    rows = df.select(*stream, seq, F.col(value).cast("double").alias("__x"))
+    if not getattr(make(), "takes_all", False):
+        rows = rows.where("__x is not null and not isnan(__x) and abs(__x) < double('infinity')")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq, kind="stable")
@@ -178,9 +182,13 @@ def encode_rows(df: DataFrame, stream: list[str], seq: str, value: str, make: Ca
 
 
 def encode_live(df: DataFrame, stream: str, seq: str, value: str, make: Callable) -> DataFrame:
-    """The same over a streaming DataFrame: chunks are sorted by seq, the machine lives in the state store."""
+    """The same over a streaming DataFrame: chunks are sorted by seq, the machine lives in the state store.
+
+    Machines that need a warm-up (``begin``) are refused: their first values can't be encoded as they arrive."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    if hasattr(make(), "begin"):
+        raise ValueError("an encoder with a warm-up runs over tables only")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

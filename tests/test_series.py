@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bitloom.operators import evaluate as V
 from bitloom.operators import series as T
 from bitloom.sources import files as I
+from bitloom.streaming import regimes as G
 from bitloom.streaming import steps as S
 from bitloom.streaming import trackers as K
 
@@ -150,3 +151,56 @@ def test_replay_of_streams_is_independent(spark):
     both = {(r["s"], r["i"]): r["bits"] for r in S.encode_rows(df, ["s"], "i", "v", K.DualSpeed).collect()}
     one = {(r["s"], r["i"]): r["bits"] for r in S.encode_rows(df.where("s = 1"), ["s"], "i", "v", K.DualSpeed).collect()}
     assert all(both[k] == v for k, v in one.items())
+
+
+def test_incoherence_by_hand():
+    m = G.Incoherence(k=2, warm_up=1)
+    assert [m.step(v) for v in (1.0, 1.0, float("nan"), float("inf"))] == [[0, 0], [0, 0], [0, 0], [1, 1]]
+    assert m.slow == 1 and m.n == 4 and m.step(50.0) == [1, 1]
+
+
+def test_categories_hash_until_they_are_numbers():
+    m = G.SignalQuantiles()
+    rows = [m.step(float(i % 3)) for i in range(50)]
+    assert all(len(r) == 12 for r in rows) and len({tuple(r) for r in rows[30:]}) == 3
+    m.step(0.5)
+    assert m.counts is None and len(m.step(1.0)) == 12 and m.counts is None
+    one = G.SignalQuantiles()
+    key = int(np.frombuffer(np.float64(7.0).tobytes(), np.int64)[0])
+    with np.errstate(over="ignore"):
+        h = ((np.array(one.a, np.int64) * np.int64(key) + np.array(one.b, np.int64)) % np.int64(2147483647)) & 1
+    assert one.step(7.0) == [1, *h[1:]]
+
+
+def test_followers_and_schemas(spark):
+    x = np.random.default_rng(0).normal(size=3000)
+    d = G.DriftFollower()
+    rows = [d.step(float(v)) for v in x]
+    assert not any(map(any, rows[:99])) and any(map(any, rows[99:]))
+    f = G.FastFollower()
+    assert {b for v in x for b in f.step(float(v))} == {0, 1}
+    w = G.WarmSchema()
+    w.begin(x[:600].tolist())
+    assert np.allclose(w.at, np.quantile(x[:600], w.probs)) and 1 < len(w.at) <= 11
+    rate = np.mean([w.step(float(v)) for v in x], axis=0)[: len(w.at)]
+    assert np.allclose(rate, 1 - np.array(w.probs), atol=0.12)
+    c = G.ChartedSchema()
+    c.begin(x[:64].tolist())
+    out = [c.step(float(v)) for v in [*x[:500], *(x[500:600] + 30)]]
+    assert any(r[-1] for r in out[500:540]) and len({len(r) for r in out}) == 1
+    for xs in ([], [1.0], [0.0] * 70):
+        for make in (G.WarmSchema, G.ChartedSchema):
+            m = make()
+            m.begin(xs)
+            assert all(len(m.step(v)) <= 3 for v in xs)
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, float("nan"), float("inf"), None])], "s int, i long, v double")
+    assert S.encode_rows(df, ["s"], "i", "v", G.WarmSchema).count() == 1 and S.encode_rows(df, ["s"], "i", "v", G.Incoherence).count() == 4
+    with pytest.raises(ValueError):
+        S.encode_live(df, "s", "i", "v", G.WarmSchema)
+
+
+def test_category_bits(spark):
+    df = spark.createDataFrame([("a",), ("c",), (None,), ("z",)], "x string")
+    assert [r[0] for r in df.select(G.category_bits(F.col("x"), ["a", "b", "c"])).collect()] == ["0000", "0010", "0000", "0000"]
+    with pytest.raises(ValueError):
+        G.category_bits(F.col("x"), [str(i) for i in range(17)])
