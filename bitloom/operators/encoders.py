@@ -245,11 +245,51 @@ def budgeted(df: DataFrame, features: list[str], fd: bool = True, fixed: int = 8
 
 
 def even_bins(df: DataFrame, features: list[str], k: int = 8, strategy: str = "quantile") -> Model:
-    """The inner edges of k + 1 bins of even count or even width; edges that coincide merge, so there may be fewer."""
+    """The inner edges of k + 1 bins of even count, even width or least squares (``kmeans``); edges that coincide merge, so
+    there may be fewer. Features without values have none."""
+    s = P.moments(df, features)
+    live = [f for f in features if s[f]["n"]]
+    out: dict[str, list[float]] = {f: [] for f in features}
     if strategy == "quantile":
-        q = P.quantiles(df, features, [0.0, *probabilities(k), 1.0])
-        edges = {f: [e for i, e in enumerate(q[f]) if i == 0 or e - q[f][i - 1] > 1e-8] for f in features}
+        q = P.quantiles(df, live, [0.0, *probabilities(k), 1.0]) if live else {}
+        out |= {f: [e for i, e in enumerate(q[f]) if i == 0 or e - q[f][i - 1] > 1e-8][1:-1] for f in live}
+    elif strategy == "uniform":
+        out |= {f: np.linspace(s[f]["lo"], s[f]["hi"], k + 2).tolist()[1:-1] for f in live}
+    elif strategy == "kmeans":
+        out |= _least_squares(df, [f for f in live if s[f]["hi"] > s[f]["lo"]], s, k + 1)
     else:
-        s = P.moments(df, features)
-        edges = {f: np.linspace(s[f]["lo"], s[f]["hi"], k + 2).tolist() for f in features}
-    return Model({f: e[1:-1] for f, e in edges.items()})
+        raise ValueError(f"no such strategy: {strategy}")
+    return Model(out)
+
+
+def _least_squares(df: DataFrame, features: list[str], s: dict, bins: int, rounds: int = 300, tolerance: float = 1e-4) -> dict[str, list[float]]:
+    """Lloyd's rounds from the middles of even bins, all features in one aggregation a round, until the centres move by less
+    than the tolerance times the variance; a bin without rows moves to the value farthest from the mean of its bin."""
+    centre, edges, moving = {}, {}, list(features)
+    for f in features:
+        ends = np.linspace(s[f]["lo"], s[f]["hi"], bins + 1)
+        centre[f] = (ends[1:] + ends[:-1]) / 2
+        edges[f] = (centre[f][1:] + centre[f][:-1]) / 2
+    x = P.clean(df, features).persist() if features else None
+    for _ in range(rounds):
+        if not moving:
+            break
+        made = []
+        for f in moving:
+            full = [-math.inf, *edges[f].tolist(), math.inf]
+            for i, (a, b) in enumerate(zip(full[:-1], full[1:], strict=True)):
+                v = F.when((F.col(f) >= F.lit(a)) & (F.col(f) < F.lit(b)), F.col(f))
+                made += [F.avg(v).alias(f"{f}|{i}"), F.min(v).alias(f"{f}|{i}|lo"), F.max(v).alias(f"{f}|{i}|hi")]
+        row, still = x.agg(*made).first(), []
+        for f in moving:
+            full = [i for i in range(bins) if row[f"{f}|{i}"] is not None]
+            far = sorted({row[f"{f}|{i}|{e}"]: abs(row[f"{f}|{i}|{e}"] - row[f"{f}|{i}"]) for i in full for e in ("lo", "hi")}.items(), key=lambda v: -v[1])
+            new = np.sort([*(row[f"{f}|{i}"] for i in full), *(v for v, _ in far[: bins - len(full)])])
+            new = np.sort([*new, *[new[-1]] * (bins - len(new))])
+            if float(((new - centre[f]) ** 2).sum()) > tolerance * s[f]["sd"] ** 2:
+                still.append(f)
+            centre[f], edges[f] = new, (new[1:] + new[:-1]) / 2
+        moving = still
+    if x is not None:
+        x.unpersist()
+    return {f: sorted(set(edges[f].tolist())) for f in features}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions.thermo import probabilities, probit
+from bitloom.operators import baseline as B
 from bitloom.operators import encoders as E
 from bitloom.operators import evaluate as V
 from bitloom.operators import ladders as L
@@ -420,6 +421,7 @@ for _name, _fit in {
     "variance_split_bits": L.variance_splits,
     "density_valley_bits": L.density_valleys,
     "uncorrelated_bits": L.uncorrelated,
+    "least_squares_bits": lambda df, features: E.even_bins(df, features, strategy="kmeans"),
 }.items():
     _add(_name, lambda spark, sf_dir, fit=_fit: lineitem_bits(spark, sf_dir, fit))
 
@@ -561,11 +563,20 @@ for _name, _make in {
     "drift_follower_online": G.DriftFollower,
     "warm_schema_online": G.WarmSchema,
     "charted_schema_online": G.ChartedSchema,
+    "reservoir_quantiles_online": G.ReservoirQuantiles,
+    "window_quantiles_online": G.WindowQuantiles,
 }.items():
     _add(_name, lambda spark, sf_dir, make=_make: _online(spark, sf_dir, make))
 _add("drift_reset_fixed_online", lambda spark, sf_dir: _online(spark, sf_dir, lambda: K.DriftReset(fixed=True)))
 
 
+@query()
+def forest_baseline(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumn("kind", F.element_at(F.split("p_type", " "), -1))
+    rows = R.split(df.select("p_partkey", "p_size", "p_retailprice", "kind"), "kind", "p_partkey")
+    return B.predictions(rows.where("not is_test"), rows.where("is_test"), ["p_size", "p_retailprice"], "kind", trees=20, depth=5).select("p_partkey", "kind", "predicted")
+
+
 # --- more reports ------------------------------------------------------------------------------------------------
 
 

@@ -291,3 +291,44 @@ class ChartedSchema(WarmSchema):
             self.horizon, self.chart, self.left = float(self.width + 2), self.usual, int(math.sqrt(self.recent.maxlen))
         self.left, self.last = max(self.left - 1, 0), x
         return out
+
+
+class ReservoirQuantiles:
+    """Quantiles of a seeded uniform sample of ``size`` of all values seen (Vitter's algorithm R), found anew every ``every``
+    values; exact while no more than ``size`` were seen. Emits, then moves; zeros until the first time."""
+
+    def __init__(self, probs: list[float] | None = None, size: int = 4096, every: int = 100, seed: int = 1):
+        self.probs, self.size, self.every = list(probs or probabilities(8)), size, every
+        self.rng, self.kept, self.n, self.at = np.random.default_rng(seed), [], 0, None
+
+    def step(self, x: float) -> list[int]:
+        out = [0] * len(self.probs) if self.at is None else [int(x >= t) for t in self.at]
+        self.n += 1
+        if len(self.kept) < self.size:
+            self.kept.append(x)
+        else:
+            place = int(self.rng.integers(self.n))
+            if place < self.size:
+                self.kept[place] = x
+        if self.n % self.every == 0:
+            self.refit()
+        return out
+
+    def refit(self) -> None:
+        self.at = np.quantile(self.kept, self.probs).tolist()
+
+
+class WindowQuantiles:
+    """Quantiles of the last ``window`` values, found anew every ``every`` values; each value counts once. Emits, then moves;
+    zeros until the first time."""
+
+    def __init__(self, k: int = 8, window: int = 1000, every: int = 100):
+        self.probs, self.every, self.kept, self.n, self.at = probabilities(k), every, deque(maxlen=window), 0, None
+
+    def step(self, x: float) -> list[int]:
+        out = [0] * len(self.probs) if self.at is None else [int(x >= t) for t in self.at]
+        self.kept.append(x)
+        self.n += 1
+        if self.n % self.every == 0:
+            self.at = np.quantile(list(self.kept), self.probs).tolist()
+        return out

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bitloom.operators import baseline as B
+from bitloom.operators import encoders as E
 from bitloom.operators import evaluate as V
 from bitloom.operators import series as T
 from bitloom.sources import files as I
@@ -204,3 +206,30 @@ def test_category_bits(spark):
     assert [r[0] for r in df.select(G.category_bits(F.col("x"), ["a", "b", "c"])).collect()] == ["0000", "0010", "0000", "0000"]
     with pytest.raises(ValueError):
         G.category_bits(F.col("x"), [str(i) for i in range(17)])
+
+
+def test_reservoir_and_window_quantiles():
+    x = np.random.default_rng(6).normal(size=2000)
+    r, w = G.ReservoirQuantiles(size=300), G.WindowQuantiles(window=150, every=50)
+    for v in x[:300]:
+        r.step(float(v))
+    assert np.allclose(r.at, np.quantile(x[:300], np.arange(1, 9) / 9))
+    for v in x[300:]:
+        r.step(float(v))
+    assert len(r.kept) == 300 and np.allclose(r.at, np.quantile(x, np.arange(1, 9) / 9), atol=0.3)
+    for v in x:
+        w.step(float(v))
+    assert np.allclose(w.at, np.quantile(x[-150:], np.arange(1, 9) / 9))
+
+
+def test_least_squares_bins(spark):
+    df = spark.createDataFrame([(float(c + d), 1.0) for c in (0, 10, 50) for d in (0, 1, 2)], "x double, one double")
+    assert E.even_bins(df, ["x", "one"], 2, "kmeans").thresholds == {"x": [6.0, 31.0], "one": []}
+    assert E.even_bins(df.limit(0), ["x"], 2).thresholds == {"x": []}
+
+
+def test_models_learn(spark):
+    df = spark.createDataFrame([(i, float(i % 10), None if i % 50 == 0 else float(i), "hi" if i % 10 > 4 else "lo") for i in range(300)], "i long, a double, b double, y string")
+    for model in ("forest", "boosted"):
+        got = B.predictions(df.where("i < 200"), df.where("i >= 200"), ["a", "b"], "y", model, trees=5)
+        assert got.columns == ["i", "a", "b", "y", "predicted"] and got.where("predicted = y").count() >= 95
