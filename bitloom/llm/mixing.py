@@ -1,12 +1,12 @@
 """Mixing to target weights with soft domain membership.
 
 A softmax classifier fitted on a bounded labelled sample (rows of the labels table; the domain is a column of the
-documents) gives every document its domain posterior ``p``. Rates ``r >= 0`` minimise
-``|sum_i r_i t_i p_i - T|^2`` over the domain token targets ``T`` by projected gradient: a step moves each rate by
-``-step * p_i . residual`` (the gradient in the metric weighted by a document's tokens) and clips it at 0, and the
-residual is a distributed sum of as many numbers as there are domains. A rate after k steps is a fold over the k
-residuals, so no per-document state is kept between steps: each pass reads the posteriors (written once) and rebuilds
-the rates in the same Arrow pass. The step is the inverse of the largest eigenvalue of the token-weighted Gram matrix.
+documents) gives every document its domain posterior ``p``. Of the rates ``r >= 0`` that meet the domain token targets
+``T`` those nearest to 1 are taken (squares weighted by a document's tokens ``t``): they are ``max(0, 1 - p_i . v)`` for
+one vector ``v``, as long as there are domains, which damped Newton steps find (``sum_i r_i t_i p_i = T``); each step is
+one pass that sums, over posteriors written once, as many numbers as a Gram matrix has. Every domain ends within
+``tolerance`` of its own target; where that fails (no rates meet the targets, or ``steps`` passes do not suffice) the
+nearest sums found are used and a warning names the domains and their figures. The rates are rebuilt in the last pass.
 Posteriors are stored as integers (1/10000ths, adding up to 10000), so sums don't depend on the partitioning.
 
 Targets: ``share ** alpha`` of the posterior token shares, normalised, scaled up so that no domain shrinks.
@@ -18,6 +18,7 @@ every rate is 1; an empty table gives no rows. Extra columns pass through ``mix`
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,47 +111,68 @@ def rates(q: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 
 def solve(grouped: DataFrame, classes: int, p: Params = Params(), targets: np.ndarray | None = None) -> np.ndarray:
-    """The moves of the projected gradient over (``__p``, ``__w``): a posterior and its tokens."""
+    """The move that meets the targets over (``__p``, ``__w``): a posterior and its tokens; one row, or none without tokens."""
     spark = grouped.sparkSession
 
-    def total(moves: np.ndarray, gram: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(moves)
+    def total(v: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(v)
 
         def run(batches):
-            out = np.zeros(classes * (1 + classes * gram))
+            out = np.zeros(1 + classes + classes * classes)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q = batch.column("__p").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
-                w = batch.column("__w").to_numpy(zero_copy_only=False).astype(float)
-                s = q / UNIT
-                if gram:
-                    out += np.concatenate((w @ s, ((s * w[:, None]).T @ s).ravel()))
-                else:
-                    out += (w * rates(q, shared.value)) @ s
+                if batch.num_rows:
+                    q = batch.column("__p").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+                    out += sums(q, batch.column("__w").to_numpy(zero_copy_only=False).astype(float), shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["v"])
 
         parts = [r["v"] for r in grouped.select("__p", "__w").mapInArrow(run, "v array<double>").collect()]
-        return np.sum(parts, 0) if parts else np.zeros(classes * (1 + classes * gram))
+        return np.sum(parts, 0) if parts else np.zeros(1 + classes + classes * classes)
 
-    first = total(np.zeros((0, classes)), True)
-    have, gram = first[:classes], first[classes:].reshape(classes, classes)
-    if have.sum() <= 0:
+    return newton(total, classes, p, targets)
+
+
+def sums(q: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Half the squared rates, the tokens by domain, and the Gram matrix of the rows whose rate is above 0, after the move v."""
+    s = q / UNIT
+    r = np.maximum(0.0, 1 - s @ v)
+    on = s[r > 0]
+    return np.concatenate(([w @ (r * r) / 2], (w * r) @ s, ((on * w[r > 0, None]).T @ on).ravel()))
+
+
+def newton(total, classes: int, p: Params, targets: np.ndarray | None) -> np.ndarray:
+    """Damped Newton steps on the dual until every domain is within ``tolerance`` of its target; warns if one is not."""
+    split = lambda x: (x[0], x[1 : 1 + classes], x[1 + classes :].reshape(classes, classes))
+    v = np.zeros(classes)
+    value, have, gram = split(total(v))
+    tokens = have.sum()
+    if tokens <= 0:
         return np.zeros((0, classes))
     if targets is None:
-        want = np.where(have > 0, (have / have.sum()) ** p.alpha, 0)
+        want = np.where(have > 0, (have / tokens) ** p.alpha, 0)
         want /= want.sum()
         targets = want * np.max(np.divide(have, want, out=np.zeros(classes), where=want > 0))
-    step = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-9)
-    moves = np.zeros((0, classes))
-    now = have
+    slack = p.tolerance * np.where(targets > 0, targets, targets.sum())
+    eig = np.linalg.eigvalsh(gram)
+    least = max(1e-3 * eig[0], 1e-12 * eig[-1])
+    damp, now, best = least, have, (np.inf, v, have)
     for _ in range(p.steps):
         gap = now - targets
-        if np.abs(gap).max() <= p.tolerance * targets.sum():
+        best = min(best, (np.linalg.norm(gap), v, now), key=lambda x: x[0])
+        if (np.abs(gap) <= slack).all():
             break
-        moves = np.vstack((moves, step * gap))
-        now = total(moves, False)
-    return moves
+        move = np.linalg.solve(gram + damp * np.eye(classes), gap)
+        value2, now2, gram2 = split(total(v + move))
+        if value2 + targets @ (v + move) <= value + targets @ v - 1e-4 * gap @ move + 1e-12 * abs(value):
+            v, value, now, gram, damp = v + move, value2, now2, gram2, max(least, damp / 100)
+        else:
+            damp *= 100
+    gap = now - targets
+    _, v, now = min(best, (np.linalg.norm(gap), v, now), key=lambda x: x[0])
+    off = np.flatnonzero(np.abs(now - targets) > slack)
+    if len(off):
+        parts = ", ".join(f"domain {k}: {now[k]:.6g} of {targets[k]:.6g} tokens" for k in off)
+        warnings.warn(f"mixing: targets are not met after {p.steps} steps ({parts})", RuntimeWarning, stacklevel=2)
+    return v[None, :]
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, p: Params = Params(), targets: np.ndarray | None = None) -> tuple[DataFrame, Model]:
