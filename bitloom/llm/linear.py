@@ -9,6 +9,7 @@ buckets, so a model's size is fixed whatever the corpus. Two weightings:
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
+from bitloom.llm.shared import written
 from bitloom.llm.textstats import shape_buckets
 
 SCALE = 30.0
@@ -104,26 +106,63 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     return rows.where("__lid is not null and __y is not null").groupBy("__lid").agg(F.max("__y").alias("__y"))
 
 
-def sample(docs: DataFrame, marks: DataFrame | None, rows: int, chars: int, carry: list[Column]) -> DataFrame:
-    """At most ``rows`` documents and ``chars`` characters of text, by hash of the id: a documented bound for fitting.
+def quotas(have: dict, rows: int) -> dict:
+    """Rows of each class: in proportion, but a tenth of an even share at least (or all that the class has)."""
+    total, least = max(1, sum(have.values())), -(-rows // (10 * max(1, len(have))))
+    return {c: min(n, max(least, rows * n // total)) for c, n in have.items()}
 
-    With marks (``__lid``, ``__y``) those documents are drawn, else any. Only the drawn ids, a bounded table, meet the
-    documents, by broadcast; of several texts of an id the one with the smallest hash is taken. Columns: ``__id``,
-    ``__text``, ``__y`` (null without marks) and those in ``carry``."""
+
+def fitting(cost: np.ndarray, rows: int, budget: float) -> np.ndarray:
+    """Which rows are taken, in order: each that still fits; if none does, the cheapest."""
+    cost, out = np.asarray(cost), np.zeros(len(cost), bool)
+    for i, c in enumerate(cost):
+        if rows and c <= budget:
+            out[i], budget, rows = True, budget - c, rows - 1
+    if len(cost) and not out.any():
+        out[cost.argmin()] = True
+    return out
+
+
+def sample(docs: DataFrame, marks: DataFrame, rows: int, chars: int, carry: list[Column], bits: int) -> DataFrame:
+    """About ``rows`` of the marked documents, by hash of the id and with a quota for each class: a documented bound for fitting.
+
+    Marks are ``__lid``, ``__y`` (the class) and, if some are to come first, ``__o``. Those without a document take no
+    place. A class has its share of ``chars``, of which a document takes its length, or ``2**bits`` if that is less (it
+    cannot have more features); one that doesn't fit is left out and the next ones are tried. Only the drawn ids, a
+    bounded table, meet the documents, by broadcast; of several texts of an id the one with the smallest hash is taken.
+    Columns: ``__id``, ``__text``, ``__y``, ``__size`` (documents of the class) and those in ``carry``."""
     spark = docs.sparkSession
-    base = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = (base.select(F.col("doc_id").cast("long").alias("__lid"), F.lit(None).cast("double").alias("__y")) if marks is None else marks).withColumn("__h", F.xxhash64("__lid", F.lit(11)))
-    drawn = ids.orderBy("__h", "__lid").limit(rows).toPandas().drop_duplicates("__lid")
-    table = lambda x: spark.createDataFrame(pd.DataFrame({"__lid": x["__lid"].to_numpy(np.int64), "__y": x["__y"].to_numpy(float)}), "__lid long, __y double")
-    body = base.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *carry)
-    size = body.join(F.broadcast(table(drawn)), F.col("__id") == F.col("__lid")).groupBy("__id").agg(F.max(F.length("__text")).alias("n")).toPandas()
-    drawn = drawn.merge(size, left_on="__lid", right_on="__id").sort_values(["__h", "__lid"])
-    drawn = drawn[(drawn["n"].cumsum() <= chars).to_numpy() | (np.arange(len(drawn)) == 0)]
+    body = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *carry)
+    size = body.select("__id", F.length("__text").alias("__len")).groupBy("__id").agg(F.max("__len").alias("__len"))
+    order = F.col("__o") if "__o" in marks.columns else F.lit(0)
+    there = written(marks.join(size, F.col("__lid") == F.col("__id")).select("__lid", "__y", "__len", order.alias("__o"), F.xxhash64("__lid", F.lit(11)).alias("__h")), "sample")
+    have = {r["__y"]: r["n"] for r in there.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
+    quota, drawn = quotas(have, rows), []
+    for y in sorted(have):
+        some = there.where(F.col("__y") == y).orderBy("__o", "__h", "__lid").limit(2 * quota[y]).toPandas()
+        some = some[fitting(np.minimum(some["__len"], 1 << bits), quota[y], chars * quota[y] / sum(quota.values()))]
+        drawn.append(some.assign(__size=float(have[y])))
+    drawn = pd.concat(drawn) if drawn else pd.DataFrame({"__lid": [], "__y": [], "__size": []})
+    table = spark.createDataFrame(pd.DataFrame({"__lid": drawn["__lid"].to_numpy(np.int64), "__y": drawn["__y"].to_numpy(float), "__size": drawn["__size"].to_numpy(float)}), "__lid long, __y double, __size double")
     names = [c for c in body.columns if c not in ("__id", "__text")]
-    got = body.join(F.broadcast(table(drawn)), F.col("__id") == F.col("__lid")).groupBy("__id").agg(F.min_by(F.struct("__text", "__y", *names), F.xxhash64("__text")).alias("r"))
+    got = body.join(F.broadcast(table), F.col("__id") == F.col("__lid")).groupBy("__id").agg(F.min_by(F.struct("__text", "__y", "__size", *names), F.xxhash64("__text")).alias("r"))
     return got.select("__id", "r.*")
 
 
+def prior_shift(rows: pd.DataFrame) -> float:
+    """What the log odds of class 1 are in all marked documents beyond those in the sample."""
+    n, size = rows.groupby("__y").size(), rows.groupby("__y")["__size"].first()
+    return float(np.log(size[1.0] / size[0.0]) - np.log(n[1.0] / n[0.0])) if {0.0, 1.0} <= set(n.index) else 0.0
+
+
+def both_classes(rows: pd.DataFrame, what: str) -> bool:
+    """Whether there are rows of two classes; if not, says what that means."""
+    if rows["__y"].nunique() > 1:
+        return True
+    warnings.warn(f"{what}: the documents' labels have {rows['__y'].nunique()} of two classes, so nothing can be told apart", RuntimeWarning, stacklevel=2)
+    return False
+
+
 def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, pd.DataFrame]:
     """The sample's features, made on the executors and brought to the driver (bounded by the sample's bound)."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -147,7 +186,7 @@ def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, p
     rest = got.select(["__id", *carry]).to_pandas()
     del got
     K.give_back()
-    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, np.ones(len(idx), np.float32) if spec.presence else val, len(size)), rest
+    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, np.broadcast_to(np.float32(1), len(idx)) if spec.presence else val, len(size)), rest
 
 
 def pick(x: Sparse, mask: np.ndarray) -> Sparse:

@@ -1,13 +1,13 @@
 """Quality rules: base text statistics, then a calibrated hashed n-gram logistic regression.
 
-The model (hashed character and word n-grams, ``mean`` weighting) is fitted on at most ``Params.rows`` labelled rows
-and ``Params.chars`` characters, Platt-calibrated on a fifth of them, and scored in Arrow batches against the fixed
+The model (hashed character and word n-grams, ``mean`` weighting) is fitted on about ``Params.rows`` labelled rows,
+drawn by class within ``Params.chars`` characters (``linear.sample``), Platt-calibrated on a fifth of them, and scored in Arrow batches against the fixed
 ``Params.threshold``. Every document is scored on its whole text in one narrow pass; only the labelled ids shuffle.
 
 Defined results: null or empty text has no words, so its counts are 0 and ``base_failed`` is true; repeated rows
 give repeated results; rows with a null id are scored and returned; labels without a document, with a null id or a
 null label are ignored, and of several labels of one id the largest holds; without any usable label the model
-accepts everything the base rules accept. Extra columns of the inputs are ignored.
+accepts everything the base rules accept, and with a class missing it warns. Extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from bitloom.llm.textstats import statistics
 @dataclass(frozen=True)
 class Params:
     rows: int = 3000
-    chars: int = 3_000_000
+    chars: int = 9_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3, 4), words=(1, 2), bits=18))
     l2: float = 1e-3
     threshold: float = 0.5
@@ -46,15 +46,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    x, rows = L.gather(L.sample(docs, L.labelled(labels, "quality"), p.rows, p.chars, []), p.features, ["__y"])
+    x, rows = L.gather(L.sample(docs, L.labelled(labels, "quality"), p.rows, p.chars, [], p.features.bits), p.features, ["__y", "__size"])
     y = rows["__y"].to_numpy(float)
     dim = 1 << p.features.bits
-    if not len(y):
+    if not L.both_classes(rows, "quality rules") and not len(y):
         return Model(np.zeros(dim, np.float32), 0.0, 1.0, 10.0)
     check = np.arange(len(y)) % 5 == 0
     w, b = L.fit_binary(L.pick(x, ~check), y[~check], dim, p.l2)
     slope, shift = L.platt(L.apply_binary(L.pick(x, check), w, b), y[check])
-    return Model(w.astype(np.float32), b, slope, shift)
+    return Model(w.astype(np.float32), b, slope, shift + L.prior_shift(rows))
 
 
 def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:

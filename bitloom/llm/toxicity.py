@@ -3,12 +3,12 @@
 A text's features are the distinct hashed character n-grams of its whole lower-cased text, each scaled by the log of
 the ratio of its smoothed shares in toxic and other training texts; n-grams whose ratio is within ``least_z`` standard
 errors of none are left out; an L2-regularised logistic regression is fitted
-on the scaled features of at most ``Params.rows`` labelled rows and ``Params.chars`` characters. A score is the logistic
+on the scaled features of about ``Params.rows`` labelled rows, drawn by class within ``Params.chars`` characters (``linear.sample``). A score is the logistic
 function of the sum, found in one narrow pass with a table of ``2**bits`` weights.
 
 Defined results: null or empty text scores as a text without n-grams; repeated rows and null ids are scored row by
 row; labels that are null or have no document are ignored, of several the largest holds; with one class or none,
-every score is 0.0. Extra columns are ignored by ``classify`` and kept by ``keep``.
+every score is 0.0, with a warning. Extra columns are ignored by ``classify`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from bitloom.llm.shared import fold
 @dataclass(frozen=True)
 class Params:
     rows: int = 5000
-    chars: int = 7_000_000
+    chars: int = 16_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(4, 5), words=(), bits=20, lower=True, presence=True))
     smoothing: float = 1.0
     min_rows: int = 4
@@ -64,8 +64,11 @@ def train(x: L.Sparse, y: np.ndarray, p: Params) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, p: Params = Params()) -> Model:
     """learn: a condition on doc_id, which documents may be learnt from (all, if none is given)."""
     labels = labels if learn is None else labels.where(learn)
-    x, rows = L.gather(L.sample(docs, L.labelled(labels, "toxic"), p.rows, p.chars, []), p.features, ["__y"])
-    return train(x, rows["__y"].to_numpy(float), p)
+    x, rows = L.gather(L.sample(docs, L.labelled(labels, "toxic"), p.rows, p.chars, [], p.features.bits), p.features, ["__y", "__size"])
+    L.both_classes(rows, "toxicity")
+    m = train(x, rows["__y"].to_numpy(float), p)
+    m.bias += L.prior_shift(rows)
+    return m
 
 
 def _score(part: pa.RecordBatch, column: str, m: Model, p: Params) -> np.ndarray:

@@ -133,8 +133,8 @@ def _dictionary_of(pages: DataFrame, p: Params) -> bytes:
     ids = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(p.sample_rows).collect()  # bounded
     total, take = 0, set()
     for r in ids:
-        total += r["n"]
-        if total <= p.sample_bytes:
+        if total + r["n"] <= p.sample_bytes:
+            total += r["n"]
             take.add(r["page_id"])
     picked = spark.createDataFrame([(i,) for i in sorted(take)], "page_id long")
     rows = pages.join(F.broadcast(picked), "page_id", "left_semi").dropDuplicates(["page_id"]).collect()
