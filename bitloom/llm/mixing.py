@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership.
 
-A softmax classifier fitted on a bounded labelled sample (rows of the labels table; the domain is a column of the
-documents) gives every document its domain posterior ``p``. Of the rates ``r >= 0`` that meet the domain token targets
+The domains are all values of a column of the documents (more than ``max_domains`` is an error). A softmax classifier
+fitted on a bounded sample (drawn by domain, rows of the labels table first) gives every document its domain posterior ``p``. Of the rates ``r >= 0`` that meet the domain token targets
 ``T`` those nearest to 1 are taken (squares weighted by a document's tokens ``t``): they are ``max(0, 1 - p_i . v)`` for
 one vector ``v``, as long as there are domains, which damped Newton steps find (``sum_i r_i t_i p_i = T``); each step is
 one pass that sums, over posteriors written once, as many numbers as a Gram matrix has. Every domain ends within
@@ -12,7 +12,7 @@ Posteriors are stored as integers (1/10000ths, adding up to 10000), so sums don'
 Targets: ``share ** alpha`` of the posterior token shares, normalised, scaled up so that no domain shrinks.
 
 Defined results: null or empty text has 0 tokens, a rate like any other, and no weight in the sums; repeated rows and
-null ids are rows of their own; a null domain is the domain ``null``; without labelled rows there is one domain and
+null ids are rows of their own; a null domain is the domain ``null``; without any text there is one domain and
 every rate is 1; an empty table gives no rows. Extra columns pass through ``mix`` untouched.
 """
 
@@ -37,7 +37,7 @@ UNIT = 10_000
 class Params:
     domain: str = "lang"
     rows: int = 2000
-    chars: int = 3_000_000
+    chars: int = 6_000_000
     max_domains: int = 64
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3,), words=(), bits=16, lower=True))
     l2: float = 1e-3
@@ -54,16 +54,22 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """The domain classifier; the domains are the ``max_domains`` commonest in the sample, the rest ``other``."""
+    """The domain classifier; the domains are those of all documents with a text, and each has rows of its own in the sample."""
     domain = F.coalesce(F.col(p.domain).cast("string"), F.lit("null")).alias("__d")
-    x, rows = L.gather(L.sample(docs, L.labelled(labels, "quality"), p.rows, p.chars, [domain]), p.features, ["__d"])
-    if not len(rows):
+    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("__lid"), domain)
+    domains = sorted(r["__d"] for r in named.groupBy("__d").count().limit(p.max_domains + 1).collect())
+    if len(domains) > p.max_domains:
+        raise ValueError(f"{p.domain} has more than {p.max_domains} domains; raise max_domains")
+    if not domains:
         return Model(["all"], np.zeros((1 << p.features.bits, 1), np.float32), np.zeros(1))
-    top = sorted(rows["__d"].value_counts().sort_index().sort_values(ascending=False, kind="stable").index[: p.max_domains])
-    name = rows["__d"].where(rows["__d"].isin(top), "other")
-    domains = sorted(set(name))
-    y = np.array([domains.index(d) for d in name])
+    ids = named.groupBy("__lid").agg((F.array_position(F.array(*(F.lit(d) for d in domains)), F.min("__d")) - 1).cast("double").alias("__y"))
+    known = L.labelled(labels, "quality").select("__lid", F.lit(0).alias("__k"))
+    marks = ids.join(known, "__lid", "left").select("__lid", "__y", F.coalesce("__k", F.lit(1)).alias("__o"))  # labelled ones first
+    x, rows = L.gather(L.sample(docs, marks, p.rows, p.chars, [domain], p.features.bits), p.features, ["__d", "__y", "__size"])
+    y = np.array([domains.index(d) for d in rows["__d"]])
     w, b = L.fit_softmax(x, y, len(domains), 1 << p.features.bits, p.l2)
+    size = rows.groupby("__y")["__size"].first().reindex(range(len(domains)), fill_value=1.0).to_numpy()
+    b += np.log(size / size.sum()) - np.log(np.maximum(np.bincount(y, minlength=len(domains)), 1) / len(y))  # from the sample's shares to all documents'
     return Model(domains, w.astype(np.float32), b)
 
 
