@@ -2,14 +2,14 @@
 
 Each view is a hashed logistic regression: the text view on character and word n-grams of the whole text and bands of its
 length, repetition and symbols, the
-metadata view on source, language, length band and their pairs. From a bounded labelled sample and a bounded
-unlabelled pool (``Params``), rounds run: both fit, both are Platt-calibrated on a held-out fifth, and each hands its
-most confident pool predictions (calibrated probability beyond ``confident``, at most ``per_round`` a class) to the
-other as pseudo-labels. The calibrated views are combined by a logistic stack fitted on the held-out fifth. All
+metadata view on source, language, length band and their pairs. They are fitted on a bounded labelled sample
+(``linear.sample``), and rounds run: both fit, both are Platt-calibrated on a held-out fifth, both score every unlabelled
+document, and each hands ``per_round`` documents a class, of those it is sure of (calibrated probability beyond
+``confident``), spread evenly over the sources, to the other as pseudo-labels. The calibrated views are combined by a logistic stack fitted on the held-out fifth. All
 documents are scored in one narrow Arrow pass.
 
 Defined results: null or empty text and null metadata are ordinary values (no n-grams; the token ``null``); repeated
-rows and null ids are scored row by row; with one label class only, or none, everything is kept; extra columns pass
+rows and null ids are scored row by row; with one label class only, or none, everything is kept, with a warning; extra columns pass
 through ``keep`` untouched and are ignored by ``classify``.
 """
 
@@ -19,6 +19,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
+from bitloom.llm import semi
+from bitloom.llm.shared import written
 
 META_BITS = 12
 
@@ -33,8 +36,7 @@ META_BITS = 12
 @dataclass(frozen=True)
 class Params:
     rows: int = 2000
-    pool: int = 2000
-    chars: int = 2_000_000
+    chars: int = 7_000_000
     features: L.Features = field(default_factory=lambda: L.Features(chars=(3, 4), words=(1,), bits=18, shape=True))
     l2: float = 1e-3
     meta_l2: float = 1e-2
@@ -86,57 +88,120 @@ def meta_sparse(buckets: np.ndarray) -> L.Sparse:
     return L.Sparse(np.repeat(np.arange(n), buckets.shape[1]), buckets.ravel(), np.ones(buckets.size), n)
 
 
-def cotrain(text: L.Sparse, meta: L.Sparse, y: np.ndarray, p: Params) -> Model:
-    """y: 1, 0, or -1 for the pool. Rows alternate folds: of the labelled rows each fifth calibrates."""
-    known = y >= 0
-    check = known & (np.cumsum(known) % 5 == 0)
-    views, sparse = [], (text, meta)
-    dims, l2s = (1 << p.features.bits, 1 << META_BITS), (p.l2, p.meta_l2)
-    target = [y.astype(float).copy(), y.astype(float).copy()]
-    train = [known & ~check, known & ~check]
+def join(a: L.Sparse, b: L.Sparse) -> L.Sparse:
+    """The rows of a, then those of b."""
+    return L.Sparse(np.concatenate((a.rows, b.rows + a.n)), np.concatenate((a.idx, b.idx)), np.concatenate((a.val, b.val)), a.n + b.n)
+
+
+def cotrain(text: L.Sparse, meta: L.Sparse, y: np.ndarray, p: Params, teach) -> Model:
+    """y: 1 or 0. Of the rows each fifth calibrates. teach(views) gives what the rounds hand on: (features, labels) for
+    the text view and for the metadata view, of documents that were not handed to that view before."""
+    check = np.cumsum(np.ones(len(y), int)) % 5 == 0
+    dims, l2s, known = (1 << p.features.bits, 1 << META_BITS), (p.l2, p.meta_l2), (text, meta)
+    learn, target = [L.pick(x, ~check) for x in known], [y[~check].astype(float)] * 2
     for turn in range(p.rounds + 1):
         views = []
         for k in range(2):
-            w, b = L.fit_binary(L.pick(sparse[k], train[k]), target[k][train[k]], dims[k], l2s[k])
-            slope, shift = L.platt(L.apply_binary(L.pick(sparse[k], check), w, b), y[check])
+            w, b = L.fit_binary(learn[k], target[k], dims[k], l2s[k])
+            slope, shift = L.platt(L.apply_binary(L.pick(known[k], check), w, b), y[check])
             views.append(View(w, b, slope, shift))
         if turn == p.rounds:
             break
-        for k in range(2):
-            other = 1 - k
-            prob = L.sigmoid(views[k].logit(L.apply_binary(sparse[k], views[k].weights, 0.0)))
-            free = ~known & ~train[other]
-            for cls, sure in ((1.0, prob), (0.0, 1 - prob)):
-                ids = np.flatnonzero(free & (sure >= p.confident))
-                ids = ids[np.argsort(-sure[ids], kind="stable")][: p.per_round]
-                target[other][ids] = cls
-                train[other][ids] = True
-    z = [views[k].logit(L.apply_binary(L.pick(sparse[k], check), views[k].weights, 0.0)) for k in range(2)]
+        for k, (x, cls) in enumerate(teach(views)):
+            learn[k], target[k] = join(learn[k], x), np.concatenate((target[k], cls))
+    z = [views[k].logit(L.apply_binary(L.pick(known[k], check), views[k].weights, 0.0)) for k in range(2)]
     stack = L.Sparse(np.repeat(np.arange(check.sum()), 2), np.tile([0, 1], check.sum()), np.stack(z, 1).ravel(), int(check.sum()))
     w, c = L.fit_binary(stack, y[check].astype(float), 2, 1e-2)
     return Model(views[0], views[1], (float(max(w[0], 0)), float(max(w[1], 0)), c))
 
 
+def even(have: np.ndarray, rows: int) -> np.ndarray:
+    """How many of each group are taken so that ``rows`` are: all of the small ones, the same number of the others."""
+    take, order = np.zeros(len(have)), np.argsort(have, kind="stable")
+    for at, g in enumerate(order):
+        take[g] = min(have[g], (rows - take.sum()) / (len(have) - at))
+    return take
+
+
+def unlabelled(base: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows with an id that no label names; only ids and the few rows that share a bit with a label shuffle."""
+    rows = semi._marked(base.where("doc_id is not null"), "doc_id", marks, "__lid")
+    hit = rows.where("__hit").drop("__hit")
+    ids = hit.select(F.col("doc_id").alias("__free")).distinct().join(marks, F.col("__free") == F.col("__lid"), "left_anti")
+    return rows.where("not __hit").drop("__hit").unionByName(semi.only(hit, "doc_id", written(ids, "unlabelled"), "__free"))
+
+
+def chosen(scored: DataFrame, column: str, taught: set[int], p: Params) -> pd.DataFrame:
+    """Of all scored documents that the view in ``column`` is sure of, ``per_round`` a class, spread evenly over the sources
+    and drawn by hash of the id: __id, __class. Documents in ``taught`` are left out."""
+    spark, parts = scored.sparkSession, []
+    old = spark.createDataFrame([(i,) for i in sorted(taught)], "__old long")  # bounded by rounds and per_round
+    sure = scored.join(F.broadcast(old), F.col("__id") == F.col("__old"), "left_anti").withColumn("__class", F.when(F.col(column) >= p.confident, 1.0).when(F.col(column) <= 1 - p.confident, 0.0)).where("__class is not null")
+    have = sure.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["__class", "__bucket"])  # 2**META_BITS a class
+    for _, group in have.groupby("__class"):
+        n = group["n"].to_numpy(float)
+        parts.append(group.assign(share=np.minimum(1.0, 2 * even(n, p.per_round) / n)))
+    if not parts:
+        return pd.DataFrame({"__id": np.zeros(0, np.int64), "__class": np.zeros(0)})
+    rate = pd.concat(parts)
+    rates = spark.createDataFrame([(float(c), int(b), float(s)) for c, b, s in zip(rate["__class"], rate["__bucket"], rate["share"], strict=True)], "__c double, __b long, __share double")
+    place = F.pmod(F.xxhash64("__id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = sure.join(F.broadcast(rates), (F.col("__class") == F.col("__c")) & (F.col("__bucket") == F.col("__b"))).withColumn("__at", place / F.col("__share")).where("__at < 1")
+    drawn = [some.where(F.col("__class") == c).orderBy("__at", "__id").limit(p.per_round).select("__id", "__class").toPandas() for c in (0.0, 1.0)]
+    return pd.concat(drawn).drop_duplicates("__id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     meta = [F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"), F.col("n_chars").cast("long").alias("__n")]
     marks = L.labelled(labels, "quality")
-    carry = ["__source", "__lang", "__n", "__y"]
-    base = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    got = [L.gather(L.sample(base, marks, p.rows, p.chars, meta), p.features, carry)]
-    pool, rows = L.gather(L.sample(base, None, p.pool, p.chars, meta), p.features, carry)
-    drawn = docs.sparkSession.createDataFrame(rows[["__id"]], "__id long")
-    seen = set(marks.join(F.broadcast(drawn), F.col("__lid") == F.col("__id"), "left_semi").toPandas()["__lid"])  # of the pool's ids
-    free = ~rows["__id"].isin(seen).to_numpy(bool)
-    got.append((L.pick(pool, free), rows[free].assign(__y=-1.0)))
-    (a, ra), (b, rb) = got
-    text = L.Sparse(np.concatenate((a.rows, b.rows + a.n)), np.concatenate((a.idx, b.idx)), np.concatenate((a.val, b.val)), a.n + b.n)
-    y = np.concatenate((ra["__y"], rb["__y"])).astype(int)
-    if len(set(y[y >= 0])) < 2:
+    carry = ["__source", "__lang", "__n", "__y", "__size"]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars")
+    text, rows = L.gather(L.sample(base, marks, p.rows, p.chars, meta, p.features.bits), p.features, carry)
+    if not L.both_classes(rows, "quality co-training"):
         none = View(np.zeros(1 << p.features.bits), 0.0)
         return Model(none, View(np.zeros(1 << META_BITS), 0.0), (0.0, 0.0, 10.0))
-    cat = [pa.array(list(ra[c]) + list(rb[c]), t, from_pandas=True) for c, t in (("__source", pa.string()), ("__lang", pa.string()))]
-    size = pa.array([None if v != v or v is None else int(v) for v in [*ra["__n"], *rb["__n"]]], pa.int64())
-    return cotrain(text, meta_sparse(meta_buckets(cat[0], cat[1], size)), y, p)
+    free, taught = unlabelled(base, marks), (set(), set())
+
+    def tokens(rows: pd.DataFrame) -> L.Sparse:
+        cat = [pa.array(list(rows[c]), pa.string(), from_pandas=True) for c in ("__source", "__lang")]
+        size = pa.array([None if v != v or v is None else int(v) for v in rows["__n"]], pa.int64())
+        return meta_sparse(meta_buckets(cat[0], cat[1], size))
+
+    def teach(views: list[View]):
+        """Both views score every unlabelled document in one pass; each hands its choice to the other."""
+        scored = written(probabilities(free, Model(views[0], views[1], (0.0, 0.0, 0.0)), p), "scored")
+        out = []
+        for k, column in ((0, "__meta"), (1, "__text")):
+            got = chosen(scored, column, taught[k], p)
+            taught[k].update(got["__id"].tolist())
+            ids = docs.sparkSession.createDataFrame([(int(i), float(c)) for i, c in zip(got["__id"], got["__class"], strict=True)], "__lid long, __y double")
+            found = base.join(F.broadcast(ids), F.col("doc_id") == F.col("__lid")).select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), "__y", *meta)
+            found = found.groupBy("__id").agg(F.min_by(F.struct("__text", "__y", "__source", "__lang", "__n"), F.xxhash64("__text")).alias("r")).select("__id", "r.*")
+            if k:
+                found = found.drop("__text").toPandas().sort_values("__id")
+                out.append((tokens(found), found["__y"].to_numpy(float)))
+            else:
+                x, found = L.gather(found, p.features, carry[:4])
+                out.append((x, found["__y"].to_numpy(float)))
+        return out
+
+    m = cotrain(text, tokens(rows), rows["__y"].to_numpy().astype(int), p, teach)
+    return Model(m.text, m.meta, (*m.stack[:2], m.stack[2] + L.prior_shift(rows)))
+
+
+def probabilities(docs: DataFrame, model: Model, p: Params) -> DataFrame:
+    """__id, __bucket (of the source), __text and __meta (calibrated probabilities of the views)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**bits weights
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for part in K.chunks(batch, "__text"):
+                t, b, _ = _scores(part, m, p)
+                bucket = meta_buckets(part.column("__source"), part.column("__lang"), part.column("__n"))[:, 0]
+                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(bucket), pa.array(t), pa.array(b)], names=["__id", "__bucket", "__text", "__meta"])
+
+    return docs.select(F.col("doc_id").alias("__id"), *_inputs()).mapInArrow(run, "__id long, __bucket long, __text double, __meta double")
 
 
 def _scores(part: pa.RecordBatch, m: Model, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
