@@ -45,22 +45,16 @@ class Sparse:
     n: int
 
 
-def channels(buf: np.ndarray, off: np.ndarray, spec: Features):
-    """(row, bucket) of every n-gram, channel by channel."""
-    if spec.shape:
-        yield shape_buckets(buf, off, spec.bits)
-    if spec.lower:
-        buf = K.lowered(buf)
-    if spec.chars:
-        cp, at = K.codepoints(buf, off)
-        for n in spec.chars:
-            yield K.char_buckets(cp, at, n, spec.bits)
-    if spec.words:
-        starts, ends, row = K.spans(buf, off)
-        words = K.segment_hash(buf, starts, ends)
-        for n in spec.words:
-            h, at = K.windows(words, row, n)
-            yield row[at].astype(np.int32), (K.mix(h + np.uint64(n)) >> np.uint64(64 - spec.bits)).astype(np.uint32)
+def channels(buf: np.ndarray, off: np.ndarray, spec: Features, live: np.ndarray | None = None):
+    """(row, bucket) of every n-gram, channel by channel; with ``live`` only of the buckets where it holds."""
+    for bucket, a, b in spreads(buf, off, spec):
+        size = np.maximum(b - a, 0)
+        inside = np.zeros(len(bucket) + 1, np.int8)
+        np.add.at(inside, a[size > 0], 1)
+        np.add.at(inside, b[size > 0], -1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        at = np.flatnonzero(inside if live is None else live[bucket] & inside)
+        yield K.rows_of(np.append(a, len(bucket)), at).astype(np.int32), bucket[at]
 
 
 def featurise(buf: np.ndarray, off: np.ndarray, spec: Features) -> Sparse:
@@ -84,22 +78,44 @@ def margins(buf: np.ndarray, off: np.ndarray, spec: Features, weights: np.ndarra
     n = len(off) - 1
     if spec.presence:
         keys = []
-        for row, bucket in channels(buf, off, spec):
-            live = weights[bucket] != 0
-            keys.append((row[live].astype(np.int64) << spec.bits) | bucket[live])
+        for row, bucket in channels(buf, off, spec, weights != 0):
+            keys.append((row.astype(np.int64) << spec.bits) | bucket)
         key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         return np.bincount(key >> spec.bits, weights[key & ((1 << spec.bits) - 1)], minlength=n)
     out = np.zeros((n, *weights.shape[1:]))
-    for row, bucket in channels(buf, off, spec):
-        size = np.maximum(np.bincount(row, minlength=n), 1)
+    for bucket, a, b in spreads(buf, off, spec):
+        share = SCALE / np.maximum(b - a, 1)
         if weights.ndim == 1:
-            out += SCALE * np.bincount(row, weights[bucket], minlength=n) / size
+            out += K.range_sums(weights[bucket.astype(np.intp)], a, b) * share
         else:
             for k in range(weights.shape[1]):
-                out[:, k] += SCALE * np.bincount(row, weights[:, k][bucket], minlength=n) / size
+                out[:, k] += K.range_sums(weights[:, k][bucket], a, b) * share
     return out
 
 
+def spreads(buf: np.ndarray, off: np.ndarray, spec: Features):
+    """(buckets, first, end) of every channel: row r's are buckets[first[r]:end[r]]; some belong to no row."""
+    if spec.shape:
+        row, bucket = shape_buckets(buf, off, spec.bits)
+        at = np.arange(0, len(row) + 1, 4)
+        yield bucket, at[:-1], at[1:]
+    if spec.lower:
+        buf = K.lowered(buf)
+    if spec.chars:
+        cp, at = K.codepoints(buf, off)
+        for n in spec.chars:
+            yield K.char_hash(cp, n, spec.bits), at[:-1], at[1:] - n + 1
+    if spec.words:
+        starts, ends, _ = K.spans(buf, off)
+        words, at = K.segment_hash(buf, starts, ends), np.searchsorted(starts, off)
+        for n in spec.words:
+            yield word_buckets(K.window_hash(words, n), n, spec.bits), at[:-1], at[1:] - n + 1
+
+
+def word_buckets(h: np.ndarray, n: int, bits: int) -> np.ndarray:
+    return (K.mix(h + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.uint32)
+
+
 def labelled(labels: DataFrame, column: str) -> DataFrame:
     """One row per id: ``__lid``, ``__y``; the largest of several labels holds."""
     rows = labels.select(F.col("doc_id").cast("long").alias("__lid"), F.col(column).cast("double").alias("__y"))

@@ -7,43 +7,38 @@ import numpy as np
 from bitloom.llm import kernels as K
 
 SYMBOLS = "#*$%&|<>"
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[np.frombuffer(SYMBOLS.encode(), np.uint8)] = True
+_SYMBOL = bytes(int(chr(b) in SYMBOLS) for b in range(256))
 
 
 def statistics(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The base counts of each text of a chunk."""
+    """The base counts of each text of a chunk; equal lines and windows are found by hash and compared byte by byte."""
     n = len(off) - 1
     starts, ends, row = K.spans(buf, off)
-    words = K.segment_hash(buf, starts, ends)
-    total = np.bincount(row, minlength=n)
-    running = lambda mask: np.concatenate(([0], np.cumsum(mask)))
-    inside = np.zeros(len(buf) + 1, np.int8)
-    inside[starts] += 1
-    np.subtract.at(inside, ends, 1)
-    in_word = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    head = (buf & 0xC0) != 0x80
-
-    lines_from = np.concatenate((off[:-1], np.flatnonzero(buf == 10) + 1))
-    lines_row = np.concatenate((np.arange(n), K.rows_of(off, np.flatnonzero(buf == 10))))
-    order = np.lexsort((lines_from, lines_row))
-    lines_from, lines_row = lines_from[order], lines_row[order]
-    lines_to = np.where(np.append(lines_row[1:] == lines_row[:-1], False), np.append(lines_from[1:] - 1, 0), off[lines_row + 1])
-    has_word = np.searchsorted(starts, lines_to) > np.searchsorted(starts, lines_from)
-    lines_from, lines_to, lines_row = lines_from[has_word], lines_to[has_word], lines_row[has_word]
-    same = K.later(K.segment_hash(buf, lines_from, lines_to), lines_row)
-
-    h, at = K.windows(words, row, 3)
-    hit = at[K.repeated(h, row[at])]
-    covered = np.zeros(len(words) + 2, bool)
+    words = K.Segments(buf, starts, ends)
+    bound = np.searchsorted(starts, off)
+
+    lines = np.unique(np.concatenate((off[:-1], np.flatnonzero(buf == 10) + 1)))
+    to = np.append(lines[1:], len(buf))
+    to = to - ((to > lines) & (np.append(buf, 0)[np.maximum(to, 1) - 1] == 10))
+    some = np.searchsorted(starts, to) > np.searchsorted(starts, lines)  # with a word
+    lines, to = lines[some], to[some]
+    lines_row = K.rows_of(off, lines)
+    whole = K.Segments(buf, lines, to)
+    by_row = lambda key, r: K.mix(key ^ K.mix(r.astype(np.uint64) + K._GOLD))
+    again = K.later(by_row(whole.hash(), lines_row), lambda i, j: (lines_row[i] == lines_row[j]) & whole.same(i, whole, j))
+
+    h, at = K.windows(words.hash(), row, 3)
+    same = lambda i, j: (row[at[i]] == row[at[j]]) & words.same(at[i], words, at[j]) & words.same(at[i] + 1, words, at[j] + 1) & words.same(at[i] + 2, words, at[j] + 2)
+    hit = at[K.ties(by_row(h, row[at]), same)[0]]
+    covered = np.zeros(len(starts) + 2, bool)
     for j in range(3):
         covered[hit + j] = True
     return {
-        "n_words": total,
-        "word_chars": K.between(running(in_word & head), off),
-        "n_symbols": K.between(running(_SYMBOL[buf]), off),
-        "n_dup_lines": np.bincount(lines_row[same], minlength=n),
-        "n_repeat_words": np.bincount(row[covered[: len(words)]], minlength=n),
+        "n_words": np.diff(bound),
+        "word_chars": K.counts(((buf & 0xC0) != 0x80) & ~K.blank(buf), off),
+        "n_symbols": K.counts(np.frombuffer(buf.tobytes().translate(_SYMBOL), bool), off),
+        "n_dup_lines": np.bincount(lines_row[again], minlength=n),
+        "n_repeat_words": K.counts(covered[: len(starts)], bound),
     }
 
 
@@ -52,7 +47,7 @@ def shape_buckets(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarr
     s = statistics(buf, off)
     n = len(off) - 1
     words, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
-    lines = np.maximum(K.between(np.concatenate(([0], np.cumsum(buf == 10))), off) + 1, 1)
+    lines = K.counts(buf == 10, off) + 1
     bands = [np.floor(2 * np.log2(words)), np.floor(20 * s["n_repeat_words"] / words), np.floor(20 * s["n_dup_lines"] / lines), np.floor(50 * s["n_symbols"] / chars)]
     code = np.stack(bands, 1).astype(np.uint64) + (np.arange(1, 5, dtype=np.uint64) << np.uint64(32))
     return np.repeat(np.arange(n, dtype=np.int32), 4), (K.mix(code.ravel()) >> np.uint64(64 - bits)).astype(np.uint32)
