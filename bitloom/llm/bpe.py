@@ -30,7 +30,7 @@ from bitloom.llm.shared import small_batches
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHE_ENTRIES, CACHE_BYTES = 800_000, 64
-FRAGMENT_ENTRIES = 60_000
+NEVER = np.int32(1 << 30)
 CHUNK_BYTES = 2 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -126,7 +126,8 @@ def gather_lists(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: n
 
 
 class Splitter:
-    """Pre-tokens of a chunk, encoded by ``encode``, distinct ones once, with a cache of bounded size in arrays.
+    """Pre-tokens of a chunk, encoded by ``encode``, distinct ones once, with a cache of bounded size in arrays. Hashes
+    only propose: bytes are compared within the chunk and on every hit in the cache.
 
     ``encode(buf, starts, ends, blank)`` gives the ids of the byte segments, one after another, and their counts."""
 
@@ -139,10 +140,34 @@ class Splitter:
         self._forget()
 
     def _forget(self) -> None:
-        """Only the added tokens are known, under keys of their own."""
-        ids = np.sort(np.array(sorted(set(self.added.values())), np.uint64))
-        self.keys, self.flat = ids | np.uint64(1 << 63), ids.astype(np.uint32)
-        self.start, self.size = np.arange(len(ids)), np.ones(len(ids), np.int64)
+        """Only the added tokens are known: where their bytes stand in a text, they are that token."""
+        self.keys, self.raw, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.from_, self.to, self.start, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        if self.added:
+            buf = np.frombuffer(b"".join(self.added), np.uint8)
+            ends = np.cumsum([len(k) for k in self.added])
+            starts = np.concatenate(([0], ends[:-1]))
+            segments = K.Segments(buf, starts, ends)
+            self._remember(segments, segments.hash(), np.arange(len(ends)), np.array(list(self.added.values()), np.uint32), np.ones(len(ends), np.int64))
+
+    def _remember(self, segments: K.Segments, h: np.ndarray, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Segments ``which`` with their ids, one after another; of those of one hash only one is kept."""
+        start = np.cumsum(size) - size
+        order = np.argsort(h[which])
+        key = h[which][order]
+        at = np.searchsorted(self.keys, key)
+        free = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+        free &= (at == len(self.keys)) | (np.append(self.keys, np.uint64(0))[at] != key)
+        order, at = order[free], at[free]
+        length = segments.size[which[order]]
+        body, _ = gather_lists(segments.buf, segments.starts, segments.size, which[order])
+        kept, _ = gather_lists(ids, start, size, order)
+        opens = np.cumsum(length) - length + len(self.raw)
+        begins = np.cumsum(size[order]) - size[order] + len(self.flat)
+        self.keys = np.insert(self.keys, at, key[free])
+        self.from_, self.to = np.insert(self.from_, at, opens), np.insert(self.to, at, opens + length)
+        self.start, self.size = np.insert(self.start, at, begins), np.insert(self.size, at, size[order])
+        self.raw, self.flat = np.concatenate((self.raw, body)), np.concatenate((self.flat, kept))
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's."""
@@ -151,44 +176,42 @@ class Splitter:
         marks = []
         if self.marks and any(k in raw for k in self.added):
             for i in range(len(off) - 1):
-                marks += [(m.start() + off[i], m.end() + off[i], self.added[m[0]]) for m in self.marks.finditer(raw[off[i] : off[i + 1]])]
-        starts, ends, blank = pretokens(buf, off, self.classes, np.array([x for m in marks for x in m[:2]], np.int64))
+                marks += [(m.start() + off[i], m.end() + off[i]) for m in self.marks.finditer(raw[off[i] : off[i + 1]])]
+        starts, ends, blank = pretokens(buf, off, self.classes, np.array([x for m in marks for x in m], np.int64))
         if marks:  # pre-tokens inside an added token fall together into one
             first = np.searchsorted(starts, [m[0] for m in marks])
             last = np.searchsorted(starts, [m[1] for m in marks])
             alive = np.ones(len(starts), bool)
-            for (_, to, _), a, b in zip(marks, first, last, strict=True):
+            for (_, to), a, b in zip(marks, first, last, strict=True):
                 alive[a + 1 : b] = False
                 ends[a] = to
-            place = (np.cumsum(alive) - 1)[first]
             starts, ends, blank = starts[alive], ends[alive], blank[alive]
-        key = K.segment_hash(buf, starts, ends) & ~np.uint64(1 << 63)
-        if marks:
-            key[place] = np.array([m[2] for m in marks], np.uint64) | np.uint64(1 << 63)
-        distinct, where, which = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        start, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        segments = K.Segments(buf, starts, ends)
+        h = segments.hash()
+        where, which = segments.distinct(h)
+        at = np.minimum(np.searchsorted(self.keys, h[where]), max(len(self.keys) - 1, 0))
+        hit = np.flatnonzero(self.keys[at] == h[where]) if len(self.keys) else np.zeros(0, np.int64)
+        held = K.Segments(self.raw, self.from_[at[hit]], self.to[at[hit]])
+        hit = hit[segments.same(where[hit], held, np.arange(len(hit)))]
+        start, size = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
         start[hit], size[hit] = self.start[at[hit]], self.size[at[hit]]
-        flat, new = self.flat, np.flatnonzero(~hit)
+        known = np.zeros(len(where), bool)
+        known[hit] = True
+        flat, new = self.flat, np.flatnonzero(~known)
         if len(new):
             got = where[new]
             ids, size[new] = self.encode(buf, starts[got], ends[got], blank[got])
             start[new] = np.cumsum(size[new]) - size[new] + len(flat)
             flat = np.concatenate((flat, ids))
-        ids, count = gather_lists(flat, start, size, which)
+        out, count = gather_lists(flat, start, size, which)
         short = new[ends[where[new]] - starts[where[new]] <= CACHE_BYTES]
         if len(self.keys) + len(short) > self.entries:
             self._forget()
         elif len(short):
             kept, _ = gather_lists(flat, start, size, short)
-            keys = np.concatenate((self.keys, distinct[short]))
-            order = np.argsort(keys, kind="stable")
-            sizes = np.concatenate((self.size, size[short]))
-            begins = np.concatenate((self.start, np.cumsum(size[short]) - size[short] + len(self.flat)))
-            self.keys, self.size, self.start, self.flat = keys[order], sizes[order], begins[order], np.concatenate((self.flat, kept))
+            self._remember(segments, h, where[short], kept, size[short])
         running = np.concatenate(([0], np.cumsum(count)))
-        return ids, running[np.searchsorted(starts, off)]
+        return out, running[np.searchsorted(starts, off)]
 
 
 class Codec:
@@ -225,7 +248,12 @@ class Codec:
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.fragments: dict[bytes, list[int]] = {}
+        key = np.array(sorted(self.merges), np.uint64)
+        self.pairs = key
+        self.rank = np.array([self.merges[k][0] for k in key.tolist()] + [NEVER], np.int32)
+        self.made = np.zeros(len(key), np.uint32)
+        for rank, new in self.merges.values():
+            self.made[rank] = new
         self.split = Splitter(classes, added, self.encode_pretokens)
 
     def encode_pretokens(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,39 +265,64 @@ class Codec:
         edge[1:] = ~self.within[flat[:-1], flat[1:]]
         edge[opens[size > 0]] = True
         cuts = np.flatnonzero(edge)
-        raw, known = flat.tobytes(), self.fragments
-        out: list[int] = []
-        counts = np.zeros(len(cuts), np.int64)
-        for i, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(raw)], strict=True)):
-            fragment = raw[a:b]
-            ids = known.get(fragment)
-            if ids is None:
-                ids = self.merge(fragment)
-                if len(fragment) <= CACHE_BYTES:
-                    if len(known) > FRAGMENT_ENTRIES:
-                        known.clear()
-                    known[fragment] = ids
-            out += ids
-            counts[i] = len(ids)
+        ids, counts = self.encode_fragments(flat, cuts, np.diff(np.append(cuts, len(flat))))
         running = np.concatenate(([0], np.cumsum(counts)))
         bounds = running[np.searchsorted(cuts, np.append(opens, len(flat)))]
-        return np.array(out, np.uint32), np.diff(bounds)
+        return ids, np.diff(bounds)
+
+    def encode_fragments(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the fragments, one after another, and their counts. Fragments of one length merge side by side, one
+        pair each a round, so all that still merge stay of one length."""
+        done = []
+        for n in np.unique(size).tolist():
+            who = np.flatnonzero(size == n)
+            if n > CACHE_BYTES:
+                done += [(np.array([i]), np.array([self.merge(flat[start[i] : start[i] + n].tobytes())], np.uint32)) for i in who.tolist()]
+                continue
+            for at in range(0, len(who), max(1, (1 << 21) // n)):
+                some = who[at : at + max(1, (1 << 21) // n)]
+                ids = self.single[flat[start[some][:, None] + np.arange(n)]]
+                rank = self.ranks(ids[:, :-1], ids[:, 1:])
+                while len(some):
+                    best = rank.argmin(1) if ids.shape[1] > 1 else np.zeros(len(some), np.int64)
+                    row = np.arange(len(some))
+                    on = rank[row, best] < NEVER if ids.shape[1] > 1 else np.zeros(len(some), bool)
+                    if not on.all():
+                        done.append((some[~on], ids[~on]))
+                        some, ids, rank, best = some[on], ids[on], rank[on], best[on]
+                        row = row[: len(some)]
+                    if not len(some):
+                        break
+                    width = ids.shape[1]
+                    new = self.made[rank[row, best]]
+                    ids = ids[:, :-1].copy() if width == 2 else np.take_along_axis(ids, np.arange(width - 1) + (np.arange(width - 1) > best[:, None]), 1)
+                    ids[row, best] = new
+                    if width == 2:
+                        done.append((some, ids))
+                        break
+                    rank = np.take_along_axis(rank, np.arange(width - 2) + (np.arange(width - 2) >= best[:, None]), 1)
+                    left, right = np.flatnonzero(best > 0), np.flatnonzero(best < width - 2)
+                    rank[left, best[left] - 1] = self.ranks(ids[left, best[left] - 1], new[left])
+                    rank[right, best[right]] = self.ranks(new[right], ids[right, best[right] + 1])
+        counts = np.zeros(len(start), np.int64)
+        for who, ids in done:
+            counts[who] = ids.shape[1]
+        begins, out = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.uint32)
+        for who, ids in done:
+            out[begins[who][:, None] + np.arange(ids.shape[1])] = ids
+        return out, counts
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of ids; NEVER for pairs that don't merge."""
+        key = a.astype(np.uint64) << np.uint64(32) | b
+        at = np.searchsorted(self.pairs, key)
+        hit = self.pairs[np.minimum(at, len(self.pairs) - 1)] == key if len(self.pairs) else np.zeros(key.shape, bool)
+        return self.rank[np.where(hit, at, len(self.pairs))]
 
     def merge(self, fragment: bytes) -> list[int]:
-        """Ids of one fragment: always the lowest-rank pair first, the leftmost of equals."""
+        """Ids of one long fragment: always the lowest-rank pair first, the leftmost of equals."""
         ids = self.single[np.frombuffer(fragment, np.uint8)].tolist()
         merges = self.merges
-        if len(ids) <= 40:
-            while len(ids) > 1:
-                best, at, new = 1 << 40, -1, 0
-                for i in range(len(ids) - 1):
-                    m = merges.get(ids[i] << 32 | ids[i + 1])
-                    if m and m[0] < best:
-                        best, at, new = m[0], i, m[1]
-                if at < 0:
-                    break
-                ids[at : at + 2] = [new]
-            return ids
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = []
@@ -296,7 +349,6 @@ class Codec:
 
     def forget(self) -> None:
         """Empties the caches: worker processes live on after their task."""
-        self.fragments.clear()
         self.split._forget()
         K.give_back()
 
