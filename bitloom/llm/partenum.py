@@ -16,7 +16,8 @@ Signatures, once per class and task, are dealt out by hash and sorted; a streami
 signature to its first, so rows stay linear in members, and notes the members of signatures that three or more share.
 Distinct links are tested: first by the sets' parity sketches (two sets differ in at least as many shingles as their
 sketches differ in bits, so a sketch only ever rejects pairs that are too far apart), then on the documents' whole
-texts. Linked pairs are contracted to components. Where a signature's members still lie in different components, all their pairs across
+texts, of which every shared shingle is compared byte by byte. Words are hashed under a secret seed drawn for each join, so no text
+can be made to collide; equal classes rest on 128 bits of such hashes. Linked pairs are contracted to components. Where a signature's members still lie in different components, all their pairs across
 components are compared by sketch within the task (in blocks of ``BLOCK`` members, a task a pair of blocks, so no
 signature is one task's); only pairs that the sketches leave become rows, and are tested as before: no link is lost,
 and nothing is capped.
@@ -30,7 +31,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass
+import secrets
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -55,6 +57,7 @@ class Params:
     words: int = 5
     num: int = 80
     den: int = 100
+    seed: int | None = None  # of the words' hashes; a secret one for each join if None
 
 
 @dataclass(frozen=True)
@@ -128,29 +131,63 @@ def bands_of(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.searchsorted(highs, sizes)
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, one text after another, and their counts."""
-    rows = len(off) - 1
+@dataclass
+class Shingles:
+    """Distinct shingles of each text, one text after another: hashes, counts by text, and where each stands."""
+
+    h: np.ndarray
+    count: np.ndarray
+    at: np.ndarray  # the shingle's first word
+    size: np.ndarray  # words of a text
+    words: K.Segments
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+
+def shingles(buf: np.ndarray, off: np.ndarray, p: Params) -> Shingles:
+    n, rows = p.words, len(off) - 1
     low = K.lowered(buf)
     starts, ends, row = K.spans(low, off)
-    words = K.segment_hash(low, starts, ends)
-    h, at = K.windows(words, row, n)
+    words = K.Segments(low, starts, ends, p.seed or 0)
+    hashed = words.hash()
+    h, at = K.windows(hashed, row, n)
     r = row[at]
-    count = np.bincount(row, minlength=rows)
+    bound = np.searchsorted(starts, off)
+    count = np.diff(bound)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        first = np.cumsum(count) - count
+        first = bound[:-1]
         whole = np.zeros(len(short), np.uint64)
         for i in range(n - 1):
             live = count[short] > i
-            whole[live] = K.mix(whole[live] * K._BASE + words[first[short[live]] + i])
-        h, r = np.concatenate((h, K.mix(whole ^ _SALT))), np.concatenate((r, short))
+            whole[live] = K.mix(whole[live] * K._BASE + hashed[first[short[live]] + i])
+        h, r, at = np.concatenate((h, K.mix(whole ^ _SALT))), np.concatenate((r, short)), np.concatenate((at, first[short]))
     order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+    h, r, at = h[order], r[order], at[order]
     if len(h):
         first = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
-        h, r = h[first], r[first]
-    return h, np.bincount(r, minlength=rows)
+        h, r, at = h[first], r[first], at[first]
+    return Shingles(h, np.bincount(r, minlength=rows), at, count, words)
+
+
+def shingle_sets(buf: np.ndarray, off: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, one text after another, and their counts."""
+    s = shingles(buf, off, p)
+    return s.h, s.count
+
+
+def common(a: Shingles, b: Shingles, p: Params) -> np.ndarray:
+    """Shingles that texts a[i] and b[i] share, by i: found by hash, compared byte by byte."""
+    ra, rb = a.row(), b.row()
+    mark = K.mix(np.arange(1, len(a.count) + 1, dtype=np.uint64))
+    _, i, j = np.intersect1d(K.mix(a.h ^ mark[ra]), K.mix(b.h ^ mark[rb]), return_indices=True)
+    size = np.minimum(a.size[ra[i]], p.words)
+    ok = (ra[i] == rb[j]) & (size == np.minimum(b.size[rb[j]], p.words))
+    for k in range(p.words):
+        live = np.flatnonzero(ok & (size > k))
+        ok[live] = a.words.same(a.at[i[live]] + k, b.words, b.at[j[live]] + k)
+    return np.bincount(ra[i[ok]], minlength=len(a.count))
 
 
 def _sum64(values: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
@@ -264,7 +301,7 @@ def _sets(docs: DataFrame, p: Params) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in K.chunks(batch, "text"):
-                h, count = shingle_sets(*K.text_buffers(part.column("text")), p.words)
+                h, count = shingle_sets(*K.text_buffers(part.column("text")), p)
                 a, b = set_hashes(h, count)
                 columns = [part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sketches(h, count), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
@@ -280,7 +317,7 @@ def _signed(docs: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             for part in K.chunks(batch, "text"):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                h, count = shingle_sets(*K.text_buffers(part.column("text")), p.words)
+                h, count = shingle_sets(*K.text_buffers(part.column("text")), p)
                 a, b = set_hashes(h, count)
                 new = np.zeros(len(ids), bool)
                 for i, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
@@ -359,11 +396,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> Da
         for batch in batches:
             for part in K.chunks(batch, "ta", K.CHUNK_BYTES // 2):
                 for q in K.chunks(part, "tb", K.CHUNK_BYTES // 2):
-                    n = q.num_rows
-                    (ha, ca), (hb, cb) = (shingle_sets(*K.text_buffers(q.column(t)), p.words) for t in ("ta", "tb"))
-                    mark = K.mix(np.arange(1, n + 1, dtype=np.uint64))
-                    ra, rb = np.repeat(np.arange(n), ca), np.repeat(np.arange(n), cb)
-                    inter = np.bincount(ra[np.isin(K.mix(ha ^ mark[ra]), K.mix(hb ^ mark[rb]))], minlength=n)
+                    one, two = (shingles(*K.text_buffers(q.column(t)), p) for t in ("ta", "tb"))
+                    inter, ca, cb = common(one, two, p), one.count, two.count
                     ok = (p.den * inter >= p.num * (ca + cb - inter)) & (ca > 0) & (cb > 0)
                     yield q.select(["a", "b"]).filter(pa.array(ok))
 
@@ -434,6 +468,7 @@ def join(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, D
     """(sets, copies, links): every row's set; (__n, __to) from a document to its class's smallest; links (a, b)
     between class representatives that connect all that any link connects."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    p = p if p.seed is not None else replace(p, seed=secrets.randbits(63))
     sets = written(_sets(docs, p), "sets")
     named = sets.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("__rep"), F.max("doc_id").alias("__last")).where("__rep <> __last")
