@@ -3,14 +3,21 @@
 Counts of words and word pairs of all training texts are summed (each task adds up its own first), quantised on a
 logarithmic scale, ``level(c) = 1 + floor(log_base(c))``, and an n-gram is entered once for each of its levels 1, 2, ...,
 level(c). A lookup probes level after level until one is absent; the last present gives the count. The filter is cut
-into segments by the n-gram's hash, each sized for what it holds and built whole by one task. It is broadcast to the
-workers while it has at most ``max_bytes``; a larger one goes out in groups of segments of that size, one pass a
-group, the levels found so far travelling with the text, so the result is the same at every size.
+into segments of about ``segment`` n-grams in order of their hashes, however many there are, each sized for what it holds. A task
+writes its segments to one file of the shared folder; what is broadcast is the list of segments, and the workers map
+the files, read-only, so that those of a machine share one copy and one pass serves a filter of any size (where
+the folder is no mounted one, Spark ships the files to the executors).
 
 ``score`` is the sum over tokens of log10 of ``(c(v w) + kappa P(w)) / (c(v) + kappa)`` with looked-up counts, where v is the
 token before (a text's start counts as a token there) and ``P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``.
 
-``base_score`` uses exact counts: those of the ``head`` commonest tokens are broadcast (a fixed size) and settle most
+An absent n-gram is taken for a present one at a rate that ``bits_per_entry`` sets; which ones depends on how the
+segments are cut, thus also on the number of shuffle partitions.
+
+``kappa`` was chosen on fold 2 of the given tables, a part of the training rows, by a model of folds 0, 3 and 4 (the
+held-out fold 1 had no part in it).
+
+``base_score`` uses exact counts, by 128-bit hashes of the tokens: those of the ``head`` commonest tokens are broadcast (a fixed size) and settle most
 tokens in place; the rest, of which none is frequent, meet their counts in a join.
 
 Tokens are the words of the whole text, A-Z lower-cased, then one end. Defined results: null or empty text is the
@@ -24,16 +31,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
-from bitloom.llm.shared import fold, slots, written
+from bitloom.llm.files import Writer
+from bitloom.llm.shared import fold, shared_path, slots, written
 
+#: Hashes (63 bits) of a text's end and start, and their second hashes.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-SEGMENT_BITS = 12
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_ONE = np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -42,26 +50,44 @@ class Params:
     kappa: float = 300.0
     bits_per_entry: float = 9.6
     hashes: int = 6
-    max_bytes: int = 192 << 20
+    segment: int = 1 << 17
     head: int = 200_000
     flush: int = 1_500_000
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes and rows, each text's end after its words."""
+@dataclass
+class Tokens:
+    """The tokens of a chunk, each text's end after its words: different words once, and which of them each token is.
+
+    ``key`` and ``key2`` are two hashes (63 bits) of the different tokens, the end being the last one."""
+
+    key: np.ndarray
+    key2: np.ndarray
+    which: np.ndarray
+    row: np.ndarray
+
+    def pairs(self) -> np.ndarray:
+        """The hash of each token with the one before it in its text."""
+        words = self.key[self.which]
+        before = np.concatenate(([START], words[:-1]))[: len(words)]
+        before[self.first()] = START
+        return K.mix(before * _PAIR + words) >> _ONE
+
+    def first(self) -> np.ndarray:
+        """Where texts begin."""
+        return np.flatnonzero(np.concatenate(([True], self.row[1:] != self.row[:-1]))[: len(self.row)])
+
+
+def tokens(buf: np.ndarray, off: np.ndarray) -> Tokens:
     low = K.lowered(buf)
     starts, ends, row = K.spans(low, off)
     rows = len(off) - 1
-    at = np.cumsum(np.bincount(row, minlength=rows))
-    words = np.insert(K.segment_hash(low, starts, ends), at, END)
-    return words, np.insert(row, at, np.arange(rows))
-
-
-def pairs(words: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it in its text."""
-    before = np.concatenate(([START], words[:-1])) if len(words) else words
-    before = np.where(np.concatenate(([True], row[1:] != row[:-1])) if len(row) else row.astype(bool), START, before)
-    return K.mix(before * _PAIR + words), before
+    at = np.searchsorted(starts, off[1:])
+    words = K.Segments(low, starts, ends)
+    h = words.hash()
+    where, which = words.distinct(h)
+    key, key2 = np.append(h[where] >> _ONE, END), np.append(words.hash(1)[where] >> _ONE, END)
+    return Tokens(key, key2, np.insert(which, at, len(where)), np.insert(row, at, np.arange(rows)))
 
 
 def level(count: np.ndarray, base: float) -> np.ndarray:
@@ -76,10 +102,13 @@ def estimate(levels: np.ndarray, base: float) -> np.ndarray:
     return mids[levels]
 
 
-def _place(key: np.ndarray, lev: np.ndarray, i: int, bits: np.ndarray) -> np.ndarray:
-    a = K.mix(key + lev.astype(np.uint64) * _PAIR)
-    b = K.mix(a ^ END) | np.uint64(1)
-    return (a + np.uint64(i) * b) % bits
+def _spots(key: np.ndarray, lev, bits: np.ndarray, hashes: int):
+    """The bit of each (key, level) under one hash after another; ``bits`` below 2**32."""
+    a = K.mix(key + np.asarray(lev, np.uint64) * _PAIR)
+    step = K.mix(a ^ END) | _ONE
+    for _ in range(hashes):
+        yield ((a >> np.uint64(32)) * bits) >> np.uint64(32)
+        a = a + step
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, p: Params) -> bytes:
@@ -89,67 +118,85 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, p: Params) -> bytes:
     step = np.arange(len(key)) - np.repeat(np.cumsum(lev) - lev, lev) + 1
     bits = max(64, -(-int(len(key) * p.bits_per_entry) // 64) * 64)
     table = np.zeros(bits, bool)
-    for i in range(p.hashes):
-        table[_place(key, step, i, np.uint64(bits)).astype(np.int64)] = True
+    for spot in _spots(key, step, np.uint64(bits), p.hashes):
+        table[spot.astype(np.int64)] = True
     return np.packbits(table, bitorder="little").tobytes()
 
 
+def part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Which of the equal ranges of hashes a key lies in."""
+    return ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(31)
+
+
 class Filter:
-    """Segments ``first`` to ``last`` of the filter."""
+    """The segments of a filter, in files (``tables``: their bytes, by part)."""
 
-    def __init__(self, sizes: np.ndarray, body: bytes, hashes: int):
-        """sizes: bytes of each segment (0 where it isn't here); body: the segments in order."""
-        self.hashes = hashes
-        self.start = np.cumsum(sizes) - sizes
-        self.bits = (8 * sizes).astype(np.uint64)
-        self.table = np.frombuffer(body, np.uint8)
+    def __init__(self, first: np.ndarray, at: np.ndarray, size: np.ndarray, parts: int, tables: dict[int, np.ndarray], hashes: int):
+        """first: each segment's least key, ascending; at, size: its place in its part's file."""
+        self.first, self.at, self.bits, self.parts, self.tables, self.hashes = first, at, (8 * size).astype(np.uint64), parts, tables, hashes
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """The last level present without a gap; 0 for absent n-grams and segments that aren't here."""
+        """The last level present without a gap; 0 for absent n-grams."""
         out = np.zeros(len(key), np.int64)
-        segment = (key >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-        live = np.flatnonzero(self.bits[segment] > 0)
-        at = 1
+        if not len(self.first):
+            return out
+        file = part(key, self.parts).astype(np.int32)
+        live = np.argsort(file.astype(np.uint16) if self.parts <= 1 << 16 else file, kind="stable")
+        segment = np.searchsorted(self.first, key[live], "right") - 1
+        there = segment >= 0
+        there[there] = part(self.first[segment[there]], self.parts) == file[live[there]]  # else its part holds nothing that low
+        live, segment = live[there], segment[there]
+        lev = 1
         while len(live):
-            for i in range(self.hashes):
-                k, s = key[live], segment[live]
-                place = _place(k, np.full(len(live), at), i, self.bits[s]).astype(np.int64)
-                live = live[(self.table[self.start[s] + (place >> 3)] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
-            out[live] = at
-            at += 1
+            for n, spot in enumerate(_spots(key[live], lev, self.bits[segment], self.hashes)):
+                if n:
+                    spot = spot[on]
+                place = self.at[segment] + (spot >> np.uint64(3)).astype(np.int64)
+                byte = np.empty(len(live), np.uint8)
+                cut = np.flatnonzero(np.concatenate(([True], file[live[1:]] != file[live[:-1]], [True])))
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    byte[a:b] = self.tables[int(file[live[a]])][place[a:b]]
+                hit = (byte >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                live, segment = live[hit], segment[hit]
+                on = np.flatnonzero(hit) if not n else on[hit]
+                if not len(live):
+                    break
+            out[live] = lev
+            lev += 1
         return out
 
 
 def _counted(docs: DataFrame, p: Params) -> DataFrame:
-    """(key, n, kind): kind 1 for tokens and starts, 2 for pairs; each task's sums, flushed beyond p.flush n-grams."""
+    """(key, key2, n, kind): kind 1 for tokens and starts, 2 for pairs (without key2); each task's sums, flushed beyond
+    p.flush n-grams."""
 
     def run(batches):
         held: dict[int, list] = {1: [], 2: []}
         sizes = {1: 0, 2: 0}
 
         def flush(kind):
-            keys = np.concatenate([k for k, _ in held[kind]])
-            counts = np.concatenate([c for _, c in held[kind]])
-            keys, where = np.unique(keys, return_inverse=True)
-            counts = np.bincount(where, counts, minlength=len(keys)).astype(np.int64)
-            held[kind], sizes[kind] = [(keys, counts)], len(keys)
+            keys, other, counts = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, other = keys[order], other[order]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (other[1:] != other[:-1]))))
+            held[kind] = [(keys[first], other[first], np.add.reduceat(counts[order], first))]
+            sizes[kind] = len(first)
 
         def emit(kind):
-            for keys, counts in held[kind]:
+            for keys, other, counts in held[kind]:
                 for at in range(0, len(keys), 1 << 16):
-                    k = keys[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(counts[at : at + (1 << 16)]), pa.array(np.full(len(k), kind, np.int8))], names=["key", "n", "kind"])
+                    k, o, c = (x[at : at + (1 << 16)] for x in (keys, other, counts))
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(o.view(np.int64)), pa.array(c), pa.array(np.full(len(k), kind, np.int8))], names=["key", "key2", "n", "kind"])
             held[kind], sizes[kind] = [], 0
 
         for batch in batches:
-            for part in K.chunks(batch, "text"):
-                words, row = tokens(*K.text_buffers(part.column("text")))
-                both, _ = pairs(words, row)
-                single = np.concatenate((words, np.full(part.num_rows, START)))
-                for kind, x in ((1, single), (2, both)):
-                    keys, counts = np.unique(x, return_counts=True)
-                    held[kind].append((keys, counts))
-                    sizes[kind] += len(keys)
+            for chunk in K.chunks(batch, "text"):
+                t = tokens(*K.text_buffers(chunk.column("text")))
+                single = np.append(np.bincount(t.which, minlength=len(t.key)), chunk.num_rows)
+                both, counts = np.unique(t.pairs(), return_counts=True)
+                for kind, x in ((1, (np.append(t.key, START), np.append(t.key2, START), single)), (2, (both, np.zeros(len(both), np.uint64), counts))):
+                    held[kind].append(x)
+                    sizes[kind] += len(x[0])
                     if sizes[kind] > p.flush:
                         flush(kind)
                         if sizes[kind] > p.flush // 2:
@@ -159,52 +206,67 @@ def _counted(docs: DataFrame, p: Params) -> DataFrame:
                 flush(kind)
                 yield from emit(kind)
 
-    return docs.select("text").mapInArrow(run, "key long, n long, kind byte")
+    return docs.select("text").mapInArrow(run, "key long, key2 long, n long, kind byte")
 
 
-def _filter(counts: DataFrame, p: Params) -> DataFrame:
-    """(segment, body) of the filter; one shuffle, in which equal n-grams also meet and add up."""
-    shift = 64 - SEGMENT_BITS
+def _built(counts: DataFrame, parts: int, p: Params) -> DataFrame:
+    """The filter's files, and rows of two kinds, written: (key, uri, at, n) for a segment, where key is its least and n its bytes;
+    (key, key2, n) for a token. One shuffle, in which equal n-grams meet and add up."""
+    folder = shared_path(counts.sparkSession, "bloom")
 
     def run(batches):
-        keys, counts, now = [], [], None
-
-        def close():
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            body = build_segment(k[first].view(np.uint64), np.add.reduceat(c, first), p)
-            keys.clear(), counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([body], pa.binary())], names=["segment", "body"])
+        held, size = [], 0
+        out = None
+
+        def close(whole: bool):
+            """Segments of what is held; unless all is, the last key's rows wait for more of them."""
+            nonlocal held, size, out
+            keys, other, n, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = len(keys) if whole else int(np.searchsorted(keys, keys[-1]))
+            held, size = [(keys[end:], other[end:], n[end:], kind[end:])], len(keys) - end
+            if not end:
+                return
+            keys, other, n, kind = keys[:end], other[:end], n[:end], kind[:end]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            body = build_segment(keys[first].view(np.uint64), np.add.reduceat(n, first), p)
+            if out is None:
+                out = Writer(folder, "segments", ".bloom")
+            at = out.size
+            out.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[0]]), pa.nulls(1, pa.int64()), pa.array([len(body)], pa.int64()), pa.array([out.uri]), pa.array([at], pa.int64())], names=["key", "key2", "n", "uri", "at"])
+            word = kind == 1
+            keys, other, n = keys[word], other[word], n[word]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])))[: len(keys)])
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(other[first]), pa.array(np.add.reduceat(n, first)), pa.nulls(len(first), pa.string()), pa.nulls(len(first), pa.int64())], names=["key", "key2", "n", "uri", "at"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, c = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-            segment = (k.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
-            cut = np.concatenate(([0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(k)]))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if now is not None and segment[a] != now:
-                    yield close()
-                now = int(segment[a])
-                keys.append(k[a:b])
-                counts.append(c[a:b])
-        if keys:
-            yield close()
-
-    dealt = counts.select("key", "n").repartition(slots(counts.sparkSession), F.shiftrightunsigned("key", shift)).sortWithinPartitions("key")
-    return written(dealt.mapInArrow(run, "segment long, body binary"), "bloom")
-
-
-def _groups(bloom: DataFrame, p: Params) -> list[list[int]]:
-    """Segments in groups of at most p.max_bytes (at least one a group); 4096 numbers."""
-    groups, size = [[]], 0
-    for s, n in sorted(map(tuple, bloom.select("segment", F.octet_length("body")).collect())):
-        if groups[-1] and size + n > p.max_bytes:
-            groups.append([])
-            size = 0
-        groups[-1].append(s)
-        size += n
-    return groups
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy() for c in ("key", "key2", "n", "kind")))
+                size += batch.num_rows
+            if size >= p.segment:
+                yield from close(False)
+        if held:
+            yield from close(True)
+        if out is not None:
+            out.close()
+
+    where = F.shiftright(F.shiftright("key", 32) * F.lit(parts), 31).cast("int")
+    dealt = counts.repartitionById(parts, where).sortWithinPartitions("key", "kind", "key2")
+    return written(dealt.mapInArrow(run, "key long, key2 long, n long, uri string, at long"), "ngrams")
+
+
+_MAPPED: dict[str, np.ndarray] = {}
+
+
+def _mapped(uri: str) -> np.ndarray:
+    """A file of the shared folder, mapped read-only; one that isn't mounted is where Spark put it."""
+    if uri not in _MAPPED:
+        from pyspark import SparkFiles
+
+        path = uri.removeprefix("file://") if uri.startswith(("/", "file:")) else SparkFiles.get(uri.rpartition("/")[2])
+        _MAPPED[uri] = np.memmap(path.removeprefix("file:"), np.uint8, "r")
+    return _MAPPED[uri]
 
 
 @dataclass
@@ -214,6 +276,7 @@ class Base:
     n: int
     v: int
     keys: np.ndarray
+    keys2: np.ndarray
     counts: np.ndarray
 
 
@@ -221,78 +284,59 @@ def score(docs: DataFrame, train: Column, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), train.alias("train"))
-    counted = written(_counted(docs.where("train"), p), "ngrams")
-    start, end = int(START.view(np.int64)), int(END.view(np.int64))
-    words = written(counted.where((F.col("kind") == 1) & (F.col("key") != start)).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    parts = slots(spark)
+    built = _built(_counted(docs.where("train"), p), parts, p)
+    words = built.where(F.col("uri").isNull() & (F.col("key") != int(START))).select("key", "key2", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(p.head).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    base = Base(int(total["n"] or 0), int(total["v"]), keys[order], top["n"].to_numpy(np.int64)[order])
-    shared = spark.sparkContext.broadcast(base)
-    bloom = _filter(counted, p)
-    groups = _groups(bloom, p)
-
-    def load(group):
-        rows = bloom.where(F.col("segment").isin(group) if len(groups) > 1 else F.lit(True)).orderBy("segment").toArrow()
-        sizes = np.zeros(1 << SEGMENT_BITS, np.int64)
-        sizes[rows.column("segment").to_numpy()] = pc.binary_length(rows.column("body")).to_numpy()
-        return spark.sparkContext.broadcast((sizes, b"".join(b.as_py() for b in rows.column("body"))))
-
-    made: dict[int, Filter] = {}
-
-    def lookup(sent, distinct):
-        if id(sent) not in made:
-            made.clear()
-            made[id(sent)] = Filter(*sent.value, p.hashes)
-        return made[id(sent)].levels(distinct)
-
-    for group in groups[:-1]:  # a filter beyond max_bytes: levels travel with the text from pass to pass
-        docs = written(_levels(docs, load(group), lookup), "levels")
-    last = load(groups[-1])
-    partial = len(groups) > 1
+    top = words.orderBy(F.desc("n"), "key", "key2").limit(p.head).toPandas().sort_values("key")
+    base = Base(int(total["n"] or 0), int(total["v"]), *(top[c].to_numpy(np.int64) for c in ("key", "key2", "n")))
+    segments = built.where(F.col("uri").isNotNull()).select("key", "at", "n", "uri").toPandas().sort_values("key")  # one row a segment
+    first = segments["key"].to_numpy(np.int64).view(np.uint64)
+    files = {int(f): uri for f, uri in zip(part(first, parts), segments["uri"], strict=True)}
+    for uri in files.values():
+        if not uri.startswith(("/", "file:")):
+            spark.sparkContext.addFile(uri)
+    shared = spark.sparkContext.broadcast((base, first, segments["at"].to_numpy(np.int64), segments["n"].to_numpy(np.int64), files))
 
     def run(batches):
-        b = shared.value
+        b, first, at, size, files = shared.value
+        bloom = Filter(first, at, size, parts, {f: _mapped(uri) for f, uri in files.items()}, p.hashes)
         floor = 0.5 * (b.v + 1) + b.n
+        begin = estimate(bloom.levels(np.array([START])), p.base)[0]
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in K.chunks(batch, "text"):
-                rows = part.num_rows
-                words, row = tokens(*K.text_buffers(part.column("text")))
-                both, before = pairs(words, row)
-                distinct, which = np.unique(np.concatenate((words, before, both)), return_inverse=True)
-                lev = lookup(last, distinct)[which]
-                if partial:
-                    lev = np.maximum(lev, np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8).astype(np.int64)[_interleave(row, rows)])
-                n = len(words)
-                c = estimate(lev, p.base)
-                one, ahead, two = c[:n], c[n : 2 * n], np.minimum(c[2 * n :], c[n : 2 * n])
+            for chunk in K.chunks(batch, "text"):
+                rows = chunk.num_rows
+                t = tokens(*K.text_buffers(chunk.column("text")))
+                n = len(t.which)
+                one = estimate(bloom.levels(t.key), p.base)[t.which]
+                ahead = np.concatenate(([begin], one[:-1]))[:n]
+                ahead[t.first()] = begin
+                two = np.minimum(estimate(bloom.levels(t.pairs()), p.base), ahead)
                 prob = (two + p.kappa * (one + 0.5) / floor) / (ahead + p.kappa)
-                exact, find = np.unique(words, return_inverse=True)
-                at = np.minimum(np.searchsorted(b.keys, exact), max(len(b.keys) - 1, 0))
-                known = b.keys[at] == exact if len(b.keys) else np.zeros(len(exact), bool)
-                count = np.where(known, b.counts[at], 0) if len(b.keys) else np.zeros(len(exact), np.int64)
-                settled, count = known[find], count[find]
+                key, key2 = t.key.view(np.int64), t.key2.view(np.int64)
+                place = np.minimum(np.searchsorted(b.keys, key), max(len(b.keys) - 1, 0))
+                known = (b.keys[place] == key) & (b.keys2[place] == key2) if len(b.keys) else np.zeros(len(key), bool)
+                count = np.where(known, b.counts[place], 0) if len(b.keys) else np.zeros(len(key), np.int64)
                 if len(b.keys) == b.v:
-                    settled = np.ones(n, bool)
-                size = np.bincount(row, minlength=rows)
-                part_log = np.bincount(row[settled], np.log10(count[settled] + 0.5), minlength=rows)
+                    known[:] = True
+                settled, count, row = known[t.which], count[t.which], t.row
+                logs = np.bincount(row[settled], np.log10(count[settled] + 0.5), minlength=rows)
                 hits = np.bincount(row[settled], count[settled] > 0, minlength=rows).astype(np.int64)
-                rest = words[~settled].view(np.int64)
+                rest = t.which[~settled]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row[~settled], minlength=rows))))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(key[rest]), pa.array(key2[rest])], names=["a", "b"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + rows)), part.column("doc_id"), pa.array(size), pa.array(hits), pa.array(part_log), pa.array(np.bincount(row, np.log10(prob), minlength=rows)), lists],
+                    [pa.array(np.arange(rid, rid + rows)), chunk.column("doc_id"), pa.array(np.bincount(row, minlength=rows)), pa.array(hits), pa.array(logs), pa.array(np.bincount(row, np.log10(prob), minlength=rows)), lists],
                     names=["rid", "doc_id", "n_tokens", "hits", "logs", "score", "rest"],
                 )
                 rid += rows
 
-    scored = written(docs.mapInArrow(run, "rid long, doc_id long, n_tokens long, hits long, logs double, score double, rest array<long>"), "scored")
+    scored = written(docs.mapInArrow(run, "rid long, doc_id long, n_tokens long, hits long, logs double, score double, rest array<struct<a: bigint, b: bigint>>"), "scored")
     rest = scored.select("rid", F.explode("rest").alias("key")).groupBy("rid", "key").agg(F.count(F.lit(1)).alias("f"))
-    rest = rest.join(words.select(F.col("key").alias("__k"), F.col("n").alias("__c")), F.col("key") == F.col("__k"), "left")
+    rest = rest.join(words.select(F.col("key").alias("__k"), F.col("key2").alias("__k2"), F.col("n").alias("__c")), (F.col("key.a") == F.col("__k")) & (F.col("key.b") == F.col("__k2")), "left")
     rest = rest.groupBy(F.col("rid").alias("__rid")).agg(F.sum(F.when(F.col("__c") > 0, F.col("f")).otherwise(0)).alias("__hits"), F.sum(F.col("f") * F.log10(F.coalesce("__c", F.lit(0)) + 0.5)).alias("__logs"))
     out = scored.drop("rest").join(rest, F.col("rid") == F.col("__rid"), "left")
     floor = float(np.log10(base.n + 0.5 * (base.v + 1)))
@@ -306,40 +350,6 @@ def score(docs: DataFrame, train: Column, p: Params = Params()) -> DataFrame:
     )
 
 
-def _interleave(row: np.ndarray, rows: int) -> np.ndarray:
-    """Where each token's, predecessor's and pair's level lies in the texts' level strings (3 by token, by text)."""
-    size = np.bincount(row, minlength=rows)
-    first = np.cumsum(size) - size
-    within = np.arange(len(row)) - first[row]
-    start = 3 * first[row]
-    return np.concatenate([start + k * size[row] + within for k in range(3)])
-
-
-def _levels(docs: DataFrame, sent, lookup) -> DataFrame:
-    """docs with ``levels`` (bytes): the highest level yet of each token, its predecessor and their pair."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    fields = [f for f in docs.schema.fields if f.name != "levels"]
-    had = "levels" in docs.columns
-
-    def run(batches):
-        for batch in batches:
-            for part in K.chunks(batch, "text"):
-                words, row = tokens(*K.text_buffers(part.column("text")))
-                both, before = pairs(words, row)
-                distinct, which = np.unique(np.concatenate((words, before, both)), return_inverse=True)
-                place = _interleave(row, part.num_rows)
-                out = np.zeros(len(place), np.uint8)
-                out[place] = lookup(sent, distinct)[which]
-                if had:
-                    out = np.maximum(out, np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8))
-                ends = 3 * np.cumsum(np.bincount(row, minlength=part.num_rows))
-                cells = pa.array([out[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), cells], names=[*(f.name for f in fields), "levels"])
-
-    return docs.mapInArrow(run, StructType([*fields, StructField("levels", BinaryType())]))
-
-
 def held_out_scores(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Scores of all documents; learnt from those whose fold is not 1."""
     out = score(docs, fold("doc_id") != 1, p)

@@ -120,12 +120,14 @@ class Segments:
             left = np.minimum(self.size[which[of]] - 8 * place, 8)
             yield of, place, self._view[self.starts[which[of]] + 8 * place] & _KEEP[left]
 
-    def hash(self) -> np.ndarray:
-        out = mix(self.head ^ self._seed)
+    def hash(self, other: int = 0) -> np.ndarray:
+        """The segments' hashes; with ``other`` different ones, independent of these."""
+        seed = self._seed ^ mix(np.array([other], np.uint64)) if other else self._seed
+        out = mix(self.head ^ seed)
         long = np.flatnonzero(self.size > 8)
         for of, place, block in self._blocks(long):
             first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            out[long[of[first]]] += np.add.reduceat(mix(block ^ mix(place.astype(np.uint64) * _GOLD + self._seed)), first)
+            out[long[of[first]]] += np.add.reduceat(mix(block ^ mix(place.astype(np.uint64) * _GOLD + seed)), first)
         return mix(out ^ (self.size.astype(np.uint64) * _BASE))
 
     def same(self, i: np.ndarray, other: Segments, j: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ def thue_morse(n: int) -> tuple[str, str]:
     return a, a.translate({97: 98, 98: 97})
 
 
-def poor(self):
+def poor(self, other=0):
     """A hash with 7 values."""
     return (self.size % 7).astype(np.uint64) << np.uint64(50)
 

@@ -210,7 +210,7 @@ def test_lm_base_scores_by_brute_force_in_all_ways(spark):
                 c[w] = c.get(w, 0) + 1
     n, v = sum(c.values()), len(c)
     one = {r["doc_id"]: r for r in bloom_lm.held_out_scores(docs).collect()}
-    few = {r["doc_id"]: r for r in bloom_lm.held_out_scores(docs, bloom_lm.Params(head=20, max_bytes=20_000, flush=500)).collect()}
+    few = {r["doc_id"]: r for r in bloom_lm.held_out_scores(docs, bloom_lm.Params(head=20, flush=500)).collect()}
     for i, t in toks.items():
         want = sum(np.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         for got in (one[i], few[i]):
@@ -221,19 +221,51 @@ def test_lm_base_scores_by_brute_force_in_all_ways(spark):
 
 def test_filter_levels_are_found():
     p = bloom_lm.Params()
-    keys = K.mix(np.arange(1, 4001, dtype=np.uint64)) >> np.uint64(bloom_lm.SEGMENT_BITS)
-    counts = np.random.default_rng(0).integers(1, 5000, 4000)
-    body = bloom_lm.build_segment(keys, counts, p)
-    sizes = np.zeros(1 << bloom_lm.SEGMENT_BITS, np.int64)
-    sizes[0] = len(body)
-    f = bloom_lm.Filter(sizes, body, p.hashes)
-    found = f.levels(keys)
-    want = bloom_lm.level(counts, p.base)
+    keys = np.sort(K.mix(np.arange(1, 8001, dtype=np.uint64)) >> np.uint64(1))
+    counts = np.random.default_rng(0).integers(1, 5000, len(keys))
+    first, at, size, tables = [], [], [], {}
+    for part in range(3):
+        mine = np.flatnonzero(bloom_lm.part(keys, 3) == part)
+        body = b""
+        for some in np.array_split(mine, 4):
+            first.append(keys[some[0]])
+            at.append(len(body))
+            body += bloom_lm.build_segment(keys[some], counts[some], p)
+            size.append(len(body) - at[-1])
+        tables[part] = np.frombuffer(body, np.uint8)
+    f = bloom_lm.Filter(np.array(first), np.array(at), np.array(size), 3, tables, p.hashes)
+    shuffled = np.random.default_rng(1).permutation(len(keys))
+    found = f.levels(keys[shuffled])
+    want = bloom_lm.level(counts[shuffled], p.base)
     assert (found >= want).all() and (found == want).mean() > 0.95
-    absent = K.mix(np.arange(10_000, 30_000, dtype=np.uint64)) >> np.uint64(bloom_lm.SEGMENT_BITS)
+    absent = K.mix(np.arange(10_000, 30_000, dtype=np.uint64)) >> np.uint64(1)
     assert (f.levels(absent) > 0).mean() < 0.05
 
 
+def test_lm_scores_by_a_plain_model(spark):
+    """With a filter too large to err, scores are those of plain counts on the same quantised scale."""
+    docs = table(spark, DATA, "documents")
+    p = bloom_lm.Params(bits_per_entry=100.0, segment=5000)
+    toks = {r["doc_id"]: [*words((r["text"] or "").translate({i: i + 32 for i in range(65, 91)})), "</s>"] for r in docs.collect()}
+    one, two = {"<s>": 0}, {}
+    for i, t in toks.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            one["<s>"] += 1
+            for a, b in zip(["<s>", *t], t, strict=False):
+                one[b] = one.get(b, 0) + 1
+                two[a, b] = two.get((a, b), 0) + 1
+    n, v = sum(one.values()) - one["<s>"], len(one) - 1
+    seen = lambda c: bloom_lm.estimate(bloom_lm.level(np.array([c]), p.base), p.base)[0] if c else 0.0
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.held_out_scores(docs, p).collect()}
+    for i, t in toks.items():
+        want = 0.0
+        for a, b in zip(["<s>", *t], t, strict=False):
+            prior = (seen(one.get(b, 0)) + 0.5) / (n + 0.5 * (v + 1))
+            ahead = seen(one.get(a, 0))
+            want += np.log10((min(seen(two.get((a, b), 0)), ahead) + p.kappa * prior) / (ahead + p.kappa))
+        assert abs(got[i] - want) < 1e-6 * max(1.0, abs(want))
+
+
 def test_classifiers_on_held_out_labels(spark, labels):
     d = DATA.replace("0.001", "0.1")
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
