@@ -191,10 +191,9 @@ def with_rates(docs: DataFrame, labels: DataFrame, p: Params = Params(), targets
 
 
 def copies(rate, key):
-    """Whole copies of a row: the rate's floor, and one more where the row's hash falls under its fraction.
-
-    A hair is added first, so a rate that the fit left just under a whole number does not lose rows."""
-    r = rate + F.lit(1e-2)
+    """Whole copies of a row: the rate's floor, and one more where the row's hash falls under its fraction, so that the
+    mean is the rate; a rate within 1e-6 of a whole number is that number."""
+    r = F.when(F.abs(rate - F.rint(rate)) < 1e-6, F.rint(rate)).otherwise(rate)
     u = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return (F.floor(r) + F.when(r - F.floor(r) > u, 1).otherwise(0)).cast("int")
 
