@@ -5,7 +5,7 @@ length, repetition and symbols, the
 metadata view on source, language, length band and their pairs. They are fitted on a bounded labelled sample
 (``linear.sample``), and rounds run: both fit, both are Platt-calibrated on a held-out fifth, both score every unlabelled
 document, and each hands ``per_round`` documents a class, of those it is sure of (calibrated probability beyond
-``confident``), spread evenly over the sources, to the other as pseudo-labels. The calibrated views are combined by a logistic stack fitted on the held-out fifth. All
+``confident``), spread evenly over the sources, to the other as pseudo-labels. The calibrated views are combined by a logistic stack fitted on another held-out fifth. All
 documents are scored in one narrow Arrow pass.
 
 Defined results: null or empty text and null metadata are ordinary values (no n-grams; the token ``null``); repeated
@@ -94,24 +94,26 @@ def join(a: L.Sparse, b: L.Sparse) -> L.Sparse:
 
 
 def cotrain(text: L.Sparse, meta: L.Sparse, y: np.ndarray, p: Params, teach) -> Model:
-    """y: 1 or 0. Of the rows each fifth calibrates. teach(views) gives what the rounds hand on: (features, labels) for
-    the text view and for the metadata view, of documents that were not handed to that view before."""
-    check = np.cumsum(np.ones(len(y), int)) % 5 == 0
+    """y: 1 or 0. Of the rows a fifth calibrates the views and another fits the stack. teach(views) gives what the rounds
+    hand on: (features, labels) for the text view and for the metadata view, of documents that were not handed to that
+    view before."""
+    fifth = np.arange(len(y)) % 5
+    check, stacked, rest = fifth == 0, fifth == 1, fifth > 1
     dims, l2s, known = (1 << p.features.bits, 1 << META_BITS), (p.l2, p.meta_l2), (text, meta)
-    learn, target = [L.pick(x, ~check) for x in known], [y[~check].astype(float)] * 2
+    learn, target = [L.pick(x, rest) for x in known], [y[rest].astype(float)] * 2
+    views = [None, None]
     for turn in range(p.rounds + 1):
-        views = []
         for k in range(2):
-            w, b = L.fit_binary(learn[k], target[k], dims[k], l2s[k])
+            w, b = L.fit_binary(learn[k], target[k], dims[k], l2s[k], start=views[k] and (views[k].weights, views[k].bias))
             slope, shift = L.platt(L.apply_binary(L.pick(known[k], check), w, b), y[check])
-            views.append(View(w, b, slope, shift))
+            views[k] = View(w, b, slope, shift)
         if turn == p.rounds:
             break
         for k, (x, cls) in enumerate(teach(views)):
             learn[k], target[k] = join(learn[k], x), np.concatenate((target[k], cls))
-    z = [views[k].logit(L.apply_binary(L.pick(known[k], check), views[k].weights, 0.0)) for k in range(2)]
-    stack = L.Sparse(np.repeat(np.arange(check.sum()), 2), np.tile([0, 1], check.sum()), np.stack(z, 1).ravel(), int(check.sum()))
-    w, c = L.fit_binary(stack, y[check].astype(float), 2, 1e-2)
+    z = [views[k].logit(L.apply_binary(L.pick(known[k], stacked), views[k].weights, 0.0)) for k in range(2)]
+    n = int(stacked.sum())
+    w, c = L.fit_binary(L.Sparse(np.repeat(np.arange(n), 2), np.tile([0, 1], n), np.stack(z, 1).ravel(), n), y[stacked].astype(float), 2, 1e-2)
     return Model(views[0], views[1], (float(max(w[0], 0)), float(max(w[1], 0)), c))
 
 

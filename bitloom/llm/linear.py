@@ -253,23 +253,27 @@ def _dense(idx: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(live), (np.cumsum(live, dtype=np.int32) - 1)[idx]
 
 
-def fit_binary(x: Sparse, y: np.ndarray, dim: int, l2: float = 1e-3, steps: int = 60, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression: (weights over all buckets, intercept). y may be soft, within 0..1."""
+def fit_binary(x: Sparse, y: np.ndarray, dim: int, l2: float = 1e-3, steps: int = 60, weight: np.ndarray | None = None, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression: (weights over all buckets, intercept). y may be soft, within 0..1. Steps begin
+    at ``start``, if given."""
     out = np.zeros(dim)
     if not x.n:
         return out, 0.0
     used, idx = _dense(x.idx, dim)
     weight = np.ones(x.n) if weight is None else weight
     total = weight.sum()
+    bound = np.searchsorted(x.rows, np.arange(x.n + 1))
+    size, idx = np.diff(bound), idx.astype(np.intp)
 
     def f(p):
-        z = np.bincount(x.rows, x.val * p[:-1][idx], minlength=x.n) + p[-1]
+        z = K.range_sums(x.val * p[:-1][idx], bound[:-1], bound[1:]) + p[-1]
         loss = weight @ (np.logaddexp(0, z) - y * z) / total + 0.5 * l2 * (p[:-1] @ p[:-1])
         r = weight * (sigmoid(z) - y) / total
-        return loss, np.append(np.bincount(idx, x.val * r[x.rows], minlength=len(used)) + l2 * p[:-1], r.sum())
+        return loss, np.append(np.bincount(idx, x.val * np.repeat(r, size), minlength=len(used)) + l2 * p[:-1], r.sum())
 
     base = np.clip((weight @ y) / total, 1e-3, 1 - 1e-3)
-    p = lbfgs(f, np.append(np.zeros(len(used)), np.log(base / (1 - base))), steps)
+    begin = np.append(np.zeros(len(used)), np.log(base / (1 - base))) if start is None else np.append(start[0][used], start[1])
+    p = lbfgs(f, begin, steps)
     out[used] = p[:-1]
     K.give_back()
     return out, float(p[-1])
