@@ -80,18 +80,13 @@ def quartiles(df: DataFrame, features: list[str]) -> Model:
 
 def distinct_steps(df: DataFrame, features: list[str], k: int = 25) -> Model:
     """Every distinct value but the smallest; k of them, evenly spaced from the first, if there are more."""
-    out = {}
+    s, out = P.moments(df, features), {}
     for f in features:
-        full = P.distinct_sorted(df, f, None) if P.moments(df, [f])[f]["distinct"] <= k + 1 else None
-        out[f] = full[1:] if full is not None else _steps_after_first(df, f, k)
+        n = s[f]["distinct"]
+        out[f] = P.distinct_sorted(df, f)[1:] if n <= k + 1 else P.distinct_at(df, f, [1 + int(i * (n - 1) / k) for i in range(k)])
     return Model(out)
 
 
-def _steps_after_first(df: DataFrame, f: str, k: int) -> list[float]:
-    low = P.clean(df, [f]).agg(F.min(f)).first()[0]
-    return P.distinct_sorted(df.where(F.col(f) > low), f, k)
-
-
 def adaptive_quantile(df: DataFrame, features: list[str], k: int = 10, method: str = "quantile") -> Model:
     """Distinct values while there are k or fewer; else k quantiles, or k distinct values evenly spaced (``unique``)."""
     s = P.moments(df, features)

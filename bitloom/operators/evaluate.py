@@ -28,6 +28,32 @@ def summary(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return s.agg((F.sum("tp") / n).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), (F.max("support") / n).alias("majority"), F.min("f1").alias("lowest_f1"))
 
 
+def learning_check(train: DataFrame, test: DataFrame, truth: str, predicted: str, margin: float = 0.02) -> DataFrame:
+    """train_accuracy, test_accuracy, majority (of the test rows), gap (train less test), and whether training beat the majority
+    by more than the margin."""
+    a = summary(train, truth, predicted).select(F.col("accuracy").alias("train_accuracy"))
+    b = summary(test, truth, predicted).select(F.col("accuracy").alias("test_accuracy"), "majority")
+    both = a.crossJoin(b)  # one row with one row
+    return both.withColumns({"gap": F.col("train_accuracy") - F.col("test_accuracy"), "learned": F.col("train_accuracy") > F.col("majority") + margin})
+
+
+def joined(results: DataFrame, meta: DataFrame, extra: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """Results whose key the meta rows have, with those and, where there are any, the extra columns; else the defaults."""
+    return results.join(meta, key).join(extra, key, "left").na.fill(defaults)
+
+
+def pace(model, df: DataFrame) -> dict[str, float]:
+    """Rows a second and microseconds a row of encoding the whole table, the width of its bits and the bytes of the model's
+    thresholds. The table is counted first, so that its own reading is warm; bits are made, not kept."""
+    import time
+
+    n = df.count()
+    began = time.perf_counter()
+    model.transform(df).write.format("noop").mode("overwrite").save()
+    took = time.perf_counter() - began
+    return {"rows": n, "seconds": took, "rows_per_second": n / took, "microseconds_per_row": 1e6 * took / max(n, 1), "width": model.width, "state_bytes": 8 * model.width}
+
+
 def clause_budget(classes: Column, width: Column) -> Column:
     """Clauses for so many classes and bits: even, within 256 to 2000."""
     half = F.bround(50 * classes + F.lit(0.3) * width).cast("long")
@@ -59,10 +85,10 @@ def newest(frames: list[DataFrame], key: str) -> DataFrame:
     return out.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__i", "__r")
 
 
-def leaderboard(df: DataFrame, group: str, score: str, name: str) -> DataFrame:
-    """Mean score and wins (ties to the smaller name) of each name."""
+def leaderboard(df: DataFrame, group: str, score: str, name: str, cost: str | None = None) -> DataFrame:
+    """Mean score and wins (ties to the smaller name) of each name; with ``cost`` its mean too."""
     wins = best(df, [group], score, name).groupBy(name).agg(F.count(F.lit(1)).alias("wins"))
-    mean = df.groupBy(name).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    mean = df.groupBy(name).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"), *([F.avg(cost).alias("mean_cost")] if cost else []))
     return mean.join(wins, name, "left").na.fill(0, ["wins"])
 
 

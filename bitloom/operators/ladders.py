@@ -238,50 +238,80 @@ def _edges(x: DataFrame, f: str, all_: dict, zero: float, above: dict, k: int, r
 
 
 class _Sorted:
-    """A sorted column as distinct values with running counts and sums; asked for a bounded list of places at a time."""
-
-    def __init__(self, df: DataFrame, f: str, centre: float):
-        v = F.col("v")
-        counts = P.clean(df, [f]).where(F.col(f).isNotNull()).groupBy((F.col(f) - F.lit(centre)).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        self.rows = running(counts, "v", {"n": F.col("c"), "t": F.col("c") * v, "u": F.col("c") * v * v}).persist()
+    """Sorted columns as distinct values with running counts and sums; asked for a bounded list of places at a time."""
+
+    def __init__(self, df: DataFrame, centre: dict[str, float]):
+        v, self.rows = F.col("v"), {}
+        for f, c in centre.items():
+            counts = P.clean(df, [f]).where(F.col(f).isNotNull()).groupBy((F.col(f) - F.lit(c)).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+            self.rows[f] = running(counts, "v", {"n": F.col("c"), "t": F.col("c") * v, "u": F.col("c") * v * v}).persist()
+
+    def at(self, places: dict[str, set[int]]) -> dict[str, dict[int, tuple[float, float, float]]]:
+        """Place p (from 1) of each column: the p-th value, and the sum and the sum of squares of the first p; one job."""
+        parts = []
+        for f, wanted in places.items():
+            ordered = sorted(wanted)
+            marks = [float(p) for p in ordered]
+            rows = self.rows[f].select("v", "t", "u", F.col("n").alias("to"), F.col("n").cast("double").alias("__n"), (F.col("n") - F.col("c")).cast("double").alias("__m"))
+            rows = P.bucketed(P.bucketed(rows, "__n", marks, "b"), "__m", marks, "a").where("b > a")
+            beyond = F.col("to") - F.col("p")
+            asked = F.array(*map(F.lit, ordered)).cast("array<bigint>")
+            rows = rows.withColumn("p", F.explode(F.slice(asked, F.col("a") + 1, F.col("b") - F.col("a"))))
+            parts.append(rows.select(F.lit(f).alias("f"), "p", "v", (F.col("t") - beyond * F.col("v")).alias("t"), (F.col("u") - beyond * F.col("v") * F.col("v")).alias("u")))
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        out: dict[str, dict[int, tuple[float, float, float]]] = {f: {} for f in places}
+        for r in every.collect():  # a row a place asked for
+            out[r["f"]][r["p"]] = (r["v"], r["t"], r["u"])
+        return out
 
-    def at(self, places: list[int]) -> dict[int, tuple[float, float, float]]:
-        """Place p (from 1): the p-th value, and the sum and the sum of squares of the first p."""
-        before = F.col("n") - F.col("c")
-        hit = F.filter(F.array(*(F.lit(int(p)).cast("long") for p in sorted(set(places)))), lambda p: (p > before) & (p <= F.col("n")))
-        p, v, beyond = F.col("p"), F.col("v"), F.col("n") - F.col("p")
-        rows = self.rows.withColumn("p", F.explode(hit)).select("p", "v", (F.col("t") - beyond * v).alias("t"), (F.col("u") - beyond * v * v).alias("u"))
-        return {r["p"]: (r["v"], r["t"], r["u"]) for r in rows.collect()}  # a row a place asked for
+    def close(self) -> None:
+        for rows in self.rows.values():
+            rows.unpersist()
 
 
 def variance_splits(df: DataFrame, features: list[str], k: int = 8, places: int = 200) -> Model:
     """Greedy splits of the sorted column, each at the place (of ``places`` in each interval) that lowers an interval's
-    variance most; k in all, filled up evenly over the range."""
+    variance most; k in all, filled up evenly over the range. All features advance together, a job a round."""
     s, out = P.moments(df, features), {}
+    cuts: dict[str, list[float]] = {f: [s[f]["lo"] or 0.0] if s[f]["n"] < 2 else [] for f in features}
+    best: dict[str, dict] = {f: {} for f in features}
+    fresh = {f: [(0, s[f]["n"])] for f in features if s[f]["n"] >= 2 and s[f]["hi"] > s[f]["lo"]}
+    col = _Sorted(df, {f: s[f]["mean"] for f in fresh})
+    while fresh:
+        tried = {f: {i: _places(*i, places) for i in spans} for f, spans in fresh.items()}
+        asked = {f: {p for (lo, hi), c in t.items() if len(c) for p in (max(lo, 1), hi, *(lo + c).tolist(), *(lo + c + 1).tolist())} for f, t in tried.items()}
+        asked = {f: p for f, p in asked.items() if p}
+        got = col.at(asked) if asked else {}
+        for f, t in tried.items():
+            best[f] |= {i: _best_split(got.get(f, {}), *i, c) for i, c in t.items()}
+        fresh = {}
+        for f in best:
+            if len(cuts[f]) < k and any(best[f].values()):
+                span = max((i for i in best[f] if best[f][i]), key=lambda i: (best[f][i][0], -i[0]))
+                _, at, cut = best[f].pop(span)
+                cuts[f].append(cut + s[f]["mean"])
+                if len(cuts[f]) < k:
+                    fresh[f] = [(span[0], at), (at, span[1])]
+    col.close()
     for f in features:
-        n, lo, hi = s[f]["n"], s[f]["lo"] or 0.0, s[f]["hi"] or 0.0
-        cuts: list[float] = [lo] if n < 2 else []
-        if n >= 2 and hi > lo:
-            col = _Sorted(df, f, s[f]["mean"])
-            best = {(0, n): _best_split(col, 0, n, places)}
-            while len(cuts) < k and any(best.values()):
-                span = max((i for i in best if best[i]), key=lambda i: (best[i][0], -i[0]))
-                _, at, cut = best.pop(span)
-                cuts.append(cut + s[f]["mean"])
-                best |= {i: _best_split(col, *i, places) for i in ((span[0], at), (at, span[1]))}
-            col.rows.unpersist()
-        cuts = cuts or [lo]
-        out[f] = rising([*cuts, *inside(lo, hi, k - len(cuts))])
+        lo, hi = s[f]["lo"] or 0.0, s[f]["hi"] or 0.0
+        own = cuts[f] or [lo]
+        out[f] = rising([*own, *inside(lo, hi, k - len(own))])
     return Model(out)
 
 
-def _best_split(col: _Sorted, lo: int, hi: int, places: int) -> tuple[float, int, float] | None:
+def _places(lo: int, hi: int, most: int) -> np.ndarray:
+    n = hi - lo
+    return np.unique(np.linspace(1, n - 1, most).astype(int)) if n > most else np.arange(1, n)
+
+
+def _best_split(got: dict, lo: int, hi: int, cuts: np.ndarray) -> tuple[float, int, float] | None:
     """(gain, place, threshold) of the best split of the sorted values lo + 1 to hi; none for constant or single ones."""
     n = hi - lo
     if n < 2:
         return None
-    cuts = np.unique(np.linspace(1, n - 1, places).astype(int)) if n > places else np.arange(1, n)
-    got = col.at([max(lo, 1), hi, *(lo + cuts).tolist(), *(lo + cuts + 1).tolist()])
     t0, u0 = got[lo][1:] if lo else (0.0, 0.0)
     t, u = got[hi][1] - t0, got[hi][2] - u0
     var = lambda t, u, n: max(u / n - (t / n) ** 2, 0.0)
@@ -306,7 +336,7 @@ def density_valleys(df: DataFrame, features: list[str], k: int = 8) -> Model:
             continue
         edges = np.linspace(s[f]["lo"], s[f]["hi"], bins + 1)
         wide = max(3, bins // 20)
-        smooth = np.convolve(np.array(P.histogram(df, {f: edges.tolist()})[f], float), np.ones(wide) / wide, mode="same")
+        smooth = np.convolve(P.histogram(df, {f: edges.tolist()})[f], np.ones(wide, int), mode="same")
         low = [i for i in range(1, bins - 1) if smooth[i] < smooth[i - 1] and smooth[i] < smooth[i + 1]]
         found = [(edges[i] + edges[i + 1]) / 2 for i in sorted(low, key=lambda i: smooth[i])[:k]]
         out[f] = [*found, *(P.quantiles(df, [f], probabilities(k - len(found)))[f] if len(found) < k else [])]

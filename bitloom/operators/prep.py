@@ -104,6 +104,27 @@ def drifted(df: DataFrame, order: str, feature: str, slope: float = 2.5) -> Data
     return ranked.withColumn(feature, F.col(feature) * (1 + slope * t) + slope * t * F.lit((s["s"] or 0.0) + 1e-9)).drop("__at")
 
 
+def bad_cells(df: DataFrame, features: list[str]) -> Column:
+    """How many cells of the features are null, NaN or infinite, as an aggregate."""
+    bad = [F.count_if(F.col(f).isNull() | F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == F.lit(float("inf")))) for f in features]
+    return sum(bad[1:], bad[0])
+
+
+def verified(before: DataFrame, after: list[DataFrame], features: list[str]) -> DataFrame:
+    """One row that says whether preparation did its work: bad cells before and after (in all the tables prepared), whether each
+    table still has every feature, and OK or FAIL."""
+    whole = all(set(features) <= set(t.columns) for t in after)
+    there = [f for f in features if all(f in t.columns for t in after)]
+    count = lambda t, fs: t.agg(bad_cells(t, fs).alias("n"))
+    rows = [count(before, features).withColumn("what", F.lit("b")), *(count(t, there).withColumn("what", F.lit("a")) for t in after if there)]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    total = lambda w: F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0))
+    out = every.agg(total("b").alias("bad_before"), total("a").alias("bad_after"), F.lit(whole).alias("width_kept"))
+    return out.withColumn("status", F.when((F.col("bad_after") == 0) & F.col("width_kept"), "OK").otherwise("FAIL"))
+
+
 def ingest_profile(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row: rows, classes, imbalance, missing and infinite cells, constant features, status."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("n_classes"), F.max("c").alias("hi"), F.min("c").alias("lo"), F.sum("c").alias("n_rows"))

@@ -64,6 +64,19 @@ def with_entropy(df: DataFrame, stream: list[str], seq: str, value: str, window:
     return df.withColumn("entropy", F.when(F.col("__full"), F.round(h, 9))).drop("__lo", "__hi", "__bin", "__full", *(f"__p{i}" for i in range(bins)))
 
 
+def moving_gate(df: DataFrame, stream: list[str], seq: str, value: str, window: int = 8, bins: int = 8, alpha: float = 0.9, bias: float = 0.0, name: str = "gate") -> DataFrame:
+    """The gate with a threshold that starts at the series' mean entropy plus ``bias`` and follows the entropy; null without a
+    whole window. (Entropies are taken from their mean, which leaves the recurrence as it is, so every series starts at 0.)"""
+    from bitloom.streaming.steps import encode_rows
+
+    mean = F.avg("entropy").over(Window.partitionBy(*stream)) + F.lit(bias)
+    h = with_entropy(df.select(*stream, seq, value), stream, seq, value, window, bins).withColumn("__h", F.col("entropy") - mean)
+    gates = encode_rows(h, stream, seq, "__h", lambda: MovingGate(0.0, alpha))
+    keys = [F.col(c).alias(f"__{c}") for c in (*stream, seq)]
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*stream, seq)]
+    return df.join(gates.select(*keys, F.col("bits").cast("int").alias(name)), same, "left").drop(*(f"__{c}" for c in (*stream, seq)))
+
+
 class MovingGate:
     """The gate with a threshold that follows the entropy; a step function for ``streaming.steps``, its input the entropy."""
 
@@ -113,15 +126,51 @@ def temporal_predicates(df: DataFrame, stream: list[str], seq: str, value: str,
     return df.withColumn(name, F.when(F.count(x).over(values) == window + 1, _string(facts))).drop("__s", "__c")
 
 
-def chronological(df: DataFrame, stream: list[str], seq: str, value: str, window: int = 8, spectrum: int = 16, gated: bool = True, name: str = "bits") -> DataFrame:
-    """Phase, frequency and predicate bits together, all 0 where the entropy gate is shut; only rows that have them all."""
-    df = phase_plane(df, stream, seq, value, name="__a")
-    df = frequency_bands(df, stream, seq, value, spectrum, name="__b")
-    df = temporal_predicates(df, stream, seq, value, window, name="__l")
-    df = entropy_gate(df, stream, seq, value, window, name="__g")
-    df = df.where("__a is not null and __b is not null and __l is not null and __g is not null")
-    bits = F.concat("__a", "__b", "__l")
-    return df.withColumn(name, F.when((F.col("__g") == 1) | F.lit(not gated), bits).otherwise(F.translate(bits, "1", "0"))).drop("__a", "__b", "__l", "__g")
+#: The parts of ``chronological`` and what their bits say.
+GROUPS = {"phase": "2 rings by 4 sectors", "bands": "4 bands of the spectrum", "logic": "increasing, decreasing, oscillating, bursting, stable"}
+
+
+def chronological(df: DataFrame, stream: list[str], seq: str, value: str, window: int = 8, spectrum: int | None = None, parts: tuple[str, ...] = ("phase", "bands", "logic"), gated: bool = True, tabular: bool = False, name: str = "bits") -> DataFrame:
+    """Phase, frequency and predicate bits together (those of ``parts``), all 0 where the moving entropy gate is shut.
+
+    Only rows that have them all; ``tabular`` keeps the others too, with zeros. ``spectrum``: the spectrum's window, if another."""
+    made = {"phase": lambda d: phase_plane(d, stream, seq, value, name="__phase"), "bands": lambda d: frequency_bands(d, stream, seq, value, spectrum or window, name="__bands"), "logic": lambda d: temporal_predicates(d, stream, seq, value, window, name="__logic")}
+    columns = [f"__{p}" for p in made if p in parts]
+    for p in made:
+        df = made[p](df) if p in parts else df
+    if gated:
+        df = moving_gate(df, stream, seq, value, window, name="__gate")
+    whole = F.lit(True)
+    for c in [*columns, *(["__gate"] if gated else [])]:
+        whole = whole & F.col(c).isNotNull()
+    bits = F.concat(*columns) if columns else F.lit("")
+    zeros = F.lit("0" * sum(n for p, n in (("phase", 8), ("bands", 4), ("logic", 5)) if p in parts))
+    df = df.withColumn(name, F.when(whole, F.when(F.col("__gate") == 1, bits).otherwise(zeros) if gated else bits).otherwise(zeros) if tabular else F.when(whole, F.when(F.col("__gate") == 1, bits).otherwise(zeros) if gated else bits))
+    return (df if tabular else df.where(F.col(name).isNotNull())).drop(*columns, "__gate")
+
+
+def bit_groups(parts: tuple[str, ...] = ("phase", "bands", "logic")) -> list[tuple[str, int, int, str]]:
+    """(part, first place, bits, meaning) of the bits that ``chronological`` gives."""
+    out, at = [], 0
+    for p, n in (("phase", 8), ("bands", 4), ("logic", 5)):
+        if p in parts:
+            out.append((p, at, n, GROUPS[p]))
+            at += n
+    return out
+
+
+def learning_rows(df: DataFrame, stream: list[str], seq: str, value: str, label: str, lags: int = 4, **chrono) -> DataFrame:
+    """(stream..., seq, bits, label): chronological bits of each row and of the ``lags`` before it, with the row's own label; rows
+    that windows or lags leave incomplete are gone. What a clause learner, or any model, is given."""
+    bits = chronological(df, stream, seq, value, **chrono)
+    return stacked(bits, stream, seq, "bits", lags).select(*stream, seq, "bits", label)
+
+
+def soft_plane(edges: list[float], sectors: int = 4) -> dict[str, list[float]]:
+    """Centres and widths of soft rings (from their edges, cut at 100) and soft sectors, for Gaussian membership."""
+    cut, turn = np.minimum(edges, 100.0), np.linspace(-math.pi, math.pi, sectors + 1)
+    rings = (np.array(edges[:-1], float) + cut[1:]) / 2
+    return {"rings": rings.tolist(), "ring_widths": (np.diff(cut) / 2 + 1e-8).tolist(), "sectors": ((turn[:-1] + turn[1:]) / 2).tolist(), "sector_width": [math.pi / sectors]}
 
 
 def stacked(df: DataFrame, stream: list[str], seq: str, bits: str = "bits", lags: int = 4) -> DataFrame:

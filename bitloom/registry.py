@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom import oracles as Z
 from bitloom.functions.thermo import probabilities, probit
 from bitloom.operators import baseline as B
 from bitloom.operators import encoders as E
@@ -15,6 +16,8 @@ from bitloom.operators import ladders as L
 from bitloom.operators import ordered as O
 from bitloom.operators import prep as R
 from bitloom.operators import series as T
+from bitloom.streaming import duals as D
+from bitloom.streaming import general as N
 from bitloom.streaming import regimes as G
 from bitloom.streaming import steps as S
 from bitloom.streaming import trackers as K
@@ -133,7 +136,7 @@ def bin_pulse_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.bin_pulse)
 
 
-@query()
+@query(Z.DENSITY_EDGES)
 def density_edge_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.density_edges)
 
@@ -159,7 +162,7 @@ def rate_corrected_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.rate_corrected)
 
 
-@query()
+@query(Z.FUSION)
 def fusion_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.fusion)
 
@@ -169,7 +172,7 @@ def probit_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.probit_scaled)
 
 
-@query()
+@query(Z.BUDGETED)
 def budgeted_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.budgeted)
 
@@ -184,7 +187,7 @@ def even_width_bits(spark, sf_dir):
     return lineitem_bits(spark, sf_dir, E.even_bins, strategy="uniform")
 
 
-@query()
+@query(Z.PACKED)
 def packed_bits(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return E.quantile(df, ["o_totalprice"], 12).packed(df).select("o_orderkey", F.hex("packed").alias("packed"))
@@ -205,18 +208,18 @@ def _online(spark, sf_dir, make):
     return S.encode_rows(df, ["event_type"], "event_id", "value", make)
 
 
-@query()
+@query(Z.GAUSSIAN)
 def gaussian_band_online(spark, sf_dir):
     s = table(spark, sf_dir, "events").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).first()
     return _online(spark, sf_dir, lambda m=s["m"], v=s["v"]: S.GaussianBand(mean=m, var=v))
 
 
-@query()
+@query(Z.MOVING)
 def moving_band_online(spark, sf_dir):
     return _online(spark, sf_dir, lambda: S.MovingBand(latch=0.1))
 
 
-@query()
+@query(Z.RANGE)
 def range_band_online(spark, sf_dir):
     return _online(spark, sf_dir, lambda: S.TrueRangeBand())
 
@@ -423,7 +426,7 @@ for _name, _fit in {
     "uncorrelated_bits": L.uncorrelated,
     "least_squares_bits": lambda df, features: E.even_bins(df, features, strategy="kmeans"),
 }.items():
-    _add(_name, lambda spark, sf_dir, fit=_fit: lineitem_bits(spark, sf_dir, fit))
+    _add(_name, lambda spark, sf_dir, fit=_fit: lineitem_bits(spark, sf_dir, fit), {"dense_bin_bits": Z.DENSE_BINS, "density_width_bits": Z.WIDTH, "core_edge_bits": Z.CORE_AND_EDGES, "widest_gap_bits": Z.WIDEST_GAPS, "around_mode_bits": Z.AROUND_MODE, "sparse_aware_bits": Z.SPARSE_AWARE, "density_valley_bits": Z.VALLEYS}.get(_name))
 
 
 def _event_bits(spark, sf_dir, fit):
@@ -431,9 +434,9 @@ def _event_bits(spark, sf_dir, fit):
     return fit(df, ["value"], "event_id").ones(df)
 
 
-_add("sliding_window_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.sliding_windows))
-_add("segment_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.segments))
-_add("segment_or_density_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.segments_or_density))
+_add("sliding_window_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.sliding_windows), Z.SLIDING)
+_add("segment_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.segments), Z.SEGMENTS)
+_add("segment_or_density_bits", lambda spark, sf_dir: _event_bits(spark, sf_dir, O.segments_or_density), Z.SEGMENTS_OR_DENSITY)
 
 
 @query(f"""WITH a AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS n FROM events),
@@ -495,13 +498,13 @@ def entropy_gates(spark, sf_dir):
     return T.entropy_gate(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("gate is not null").select("event_id", "gate")
 
 
-@query()
+@query(Z.moving_gate(_COUNTS, _ENTROPY))
 def moving_entropy_gates(spark, sf_dir):
     h = T.with_entropy(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value")
     return S.encode_rows(h, ["event_type"], "event_id", "entropy", lambda: T.MovingGate(2.0))
 
 
-@query()
+@query(Z.FREQUENCY)
 def frequency_band_bits(spark, sf_dir):
     return T.frequency_bands(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("bands is not null").select("event_id", "bands")
 
@@ -515,7 +518,7 @@ def temporal_predicate_bits(spark, sf_dir):
     return T.temporal_predicates(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").where("logic is not null").select("event_id", "logic")
 
 
-@query()
+@query(Z.chronological(_SQL["phase_plane_bits"], _SQL["temporal_predicate_bits"], Z.moving_gate(_COUNTS, _ENTROPY, "mean")))
 def chronological_bits(spark, sf_dir):
     return T.chronological(_typed_events(spark, sf_dir), ["event_type"], "event_id", "value").select("event_id", "bits")
 
@@ -541,7 +544,7 @@ def category_bit_strings(spark, sf_dir):
     return df.select("event_id", G.category_bits(F.col("event_type"), values).alias("bits"))
 
 
-@query()
+@query(Z.MOMENTUM_SERIES)
 def momentum_series(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", T.momentum_bits(F.col("embedding").cast("array<double>")).alias("bits"))
     return df.withColumns({"n_events": F.size(T.events(F.col("bits"))).cast("long"), "sparsity": T.sparsity(F.col("bits")), "compression": T.compression(F.col("bits"))})
@@ -565,16 +568,47 @@ for _name, _make in {
     "charted_schema_online": G.ChartedSchema,
     "reservoir_quantiles_online": G.ReservoirQuantiles,
     "window_quantiles_online": G.WindowQuantiles,
+    "general_quantiles_online": N.GeneralQuantiles,
+    "general_band_online": N.GeneralBand,
+    "universal_online": N.Universal,
+    "adaptive_latch_online": D.AdaptiveLatch,
+    "blended_leader_online": D.BlendedLeader,
+    "vote_online": D.Vote,
+    "self_tuning_online": D.SelfTuning,
+    "sampled_values_online": D.SampledValues,
 }.items():
-    _add(_name, lambda spark, sf_dir, make=_make: _online(spark, sf_dir, make))
+    _add(_name, lambda spark, sf_dir, make=_make: _online(spark, sf_dir, make), {"oscillator_online": Z.OSCILLATOR, "step_size_online": Z.STEP_SIZE, "momentum_online": Z.MOMENTUM, "reservoir_quantiles_online": Z.RESERVOIR, "window_quantiles_online": Z.WINDOW}.get(_name))
 _add("drift_reset_fixed_online", lambda spark, sf_dir: _online(spark, sf_dir, lambda: K.DriftReset(fixed=True)))
 
 
+def _frozen(make):
+    """Learnt from each stream's events up to the middle of all, then the later ones encoded by what was learnt."""
+
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+        middle = df.agg(F.max("event_id")).first()[0] // 2
+        models = S.fitted(df.where(F.col("event_id") <= middle), ["event_type"], "event_id", "value", make)
+        return S.encode_fitted(df.where(F.col("event_id") > middle), models, ["event_type"], "event_id", "value", make)
+
+    return run
+
+
+for _name, _make in {"general_band_frozen": N.GeneralBand, "general_quantiles_frozen": N.GeneralQuantiles, "incoherence_frozen": G.Incoherence, "drift_follower_frozen": G.DriftFollower, "fast_follower_frozen": G.FastFollower, "steady_markers_frozen": K.SteadyMarkers, "dual_speed_fitted": K.DualSpeed, "vote_frozen": D.Vote, "sampled_values_frozen": D.SampledValues}.items():
+    _add(_name, _frozen(_make))
+
+
+@query(f"""WITH f AS ({_SQL["flip_counts"]}), r AS (SELECT flips / n_rows AS rate FROM f)
+SELECT round(min(rate), 9) AS least, round(avg(rate), 9) AS mean, round(max(rate), 9) AS most, round(stddev_pop(rate), 9) AS spread FROM r""")
+def flip_summary(spark, sf_dir):
+    s = S.flip_summary(flip_counts(spark, sf_dir))
+    return s.select(*(F.round(c, 9).alias(c) for c in s.columns))
+
+
 @query()
 def forest_baseline(spark, sf_dir):
     df = table(spark, sf_dir, "part").withColumn("kind", F.element_at(F.split("p_type", " "), -1))
     rows = R.split(df.select("p_partkey", "p_size", "p_retailprice", "kind"), "kind", "p_partkey")
-    return B.predictions(rows.where("not is_test"), rows.where("is_test"), ["p_size", "p_retailprice"], "kind", trees=20, depth=5).select("p_partkey", "kind", "predicted")
+    return B.predictions(rows.where("not is_test"), rows.where("is_test"), ["p_size", "p_retailprice"], "kind", ).select("p_partkey", "kind", "predicted")
 
 
 # --- more reports ------------------------------------------------------------------------------------------------
@@ -617,6 +651,48 @@ def group_summary(spark, sf_dir):
     return V.group_summary(_sides(spark, sf_dir), g, ("a", "b")).withColumns({c: F.round(c, 6) for c in ("mean_a", "mean_b")})
 
 
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n, sum(CASE WHEN l_quantity > 10 THEN 0 ELSE l_quantity END) AS v FROM lineitem GROUP BY ALL")
+def finite_values(spark, sf_dir):
+    x = F.when(F.col("l_quantity") > 30, F.lit(float("inf"))).when(F.col("l_quantity") > 20, F.lit(float("-inf"))).when(F.col("l_quantity") > 10, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", R.finite(x.cast("double")).alias("v"))
+    return df.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+
+
+@query("""SELECT count(*) FILTER (WHERE c_acctbal < 0) AS bad_before, CAST(0 AS BIGINT) AS bad_after, true AS width_kept, 'OK' AS status FROM customer""")
+def preparation_check(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    return R.verified(df, [R.impute_median(df, ["v"])], ["v"])
+
+
+@query(f"""WITH p AS ({_PREDICTED}, l_linenumber), s AS (SELECT l_linenumber % 3 = 0 AS test, avg((truth = predicted)::INTEGER) AS acc FROM p GROUP BY 1), m AS (SELECT max(c) / sum(c) AS majority FROM (SELECT count(*) AS c FROM p WHERE l_linenumber % 3 = 0 GROUP BY truth))
+SELECT round(a.acc, 9) AS train_accuracy, round(b.acc, 9) AS test_accuracy, round(majority, 9) AS majority, round(a.acc - b.acc, 9) AS gap, a.acc > majority + 0.02 AS learned FROM s a, s b, m WHERE NOT a.test AND b.test""".replace("END AS predicted FROM lineitem, l_linenumber", "END AS predicted, l_linenumber FROM lineitem"))
+def learning_report(spark, sf_dir):
+    p = F.when(F.col("l_quantity") > 25, "A").when(F.col("l_discount") > 0.05, "N").otherwise("R")
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("truth"), p.alias("predicted"), "l_linenumber")
+    out = V.learning_check(df.where("l_linenumber % 3 <> 0"), df.where("l_linenumber % 3 = 0"), "truth", "predicted")
+    return out.withColumns({c: F.round(c, 9) for c in ("train_accuracy", "test_accuracy", "majority", "gap")})
+
+
+@query("SELECT n_name AS dataset, n_regionkey AS score, r_name AS kind, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END, -1) AS other FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 0")
+def joined_results(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    results = n.select(F.col("n_name").alias("dataset"), F.col("n_regionkey").alias("score"))
+    meta = n.join(r.where("r_regionkey > 0"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("dataset"), F.col("r_name").alias("kind"))
+    extra = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("dataset"), F.col("n_nationkey").alias("other"))
+    return V.joined(results, meta, extra, "dataset", {"other": -1})
+
+
+@query("SELECT n_name AS dataset, 0.9 + n_nationkey / 240 AS acc, n_regionkey / 5 AS base FROM nation WHERE 0.9 + n_nationkey / 240 >= 0.999")
+def suspect_scores(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset"), (0.9 + F.col("n_nationkey") / 240).alias("acc"), (F.col("n_regionkey") / 5).alias("base"))
+    return V.suspects(df, "acc", "base")
+
+
+@query(f"WITH s AS ({_SCORES}) SELECT * FROM s WHERE score >= 4500 ORDER BY score DESC, encoder")
+def best_scores(spark, sf_dir):
+    return V.successes(_scores(spark, sf_dir), "score", "encoder", 4500.0)
+
+
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
 def commonest_nations(spark, sf_dir):
     return V.most_common(table(spark, sf_dir, "customer"), "c_nationkey", 12)

@@ -15,6 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def datasets(spark: SparkSession, folders: dict[str, str], pattern: str = "*.parquet") -> DataFrame:
+    """(name, path, kind, bytes) of all files that match, by the kind of their folder; a listing, no file is read."""
+    out = None
+    for kind, folder in folders.items():
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"))
+        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+        found = found.select(name.alias("name"), "path", F.lit(kind).alias("kind"), "bytes")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def write_features(df: DataFrame, path: str, features: list[str], label: str | None = None) -> None:
     """Features with six significant digits and the label as a whole number, a folder of headed CSV files."""
     cells = [F.format_string("%.6g", F.col(f).cast("double")).alias(f) for f in features]

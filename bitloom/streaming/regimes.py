@@ -46,6 +46,9 @@ class Incoherence:
             self.var = self.fast_rate * (v - self.slow) ** 2 + (one - self.fast_rate) * self.var
         self.n += 1
 
+    def hold(self, x: float) -> list[int]:
+        return self.bits(x)
+
     def bits(self, x: float) -> list[int]:
         """The bits of a value against the state as it stands."""
         if not math.isfinite(x):
@@ -144,6 +147,8 @@ class FastFollower:
         self.on = [int(x >= (t - self.latch if b else t + self.latch)) for t, b in zip(self.at, self.on, strict=True)]
         return self.on
 
+    hold = emit
+
 
 class DriftFollower(FastFollower):
     """The same from the quantiles of a warm-up, during which bits are 0, twice as fast while fast and slow markers differ by

@@ -1,18 +1,25 @@
 """Online encoders: one step function a stream and feature, the same over ordered tables and live streams.
 
-A step gives the bits of one value and moves the state. ``encode_rows`` replays an ordered table (one group a
-stream); ``encode_live`` runs the same steps in Structured Streaming, their state kept in the state store.
+A step gives the bits of one value and moves the state. ``encode_rows`` replays an ordered table, ``encode_live`` runs the
+same steps in Structured Streaming, their state kept in the state store. ``fitted`` keeps the machines as they are after a
+table, and ``encode_fitted`` encodes another table with them: frozen where a machine says how (``hold``), else going on.
+
+Partitions are sorted by stream and order and stepped through in Arrow batches, so a stream of any length needs the memory
+of a batch and its machine. Null and non-finite values are skipped everywhere, but by machines that ``takes_all``.
 """
 
 from __future__ import annotations
 
 import pickle
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.thermo import probabilities
@@ -139,15 +146,29 @@ class MarkerQuantiles:
         return out
 
 
-def recent_quantiles(df: DataFrame, stream: list[str], seq: str, value: str, k: int = 8, window: int = 500) -> DataFrame:
-    """df with ``bits``: each value against the exact quantiles of the ``window`` values before it (thresholds 0 at first).
+class RecentQuantiles:
+    """Bits against the exact quantiles of the ``window`` values before (thresholds 0 at first), kept in order."""
 
-    Bounded look-back without recursion, so a window function; group by stream for parallelism."""
-    w = Window.partitionBy(*stream).orderBy(seq).rowsBetween(-window, -1)
-    x = F.col(value).cast("double")
-    q = F.percentile(x, F.array(*map(F.lit, probabilities(k)))).over(w)
-    df = df.withColumn("__q", F.coalesce(q, F.array(*[F.lit(0.0)] * k)))
-    return df.withColumn("bits", F.array_join(F.transform("__q", lambda t: (x >= t).cast("int").cast("string")), "")).drop("__q")
+    def __init__(self, k: int = 8, window: int = 500):
+        self.probs, self.window, self.sorted, self.line = probabilities(k), window, [], deque()
+
+    def step(self, x: float) -> list[int]:
+        out, n = [], len(self.sorted) - 1
+        for p in self.probs:
+            place = p * n
+            low = int(place) if n >= 0 else 0
+            a, b = (self.sorted[low], self.sorted[min(low + 1, n)]) if n >= 0 else (0.0, 0.0)
+            out.append(int(x >= a + (b - a) * (place - low if n >= 0 else 0)))
+        self.line.append(x)
+        insort(self.sorted, x)
+        if len(self.line) > self.window:
+            del self.sorted[bisect_left(self.sorted, self.line.popleft())]
+        return out
+
+
+def recent_quantiles(df: DataFrame, stream: list[str], seq: str, value: str, k: int = 8, window: int = 500) -> DataFrame:
+    """(stream..., seq, bits): each value against the exact quantiles of the ``window`` values before it."""
+    return encode_rows(df, stream, seq, value, lambda: RecentQuantiles(k, window))
 
 
 def flip_rates(df: DataFrame, stream: list[str], seq: str, column: str = "bits") -> DataFrame:
@@ -159,44 +180,176 @@ def flip_rates(df: DataFrame, stream: list[str], seq: str, column: str = "bits")
     return df.select(*stream, F.explode(pairs).alias("p")).groupBy(*stream, F.col("p.bit").cast("long").alias("bit")).agg(F.sum("p.flip").alias("flips"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def _run(machine, xs) -> list[str]:
-    if hasattr(machine, "begin"):
-        machine.begin([float(x) for x in list(xs)[: machine.warm]])
-    return ["".join(map(str, machine.step(float(x)))) for x in xs]
+def flip_summary(flips: DataFrame) -> DataFrame:
+    """The least, mean, largest and spread (population) of the bits' flip rates, of ``flip_rates``."""
+    rate = F.col("flips") / F.col("n_rows")
+    return flips.agg(F.min(rate).alias("least"), F.avg(rate).alias("mean"), F.max(rate).alias("most"), F.stddev_pop(rate).alias("spread"))
+
+
+class Replay:
+    """A machine on its way through a stream: ``push`` gives the (tag, bits) that are due. One with a warm-up (``begin``) gives
+    nothing until it is full, then all of it; ``end`` gives what a stream shorter than the warm-up leaves."""
+
+    def __init__(self, machine, hold: bool = False):
+        self.machine, self.waiting = machine, [] if hasattr(machine, "begin") and not hold else None
+        self.one = getattr(machine, "hold", machine.step) if hold else machine.step
+
+    def push(self, tag, x: float) -> list[tuple]:
+        if self.waiting is None:
+            return [(tag, "".join(map(str, self.one(x))))]
+        self.waiting.append((tag, x))
+        return self.end() if len(self.waiting) >= self.machine.warm else []
+
+    def end(self) -> list[tuple]:
+        due, self.waiting = self.waiting or [], None
+        if due:
+            self.machine.begin([x for _, x in due])
+        return [out for tag, x in due for out in self.push(tag, x)]
+
+
+def usable(df: DataFrame, columns: list[str], value: str, make: Callable) -> DataFrame:
+    """The columns and ``__x``, the value as a double, without the rows that the machine is not given."""
+    rows = df.select(*columns, F.col(value).cast("double").alias("__x"))
+    return rows if getattr(make(), "takes_all", False) else rows.where("__x is not null and not isnan(__x) and abs(__x) < double('infinity')")
+
+
+def _sorted(rows: DataFrame, stream: list[str], *order: str | Column) -> DataFrame:
+    """Whole streams in order within partitions; the number of partitions is fixed, so that few streams aren't merged into one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *stream).sortWithinPartitions(*stream, *order)
+
+
+def _runs(batches, n_keys: int):
+    """(key, rows as tuples, whether the key is a new one) of the runs of equal keys; a run may go on in the next batch."""
+    now = None
+    for batch in batches:
+        for key, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[:n_keys]):
+            yield key, rows, key != now
+            now = key
+
+
+def _nan(x: float | None) -> float:
+    return float("nan") if x is None else x
 
 
 def encode_rows(df: DataFrame, stream: list[str], seq: str, value: str, make: Callable) -> DataFrame:
-    """(stream..., seq, bits) of every row, in order of seq within a stream; null and non-finite values are skipped.
+    """(stream..., seq, bits) of every row, in order of seq within a stream.
 
-    ``make()`` gives a fresh machine; one that ``takes_all`` is given NaN and infinite values too (null as NaN). Parallel over streams: split features into streams of their own."""
+    ``make()`` gives a fresh machine; one that ``takes_all`` is given NaN and infinite values too (null as NaN). Parallel over
+    streams: split features into streams of their own."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows, names = usable(df, [*stream, seq], value, make), [*stream, seq, "bits"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*stream, seq)), "bits string"])
+
+    def run(batches):
+        replay, types = None, None
+
+        def first(batches):
+            nonlocal types
+            for batch in batches:
+                types = [*batch.schema.types[:-1], pa.string()]
+                yield batch
+
+        for key, part, new in _runs(first(batches), len(stream)):
+            due = []
+            if new:
+                if replay is not None:
+                    due += [((*old, tag), bits) for tag, bits in replay.end()]
+                replay, old = Replay(make()), key
+            due += [((*key, tag), bits) for *_, tag, x in part for tag, bits in replay.push(tag, _nan(x))]
+            if due:
+                yield _table(due, types, names)
+        due = [((*old, tag), bits) for tag, bits in replay.end()] if replay is not None else []
+        if due:
+            yield _table(due, types, names)
+
+    return _sorted(rows, stream, seq).mapInArrow(run, schema)
+
+
+def _table(due: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
+    columns = [*zip(*(key for key, _ in due), strict=True), [bits for _, bits in due]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def fitted(df: DataFrame, stream: list[str], seq: str, value: str, make: Callable) -> DataFrame:
+    """(stream..., machine): each stream's machine after all its rows, by its steps or as it says (``learn``, ``settle``); one row
+    a stream, of bounded size."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = df.select(*stream, seq, F.col(value).cast("double").alias("__x"))
-    if not getattr(make(), "takes_all", False):
-        rows = rows.where("__x is not null and not isnan(__x) and abs(__x) < double('infinity')")
+    rows = usable(df, [*stream, seq], value, make)
+
+    def run(batches):
+        replay, old, types = None, None, None
+
+        def first(batches):
+            nonlocal types
+            for batch in batches:
+                types = [*batch.schema.types[: len(stream)], pa.binary()]
+                yield batch
+
+        def close():
+            replay.end()
+            if hasattr(replay.machine, "settle"):
+                replay.machine.settle()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*old, pickle.dumps(replay.machine)), types, strict=True)], names=[*stream, "machine"])
+
+        for key, part, new in _runs(first(batches), len(stream)):
+            if new:
+                if replay is not None:
+                    yield close()
+                replay, old = Replay(make()), key
+            learn = getattr(replay.machine, "learn", None)
+            for *_, tag, x in part:
+                learn(_nan(x)) if learn else replay.push(tag, _nan(x))
+        if replay is not None:
+            yield close()
+
+    return _sorted(rows, stream, seq).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in stream), "machine binary"]))
+
+
+def encode_fitted(df: DataFrame, models: DataFrame, stream: list[str], seq: str, value: str, make: Callable) -> DataFrame:
+    """(stream..., seq, bits) with the machines of ``fitted``, one a stream. Frozen, if the machines have ``hold`` (latches and
+    the last value still move, as each says); others go on adapting. Streams without a machine are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows, names = usable(df, [*stream, seq], value, make), [*stream, seq, "bits"]
+    heads = models.select(*stream, F.lit(None).cast(kinds[seq]).alias(seq), F.lit(None).cast("double").alias("__x"), "machine")
+    both = rows.withColumn("machine", F.lit(None).cast("binary")).unionByName(heads)
+
+    def run(batches):
+        replay, types = None, None
+
+        def first(batches):
+            nonlocal types
+            for batch in batches:
+                types = [*batch.schema.types[: len(stream) + 1], pa.string()]
+                yield batch
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable")
-        return pdf[[*stream, seq]].assign(bits=_run(make(), pdf["__x"]))
+        for key, part, new in _runs(first(batches), len(stream)):
+            replay, due = None if new else replay, []
+            for *_, tag, x, machine in part:
+                if machine is not None:
+                    replay = Replay(pickle.loads(machine), hold=True)
+                elif replay is not None:
+                    due += [((*key, tag), bits) for tag, bits in replay.push(tag, _nan(x))]
+            if due:
+                yield _table(due, types, names)
 
-    return rows.groupBy(*stream).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*stream, seq)), "bits string"]))
+    return _sorted(both, stream, F.col("machine").isNull(), seq).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*stream, seq)), "bits string"]))
 
 
 def encode_live(df: DataFrame, stream: str, seq: str, value: str, make: Callable) -> DataFrame:
-    """The same over a streaming DataFrame: chunks are sorted by seq, the machine lives in the state store.
+    """The same over a streaming DataFrame: a micro-batch's rows are sorted by seq, the machine lives in the state store.
 
-    Machines that need a warm-up (``begin``) are refused: their first values can't be encoded as they arrive."""
+    A machine with a warm-up keeps the first values there too, and they come out, encoded, when it is full."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    if hasattr(make(), "begin"):
-        raise ValueError("an encoder with a warm-up runs over tables only")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else make()
+        replay = pickle.loads(state.get[0]) if state.exists else Replay(make())
         pdf = pd.concat(list(chunks)).sort_values(seq, kind="stable")
-        out = pdf[[stream, seq]].assign(bits=_run(machine, pdf["__x"]))
-        state.update((pickle.dumps(machine),))
-        yield out
+        due = [out for tag, x in zip(pdf[seq], pdf["__x"], strict=True) for out in replay.push(tag, float(x))]
+        state.update((pickle.dumps(replay),))
+        yield pd.DataFrame({stream: pd.Series([key[0]] * len(due), dtype=pdf[stream].dtype), seq: pd.Series([t for t, _ in due], dtype=pdf[seq].dtype), "bits": pd.Series([b for _, b in due], dtype=object)})
 
-    rows = df.select(stream, seq, F.col(value).cast("double").alias("__x"))
+    rows = usable(df, [stream, seq], value, make)
     return rows.groupBy(stream).applyInPandasWithState(run, f"`{stream}` {kinds[stream]}, `{seq}` {kinds[seq]}, bits string", "machine binary", "append", GroupStateTimeout.NoTimeout)

@@ -94,20 +94,34 @@ class SteadyMarkers:
         self.markers, self.latch, self.bits = Markers(k, speed), latch, [0] * k
 
     def step(self, x: float) -> list[int]:
-        self.bits = [int(x >= (t - self.latch if b else t + self.latch)) for b, t in zip(self.bits, self.markers.inner(), strict=True)]
+        self.hold(x)
         self.markers.add(x)
         return self.bits
 
+    def hold(self, x: float) -> list[int]:
+        """Without moving the markers; the latches do move."""
+        self.bits = [int(x >= (t - self.latch if b else t + self.latch)) for b, t in zip(self.bits, self.markers.inner(), strict=True)]
+        return self.bits
+
 
 class DualSpeed:
     """Thresholds that follow slow marker quantiles, or fast ones while both disagree by more than ``tau`` of the slow
     spread, by at most ``rate`` local spacings a value; bits are latched and rest ``rest`` values after a flip. Emits,
-    then moves; zeros until the markers stand."""
+    then moves; zeros until the markers stand; thresholds start from an even grid over 0 to 1."""
 
     def __init__(self, k: int = 8, tau: float = 0.4, rate: float = 0.08, latch: float = 0.12, rest: int = 1, slow: float = 0.5, fast: float = 2.0):
         self.slow, self.fast = Markers(k, slow), Markers(k, fast)
         self.tau, self.rate, self.latch, self.rest = tau, rate, latch, rest
-        self.at, self.bits, self.wait = [0.0] * k, [0] * k, [0] * k
+        self.at, self.bits, self.wait = np.linspace(0, 1, k + 2)[1:-1].tolist(), [0] * k, [0] * k
+
+    def learn(self, x: float) -> None:
+        """A fit: only the markers see the values ..."""
+        self.slow.add(x)
+        self.fast.add(x)
+
+    def settle(self) -> None:
+        """... and then the thresholds are the slow quantiles."""
+        self.at = list(self.slow.inner()) if self.slow.height is not None and self.fast.height is not None else [0.0] * len(self.at)
 
     def step(self, x: float) -> list[int]:
         out = [0] * len(self.bits)
