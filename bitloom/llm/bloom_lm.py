@@ -17,7 +17,7 @@ segments are cut, thus also on the number of shuffle partitions.
 ``kappa`` was chosen on fold 2 of the given tables, a part of the training rows, by a model of folds 0, 3 and 4 (the
 held-out fold 1 had no part in it).
 
-``base_score`` uses exact counts, by 128-bit hashes of the tokens: those of the ``head`` commonest tokens are broadcast (a fixed size) and settle most
+``base_score`` uses exact counts, by 128-bit hashes of the tokens: those of the commonest tokens, ``head`` at most, are broadcast (a fixed size) and settle most
 tokens in place; the rest, of which none is frequent, meet their counts in a join.
 
 Tokens are the words of the whole text, A-Z lower-cased, then one end. Defined results: null or empty text is the
@@ -102,13 +102,15 @@ def estimate(levels: np.ndarray, base: float) -> np.ndarray:
     return mids[levels]
 
 
-def _spots(key: np.ndarray, lev, bits: np.ndarray, hashes: int):
-    """The bit of each (key, level) under one hash after another; ``bits`` below 2**32."""
+def _start(key: np.ndarray, lev) -> tuple[np.ndarray, np.ndarray]:
+    """What the places of a (key, level) begin with, and what is added for each further hash."""
     a = K.mix(key + np.asarray(lev, np.uint64) * _PAIR)
-    step = K.mix(a ^ END) | _ONE
-    for _ in range(hashes):
-        yield ((a >> np.uint64(32)) * bits) >> np.uint64(32)
-        a = a + step
+    return a, K.mix(a ^ END) | _ONE
+
+
+def _spot(a: np.ndarray, bits) -> np.ndarray:
+    """A place among ``bits`` (below 2**32) bits."""
+    return ((a >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, p: Params) -> bytes:
@@ -118,8 +120,10 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, p: Params) -> bytes:
     step = np.arange(len(key)) - np.repeat(np.cumsum(lev) - lev, lev) + 1
     bits = max(64, -(-int(len(key) * p.bits_per_entry) // 64) * 64)
     table = np.zeros(bits, bool)
-    for spot in _spots(key, step, np.uint64(bits), p.hashes):
-        table[spot.astype(np.int64)] = True
+    a, more = _start(key, step)
+    for _ in range(p.hashes):
+        table[_spot(a, np.uint64(bits)).astype(np.int64)] = True
+        a += more
     return np.packbits(table, bitorder="little").tobytes()
 
 
@@ -128,40 +132,46 @@ def part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(31)
 
 
+class _Range:
+    """Bytes from one address to another, as numpy reads them."""
+
+    def __init__(self, first: int, size: int):
+        self.__array_interface__ = {"data": (first, True), "shape": (size,), "typestr": "|u1", "version": 3}
+
+
 class Filter:
     """The segments of a filter, in files (``tables``: their bytes, by part)."""
 
     def __init__(self, first: np.ndarray, at: np.ndarray, size: np.ndarray, parts: int, tables: dict[int, np.ndarray], hashes: int):
         """first: each segment's least key, ascending; at, size: its place in its part's file."""
-        self.first, self.at, self.bits, self.parts, self.tables, self.hashes = first, at, (8 * size).astype(np.uint64), parts, tables, hashes
+        self.first, self.bits, self.parts, self.hashes, self.tables = first, (8 * size).astype(np.uint64), parts, hashes, tables
+        where = {f: t.__array_interface__["data"][0] for f, t in tables.items()}
+        low = min(where.values(), default=0)
+        # One view over all mapped files, wherever they lie; only places within segments are read.
+        self.bytes = np.asarray(_Range(low, max((where[f] + len(t) for f, t in tables.items()), default=0) - low))
+        self.part = part(first, parts)
+        self.at = at + np.array([where[int(f)] - low for f in self.part.tolist()], np.int64)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """The last level present without a gap; 0 for absent n-grams."""
         out = np.zeros(len(key), np.int64)
         if not len(self.first):
             return out
-        file = part(key, self.parts).astype(np.int32)
-        live = np.argsort(file.astype(np.uint16) if self.parts <= 1 << 16 else file, kind="stable")
-        segment = np.searchsorted(self.first, key[live], "right") - 1
-        there = segment >= 0
-        there[there] = part(self.first[segment[there]], self.parts) == file[live[there]]  # else its part holds nothing that low
-        live, segment = live[there], segment[there]
-        lev = 1
-        while len(live):
-            for n, spot in enumerate(_spots(key[live], lev, self.bits[segment], self.hashes)):
-                if n:
-                    spot = spot[on]
-                place = self.at[segment] + (spot >> np.uint64(3)).astype(np.int64)
-                byte = np.empty(len(live), np.uint8)
-                cut = np.flatnonzero(np.concatenate(([True], file[live[1:]] != file[live[:-1]], [True])))
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    byte[a:b] = self.tables[int(file[live[a]])][place[a:b]]
-                hit = (byte >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                live, segment = live[hit], segment[hit]
-                on = np.flatnonzero(hit) if not n else on[hit]
-                if not len(live):
-                    break
-            out[live] = lev
+        segment = np.searchsorted(self.first, key, "right") - 1
+        ids = np.flatnonzero((segment >= 0) & (self.part[segment] == part(key, self.parts)))  # else its part holds nothing that low
+        k, at, bits, lev = key[ids], self.at[segment[ids]], self.bits[segment[ids]], 1
+        while len(ids):
+            a, more = _start(k, lev)
+            live, own_at, own_bits = np.arange(len(ids)), at, bits
+            for _ in range(self.hashes):
+                spot = _spot(a, own_bits)
+                hit = np.flatnonzero(self.bytes[own_at + (spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1)
+                if len(hit) < len(live):
+                    live, a, more, own_at, own_bits = live[hit], a[hit], more[hit], own_at[hit], own_bits[hit]
+                a = a + more
+            if len(live) < len(ids):
+                ids, k, at, bits = ids[live], k[live], at[live], bits[live]
+            out[ids] = lev
             lev += 1
         return out
 
@@ -288,7 +298,11 @@ def score(docs: DataFrame, train: Column, p: Params = Params()) -> DataFrame:
     built = _built(_counted(docs.where("train"), p), parts, p)
     words = built.where(F.col("uri").isNull() & (F.col("key") != int(START))).select("key", "key2", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = words.orderBy(F.desc("n"), "key", "key2").limit(p.head).toPandas().sort_values("key")
+    # The head are the tokens of the highest bands of counts that hold ``head`` or fewer: no sort, no more rows than that.
+    band = F.floor(8 * F.log2("n")).cast("int")
+    bands = sorted(map(tuple, words.groupBy(band.alias("b")).count().collect()), reverse=True)  # some hundreds
+    least = next((b for (b, _), n in zip(bands, np.cumsum([n for _, n in bands]), strict=True) if n > p.head), -1)
+    top = words.where(band > least).toPandas().sort_values("key")
     base = Base(int(total["n"] or 0), int(total["v"]), *(top[c].to_numpy(np.int64) for c in ("key", "key2", "n")))
     segments = built.where(F.col("uri").isNotNull()).select("key", "at", "n", "uri").toPandas().sort_values("key")  # one row a segment
     first = segments["key"].to_numpy(np.int64).view(np.uint64)
