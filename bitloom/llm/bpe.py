@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
-from bitloom.llm.shared import small_batches
+from bitloom.llm.shared import column, small_batches
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHE_ENTRIES, CACHE_BYTES = 800_000, 64
@@ -386,7 +386,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     def run(batches):
         c = codec(*shared.value)
         for batch in batches:
-            view, done = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text)).cast(pa.string())], names=["t"]), 0
+            view, done = pa.RecordBatch.from_arrays([column(batch, text).cast(pa.string())], names=["t"]), 0
             for part in K.chunks(view, "t", CHUNK_BYTES):
                 ids, at = c.split(*K.text_buffers(part.column("t")))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
 from bitloom.llm import semi
-from bitloom.llm.shared import written
+from bitloom.llm.shared import column, written
 
 META_BITS = 12
 
@@ -127,18 +127,18 @@ def even(have: np.ndarray, rows: int) -> np.ndarray:
 
 def unlabelled(base: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows with an id that no label names; only ids and the few rows that share a bit with a label shuffle."""
-    rows = semi._marked(base.where("doc_id is not null"), "doc_id", marks, "__lid")
-    hit = rows.where("__hit").drop("__hit")
+    rows, mark = semi.marked(base.where("doc_id is not null"), "doc_id", marks, "__lid")
+    hit = rows.where(F.col(mark)).drop(mark)
     ids = hit.select(F.col("doc_id").alias("__free")).distinct().join(marks, F.col("__free") == F.col("__lid"), "left_anti")
-    return rows.where("not __hit").drop("__hit").unionByName(semi.only(hit, "doc_id", written(ids, "unlabelled"), "__free"))
+    return rows.where(~F.col(mark)).drop(mark).unionByName(semi.only(hit, "doc_id", written(ids, "unlabelled"), "__free"))
 
 
-def chosen(scored: DataFrame, column: str, taught: set[int], p: Params) -> pd.DataFrame:
-    """Of all scored documents that the view in ``column`` is sure of, ``per_round`` a class, spread evenly over the sources
+def chosen(scored: DataFrame, view: str, taught: set[int], p: Params) -> pd.DataFrame:
+    """Of all scored documents that the view in ``view`` is sure of, ``per_round`` a class, spread evenly over the sources
     and drawn by hash of the id: __id, __class. Documents in ``taught`` are left out."""
     spark, parts = scored.sparkSession, []
     old = spark.createDataFrame([(i,) for i in sorted(taught)], "__old long")  # bounded by rounds and per_round
-    sure = scored.join(F.broadcast(old), F.col("__id") == F.col("__old"), "left_anti").withColumn("__class", F.when(F.col(column) >= p.confident, 1.0).when(F.col(column) <= 1 - p.confident, 0.0)).where("__class is not null")
+    sure = scored.join(F.broadcast(old), F.col("__id") == F.col("__old"), "left_anti").withColumn("__class", F.when(F.col(view) >= p.confident, 1.0).when(F.col(view) <= 1 - p.confident, 0.0)).where("__class is not null")
     have = sure.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["__class", "__bucket"])  # 2**META_BITS a class
     for _, group in have.groupby("__class"):
         n = group["n"].to_numpy(float)
@@ -173,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         """Both views score every unlabelled document in one pass; each hands its choice to the other."""
         scored = written(probabilities(free, Model(views[0], views[1], (0.0, 0.0, 0.0)), p), "scored")
         out = []
-        for k, column in ((0, "__meta"), (1, "__text")):
-            got = chosen(scored, column, taught[k], p)
+        for k, view in ((0, "__meta"), (1, "__text")):
+            got = chosen(scored, view, taught[k], p)
             taught[k].update(got["__id"].tolist())
             ids = docs.sparkSession.createDataFrame([(int(i), float(c)) for i, c in zip(got["__id"], got["__class"], strict=True)], "__lid long, __y double")
             found = base.join(F.broadcast(ids), F.col("doc_id") == F.col("__lid")).select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), "__y", *meta)
@@ -237,9 +237,8 @@ def keep(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in ("text", "source", "lang", "n_chars")]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-            view = pa.RecordBatch.from_arrays([batch.column(i).cast(t) for i, t in zip(at, kinds, strict=True)], names=["__text", "__source", "__lang", "__n"])
+            kinds = {"text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
+            view = pa.RecordBatch.from_arrays([column(batch, c).cast(t) for c, t in kinds.items()], names=["__text", "__source", "__lang", "__n"])
             done = 0
             for part in K.chunks(view, "__text"):
                 _, _, s = _scores(part, m, p)

@@ -23,6 +23,8 @@ from bitloom.llm.shared import written
 from bitloom.llm.textstats import shape_buckets
 
 SCALE = 30.0
+#: Places that are summed at once: more than a chunk of several texts has.
+PIECE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,8 @@ class Sparse:
 
 def channels(buf: np.ndarray, off: np.ndarray, spec: Features, live: np.ndarray | None = None):
     """(row, bucket) of every n-gram, channel by channel; with ``live`` only of the buckets where it holds."""
-    for bucket, a, b in spreads(buf, off, spec):
-        size = np.maximum(b - a, 0)
+    for buckets, total, a, b in spreads(buf, off, spec):
+        bucket, size = buckets(0, total), np.maximum(b - a, 0)
         inside = np.zeros(len(bucket) + 1, np.int8)
         np.add.at(inside, a[size > 0], 1)
         np.add.at(inside, b[size > 0], -1)
@@ -83,33 +85,37 @@ def margins(buf: np.ndarray, off: np.ndarray, spec: Features, weights: np.ndarra
         key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         return np.bincount(key >> spec.bits, weights[key & ((1 << spec.bits) - 1)], minlength=n)
     out = np.zeros((n, *weights.shape[1:]))
-    for bucket, a, b in spreads(buf, off, spec):
+    for buckets, total, a, b in spreads(buf, off, spec):
         share = SCALE / np.maximum(b - a, 1)
-        if weights.ndim == 1:
-            out += K.range_sums(weights[bucket.astype(np.intp)], a, b) * share
-        else:
-            for k in range(weights.shape[1]):
-                out[:, k] += K.range_sums(weights[:, k][bucket], a, b) * share
+        for i in range(0, total, PIECE):  # more than one only within a single long text
+            bucket = buckets(i, min(i + PIECE, total)).astype(np.intp)
+            ends = np.clip(a - i, 0, len(bucket)), np.clip(b - i, 0, len(bucket))
+            if weights.ndim == 1:
+                out += K.range_sums(weights[bucket], *ends) * share
+            else:
+                for k in range(weights.shape[1]):
+                    out[:, k] += K.range_sums(weights[:, k][bucket], *ends) * share
     return out
 
 
 def spreads(buf: np.ndarray, off: np.ndarray, spec: Features):
-    """(buckets, first, end) of every channel: row r's are buckets[first[r]:end[r]]; some belong to no row."""
+    """(buckets, total, first, end) of every channel: buckets(i, j) gives those at places i to j of the total, of which row r's
+    are first[r] to end[r]; some belong to no row."""
     if spec.shape:
-        row, bucket = shape_buckets(buf, off, spec.bits)
+        row, shape = shape_buckets(buf, off, spec.bits)
         at = np.arange(0, len(row) + 1, 4)
-        yield bucket, at[:-1], at[1:]
+        yield (lambda i, j: shape[i:j]), len(row), at[:-1], at[1:]
     if spec.lower:
         buf = K.lowered(buf)
     if spec.chars:
         cp, at = K.codepoints(buf, off)
         for n in spec.chars:
-            yield K.char_hash(cp, n, spec.bits), at[:-1], at[1:] - n + 1
+            yield (lambda i, j, n=n: K.char_hash(cp[i : j + n - 1], n, spec.bits)), max(0, len(cp) - n + 1), at[:-1], at[1:] - n + 1
     if spec.words:
         starts, ends, _ = K.spans(buf, off)
         words, at = K.segment_hash(buf, starts, ends), np.searchsorted(starts, off)
         for n in spec.words:
-            yield word_buckets(K.window_hash(words, n), n, spec.bits), at[:-1], at[1:] - n + 1
+            yield (lambda i, j, n=n: word_buckets(K.window_hash(words[i : j + n - 1], n), n, spec.bits)), max(0, len(words) - n + 1), at[:-1], at[1:] - n + 1
 
 
 def word_buckets(h: np.ndarray, n: int, bits: int) -> np.ndarray:

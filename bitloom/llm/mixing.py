@@ -19,7 +19,7 @@ every rate is 1; an empty table gives no rows. Extra columns pass through ``mix`
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
-from bitloom.llm.shared import written
+from bitloom.llm.shared import column, unused, written
 
 UNIT = 10_000
 
@@ -81,16 +81,20 @@ def whole_posterior(z: np.ndarray) -> np.ndarray:
     return q
 
 
+#: Columns that the posteriors add, under names that the documents leave free (``unused``).
+ADDED = ("__tokens", "__p", "__rate")
+
+
 def posteriors(docs: DataFrame, m: Model, p: Params = Params(), moves: np.ndarray | None = None) -> DataFrame:
     """All columns of docs, ``__tokens`` (words), ``__p`` (posterior in UNITths) and, given the moves, ``__rate``."""
     shared = docs.sparkSession.sparkContext.broadcast((m, moves))  # 2**bits by max_domains + 1 weights at most
-    names = docs.columns
+    names, added = docs.columns, unused(docs, *ADDED)
 
     def run(batches):
         m, moves = shared.value
         for batch in batches:
             done = 0
-            view = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text")).cast(pa.string())], names=["t"])
+            view = pa.RecordBatch.from_arrays([column(batch, "text").cast(pa.string())], names=["t"])
             for part in K.chunks(view, "t"):
                 buf, off = K.text_buffers(part.column("t"))
                 row = K.spans(buf, off)[2]
@@ -99,12 +103,12 @@ def posteriors(docs: DataFrame, m: Model, p: Params = Params(), moves: np.ndarra
                 body = batch.slice(done, part.num_rows)
                 done += part.num_rows
                 rate = [] if moves is None else [pa.array(rates(q, moves))]
-                yield pa.RecordBatch.from_arrays([*body.columns, pa.array(np.bincount(row, minlength=len(q)).astype(np.int64)), lists, *rate], names=[*names, "__tokens", "__p", *["__rate"] * len(rate)])
+                yield pa.RecordBatch.from_arrays([*body.columns, pa.array(np.bincount(row, minlength=len(q)).astype(np.int64)), lists, *rate], names=[*names, *added[: 2 + len(rate)]])
 
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-    more = [] if moves is None else [StructField("__rate", DoubleType())]
-    schema = StructType([*docs.schema.fields, StructField("__tokens", LongType()), StructField("__p", ArrayType(LongType())), *more])
+    kinds = [LongType(), ArrayType(LongType()), *([] if moves is None else [DoubleType()])]
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(added, kinds, strict=False))])
     return docs.mapInArrow(run, schema)
 
 
@@ -200,7 +204,7 @@ def copies(rate, key):
 
 def mixture(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, domain (likeliest), posterior, n_tokens, rate, n_copies."""
-    df, m = with_rates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(p.domain).alias(p.domain)), labels, p)
+    df, m = with_rates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(p.domain).alias("domain")), labels, replace(p, domain="domain"))
     names = F.array(*(F.lit(d) for d in m.domains))
     best = F.element_at(names, F.array_position("__p", F.array_max("__p")).cast("int"))
     return df.select("doc_id", best.alias("domain"), F.transform("__p", lambda v: v / F.lit(float(UNIT))).alias("posterior"), F.col("__tokens").alias("n_tokens"), F.col("__rate").alias("rate"), copies(F.col("__rate"), F.col("doc_id")).alias("n_copies"))
@@ -209,5 +213,6 @@ def mixture(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFra
 def mix(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents in their whole number of copies, with all their columns."""
     df, _ = with_rates(docs, labels, p)
-    n = copies(F.col("__rate"), F.col("doc_id"))
-    return df.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    rate, copy = unused(docs, *ADDED)[2], unused(df, "__copy")[0]
+    n = copies(F.col(rate), F.col("doc_id"))
+    return df.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)

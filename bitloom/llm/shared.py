@@ -13,7 +13,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that long texts don't fill a worker; a session setting, only ever lowered."""
+    """Arrow batches of a few MB, so that long texts don't fill a worker: two settings of the session, only ever lowered, since
+    Spark takes them from there and knows none for a single query."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = "".join(c for c in str(spark.conf.get(name, None) or "") if c.isdigit())
         if not now or int(now) <= 0 or int(now) > most:
@@ -25,17 +26,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own where that is unset, in local mode only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="bitloom-")
+    return _OWN[context.applicationId]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/bitloom/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/bitloom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables and files; call it when the results that rest on them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def column(batch, name: str):
+    """A batch's column; an error where there is none."""
+    at = batch.schema.get_field_index(name)
+    if at < 0:
+        raise ValueError(f"one column {name} is needed, among {batch.schema.names}")
+    return batch.column(at)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import kernels as K
 from bitloom.llm import linear as L
-from bitloom.llm.shared import fold
+from bitloom.llm.shared import column, fold
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def keep(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            view = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text")).cast(pa.string())], names=["t"])
+            view = pa.RecordBatch.from_arrays([column(batch, "text").cast(pa.string())], names=["t"])
             done = 0
             for part in K.chunks(view, "t"):
                 yield batch.slice(done, part.num_rows).filter(pa.array(_score(part, "t", m, p) < p.threshold))

@@ -171,18 +171,22 @@ def test_warc_round_trip_and_revisits(spark):
         assert i != first or bytes(r["payload"]).decode() == (html or "")
 
 
-def test_forest_recall_and_scores(spark):
+def exact_neighbours(x, ids, q, k=5):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u[q]
+    s[q] = -9
+    return s, set(ids[np.lexsort((ids, -s))[:k]])
+
+
+def test_forest_scores_and_ranks(spark):
     emb = table(spark, DATA.replace("0.001", "0.01"), "embeddings")
     rows = emb.collect()
     x = np.array([r["embedding"] for r in rows], float)
     ids = np.array([r["vec_id"] for r in rows])
-    u = x / np.linalg.norm(x, axis=1)[:, None]
     got = rpforest.search(emb, F.col("vec_id") % 50 == 0).collect()
     hit = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
-        s = u @ u[q]
-        s[q] = -9
-        best = set(ids[np.lexsort((ids, -s))[:5]])
+        s, best = exact_neighbours(x, ids, q)
         mine = [r for r in got if r["query_id"] == ids[q]]
         hit, total = hit + len(best & {r["vec_id"] for r in mine}), total + 5
         assert [r["rank"] for r in sorted(mine, key=lambda r: r["rank"])] == list(range(1, 6))
@@ -190,6 +194,46 @@ def test_forest_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize(("kind", "most"), [("clusters", 0.15), ("none", 0.8)])
+def test_forest_recall_with_real_trees(spark, kind, most):
+    """20,000 rows: trees of depth 5 or more, over 16 leaves a tree; recall against all rows, and the share of rows ranked."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 32)) if kind == "none" else np.repeat(rng.normal(size=(400, 32)) * 4, 50, 0) + rng.normal(size=(20_000, 32))
+    x = x.astype(np.float32)
+    ids = np.arange(20_000)
+    p = rpforest.Params(least_depth=5)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    f = rpforest.fitted(unit, len(x), p)
+    filed = f.file(unit)
+    size = np.bincount(filed.ravel(), minlength=p.trees << f.depth)
+    queries = np.arange(0, 20_000, 50)
+    walks = f.walk(unit[queries], f.leaves, size, p.k + 1)
+    share = np.mean([np.isin(filed, walk).any(1).mean() for walk in walks])
+    assert f.depth >= 5 and (size[: 1 << f.depth] > 0).sum() > 16 and share < most
+    for q, walk in zip(queries[:20], walks, strict=False):
+        far = f.distance(unit[[q]])[0]
+        assert np.allclose(np.sort(far)[: len(walk)], np.sort(far[walk]))  # nearest leaves first
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in rpforest.search(df, F.col("vec_id") % 50 == 0, p).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = np.mean([len(exact_neighbours(x.astype(float), ids, q)[1] & found[q]) / 5 for q in queries])
+    print(kind, "depth", f.depth, "leaves", f.leaves, "rows ranked", round(float(share), 3), "recall", recall)
+    assert recall >= 0.9
+
+
+def test_forest_finds_k_beside_copies(spark):
+    """Groups of copies fill the leaves that are enough for most; the others still get k neighbours each."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, base[i % 3 if i < 2000 else i - 2000 + 3].tolist()) for i in range(2000 + 27)]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    p = rpforest.Params(leaf=8, max_block=64)
+    got = rpforest.search(df, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") >= 2000), p).toPandas()
+    n = got.groupby("query_id").size()
+    assert len(n) == 40 + 27 and (n == 5).all()
+
+
 def test_forest_edge_cases(spark):
     bad = [(50, None), (100, []), (150, [0.0, 0.0]), (1, [1.0, None]), (2, [float("nan"), 1.0])]
     good = [(0, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (200, [0.0, 1.0]), (3, [1.0, 0.0])]
