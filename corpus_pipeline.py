@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
 of ``documents``. Stages are written as Parquet to the shared folder and read again.
+
+Defined results: null and empty texts are judged as texts without words and have no tokens; rows without a doc_id pass the
+near-duplicate stage and are copied and encoded row by row; of repeated rows of one doc_id one stays at that stage; extra columns, whatever
+their names, pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", tokens)]
 
-#: Classifiers are no SQL: tests hold the stages against brute force.
+#: Classifiers are no SQL: ``tests/llm/test_pipeline.py`` holds each stage against brute force or its operator's verdicts.
 ORACLE_SQL = None
 
 
