@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.plans.order import numbered
+from bitloom.plans.order import numbered, ranged
+from bitloom.plans.profile import quantiles
 
 
 def finite(x: Column) -> Column:
@@ -46,20 +47,35 @@ def drop_rare(df: DataFrame, label: str, least: int = 2) -> DataFrame:
     return df.join(common, F.col(label) == F.col("__l"), "left_semi")
 
 
+def _lowest(df: DataFrame, label: str, order: list, quota) -> DataFrame:
+    """df (with ``__b``, a number that rises with the order) and ``__in``: whether a row is among the first ``quota(n)`` of its class of n.
+
+    Classes are counted by ``__b``; only in the one cell of a class where the quota ends are rows numbered, so no task holds a class."""
+    cells = df.groupBy(F.col(label).alias("__l"), "__b").agg(F.count(F.lit(1)).alias("__n"))
+    line = Window.partitionBy("__l").orderBy("__b")
+    cells = cells.withColumns({"__to": F.sum("__n").over(line), "__k": quota(F.sum("__n").over(Window.partitionBy("__l")))})
+    edge = cells.where((F.col("__to") >= F.col("__k")) & (F.col("__to") - F.col("__n") < F.col("__k")))
+    edge = edge.select("__l", F.col("__b").alias("__edge"), (F.col("__k") - F.col("__to") + F.col("__n")).alias("__left"))  # a row a class
+    place = F.row_number().over(Window.partitionBy(label, "__b").orderBy(*order))
+    out = df.withColumn("__at", place).join(edge, F.col(label).eqNullSafe(F.col("__l")), "left")
+    inside = (F.col("__b") < F.col("__edge")) | ((F.col("__b") == F.col("__edge")) & (F.col("__at") <= F.col("__left")))
+    return out.withColumn("__in", F.coalesce(inside, F.lit(False))).drop("__l", "__edge", "__left", "__at", "__b")
+
+
 def split(df: DataFrame, label: str, key: str, test: float = 0.3, seed: int = 42) -> DataFrame:
     """df with ``is_test``: of each class the rows with the smallest hashes, ``test`` of them rounded half to even."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("is_test", place <= F.bround(F.count(F.lit(1)).over(w) * F.lit(test)))
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.withColumn("__b", F.shiftright(h, 54).cast("int"))  # 1024 ranges of hashes
+    return _lowest(rows, label, [h, key], lambda n: F.bround(n * F.lit(test))).withColumnRenamed("__in", "is_test")
 
 
 def stratified_cap(df: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """At most about ``most`` rows, classes in proportion, each with one at least; the smallest keys stay."""
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    w = Window.partitionBy(label)
-    df = df.join(F.broadcast(total)).withColumn("__of", F.count(F.lit(1)).over(w)).withColumn("__at", F.row_number().over(w.orderBy(key)))
-    keep = (F.col("__all") <= most) | (F.col("__at") <= F.greatest(F.lit(1.0), F.bround(F.lit(most) * F.col("__of") / F.col("__all"))))
-    return df.where(keep).drop("__all", "__of", "__at")
+    """At most about ``most`` rows, classes in proportion, each with one at least; the smallest keys (numbers or times) stay."""
+    n = df.count()
+    if n <= most:
+        return df
+    quota = lambda c: F.greatest(F.lit(1.0), F.bround(F.lit(most) * c / F.lit(n)))
+    return _lowest(ranged(df, key), label, [key], quota).where("__in").drop("__in")
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -77,15 +93,18 @@ def class_numbers(df: DataFrame, label: str, name: str = "y") -> DataFrame:
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
     """Null and non-finite cells as the column's median over finite ones (0 where there is none)."""
     ok = lambda f: F.when(~F.isnan(f) & (F.abs(F.col(f)) != F.lit(float("inf"))), F.col(f))
-    m = df.agg(*(F.percentile(ok(f), F.lit(0.5)).alias(f) for f in features)).first()
-    return df.withColumns({f: F.coalesce(ok(f), F.lit(m[f] if m[f] is not None else 0.0)) for f in features})
+    m = quantiles(df.select(*(ok(f).alias(f) for f in features)), features, [0.5])
+    return df.withColumns({f: F.coalesce(ok(f), F.lit(m[f][0] if m[f] else 0.0)) for f in features})
 
 
 def winsorised(df: DataFrame, features: list[str], skew: float = 3.0, low: float = 0.005) -> DataFrame:
     """Columns of a skewness beyond the bound clipped to their outer percentiles."""
-    s = df.agg(*(F.skewness(f).alias(f) for f in features), *(F.percentile(f, F.array(F.lit(low), F.lit(1 - low))).alias(f"{f}|q") for f in features)).first()
-    out = {f: F.greatest(F.lit(s[f"{f}|q"][0]), F.least(F.lit(s[f"{f}|q"][1]), F.col(f))) for f in features if s[f] is not None and abs(s[f]) > skew}
-    return df.withColumns(out) if out else df
+    s = df.agg(*(F.skewness(f).alias(f) for f in features)).first()
+    heavy = [f for f in features if s[f] is not None and abs(s[f]) > skew]
+    if not heavy:
+        return df
+    q = quantiles(df, heavy, [low, 1 - low])
+    return df.withColumns({f: F.greatest(F.lit(q[f][0]), F.least(F.lit(q[f][1]), F.col(f))) for f in heavy})
 
 
 def standardised(df: DataFrame, features: list[str]) -> DataFrame:
