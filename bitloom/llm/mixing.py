@@ -51,6 +51,8 @@ class Model:
     domains: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    reached: np.ndarray | None = None  # tokens by domain at the rates found, and what was aimed at
+    targets: np.ndarray | None = None
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
@@ -122,6 +124,11 @@ def rates(q: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 def solve(grouped: DataFrame, classes: int, p: Params = Params(), targets: np.ndarray | None = None) -> np.ndarray:
     """The move that meets the targets over (``__p``, ``__w``): a posterior and its tokens; one row, or none without tokens."""
+    return solved(grouped, classes, p, targets)[0]
+
+
+def solved(grouped: DataFrame, classes: int, p: Params = Params(), targets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The move, the tokens by domain that it brings about, and the targets."""
     spark = grouped.sparkSession
 
     def total(v: np.ndarray) -> np.ndarray:
@@ -149,14 +156,14 @@ def sums(q: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.concatenate(([w @ (r * r) / 2], (w * r) @ s, ((on * w[r > 0, None]).T @ on).ravel()))
 
 
-def newton(total, classes: int, p: Params, targets: np.ndarray | None) -> np.ndarray:
+def newton(total, classes: int, p: Params, targets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Damped Newton steps on the dual until every domain is within ``tolerance`` of its target; warns if one is not."""
     split = lambda x: (x[0], x[1 : 1 + classes], x[1 + classes :].reshape(classes, classes))
     v = np.zeros(classes)
     value, have, gram = split(total(v))
     tokens = have.sum()
     if tokens <= 0:
-        return np.zeros((0, classes))
+        return np.zeros((0, classes)), have, have
     if targets is None:
         want = np.where(have > 0, (have / tokens) ** p.alpha, 0)
         want /= want.sum()
@@ -182,7 +189,7 @@ def newton(total, classes: int, p: Params, targets: np.ndarray | None) -> np.nda
     if len(off):
         parts = ", ".join(f"domain {k}: {now[k]:.6g} of {targets[k]:.6g} tokens" for k in off)
         warnings.warn(f"mixing: targets are not met after {p.steps} steps ({parts})", RuntimeWarning, stacklevel=2)
-    return v[None, :]
+    return v[None, :], now, targets
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, p: Params = Params(), targets: np.ndarray | None = None) -> tuple[DataFrame, Model]:
@@ -190,7 +197,7 @@ def with_rates(docs: DataFrame, labels: DataFrame, p: Params = Params(), targets
     m = fit(docs, labels, p)
     # Equal posteriors move alike: tokens are summed by posterior before the steps (map-side combined), exactly.
     narrow = posteriors(docs.select("text"), m, p).groupBy("__p").agg(F.sum("__tokens").alias("__w"))
-    moves = solve(written(narrow, "mixing"), len(m.domains), p, targets)
+    moves, m.reached, m.targets = solved(written(narrow, "mixing"), len(m.domains), p, targets)
     return posteriors(docs, m, p, moves), m
 
 
@@ -203,11 +210,13 @@ def copies(rate, key):
 
 
 def mixture(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, domain (likeliest), posterior, n_tokens, rate, n_copies."""
+    """doc_id, domain (likeliest), posterior, n_tokens, rate, n_copies; the domain's target and reached (its expected tokens)."""
     df, m = with_rates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(p.domain).alias("domain")), labels, replace(p, domain="domain"))
     names = F.array(*(F.lit(d) for d in m.domains))
-    best = F.element_at(names, F.array_position("__p", F.array_max("__p")).cast("int"))
-    return df.select("doc_id", best.alias("domain"), F.transform("__p", lambda v: v / F.lit(float(UNIT))).alias("posterior"), F.col("__tokens").alias("n_tokens"), F.col("__rate").alias("rate"), copies(F.col("__rate"), F.col("doc_id")).alias("n_copies"))
+    at = F.array_position("__p", F.array_max("__p")).cast("int")
+    best = F.element_at(names, at)
+    of = lambda v: F.element_at(F.array(*(F.lit(float(x)) for x in v)), at)
+    return df.select("doc_id", best.alias("domain"), F.transform("__p", lambda v: v / F.lit(float(UNIT))).alias("posterior"), F.col("__tokens").alias("n_tokens"), F.col("__rate").alias("rate"), copies(F.col("__rate"), F.col("doc_id")).alias("n_copies"), of(m.targets).alias("target"), of(m.reached).alias("reached"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:

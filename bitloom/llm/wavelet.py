@@ -4,7 +4,8 @@ A shard file holds the ids of consecutive documents (ascending doc_id). Ids are
 shard, so a shard with few distinct ids has few planes and its upper planes are nearly all zeros. Plane ``l`` holds bit
 ``l`` (highest first) of each symbol after stable partitions by the bits above. Planes are cut into blocks of
 ``BLOCK_BITS`` bits, each a Zstandard frame of its own, with the count of ones before every block, so one access reads
-one block a plane. The documents' ids and lengths follow. One compressed file answers ``access``, ``count``,
+one block a plane; a block that is read gets counts of ones before every ``SAMPLE`` bytes, so a rank adds up that many bytes at most and a
+select searches the counts. The documents' ids and lengths follow. One compressed file answers ``access``, ``count``,
 ``rank``, ``select``, ``locate`` and full decoding.
 
 ``write`` deals documents out by doc_id range, sorts within partitions, encodes with the tokenizers library
@@ -37,6 +38,7 @@ from bitloom.llm.shared import shared_path, slots, written
 
 MAGIC = b"BLWM0001"
 BLOCK_BITS = 1 << 17
+SAMPLE = 64
 CHUNK_BYTES = 3 << 20
 CACHE_ENTRIES = 1_200_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -98,7 +100,7 @@ class Shard:
         self.n, self.levels, self.block_bits = self.head["n"], self.head["levels"], self.head["block_bits"]
         self.symbols = self._array("symbols", "<u4")
         self.code = {int(s): i for i, s in enumerate(self.symbols)}
-        self._blocks: dict[tuple[int, int], np.ndarray] = {}
+        self._blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def _section(self, place: list[int]) -> bytes:
         self.f.seek(self.base + place[0])
@@ -110,16 +112,19 @@ class Shard:
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
         return self._array("doc_ids", "<i8"), self._array("lengths", "<u4")
 
-    def _block(self, level: int, k: int) -> np.ndarray:
+    def _block(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's bytes, and the ones before every SAMPLE of them."""
         if (level, k) not in self._blocks:
             if len(self._blocks) >= 256:
                 self._blocks.clear()
-            self._blocks[level, k] = np.frombuffer(self._section(self.head["planes"][level]["blocks"][k]), np.uint8)
+            block = np.frombuffer(self._section(self.head["planes"][level]["blocks"][k]), np.uint8)
+            whole = np.add.reduceat(_ONES[block], np.arange(0, len(block), SAMPLE), dtype=np.int64)
+            self._blocks[level, k] = block, np.concatenate(([0], np.cumsum(whole)))
         return self._blocks[level, k]
 
     def _bit(self, level: int, i: int) -> int:
         k, j = divmod(i, self.block_bits)
-        return int(self._block(level, k)[j >> 3] >> (7 - (j & 7)) & 1)
+        return int(self._block(level, k)[0][j >> 3] >> (7 - (j & 7)) & 1)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
@@ -127,19 +132,29 @@ class Shard:
         k, j = divmod(i, self.block_bits)
         if k >= len(plane["blocks"]):
             return self.n - plane["zeros"]
-        block = self._block(level, k)
-        whole = int(_ONES[block[: j >> 3]].sum())
+        block, before = self._block(level, k)
+        s = j // (8 * SAMPLE)
+        whole = int(before[s]) + int(_ONES[block[s * SAMPLE : j >> 3]].sum())
         return plane["ones"][k] + whole + (int(_ONES[block[j >> 3] >> (8 - (j & 7))]) if j & 7 else 0)
 
-    def _find(self, level: int, bit: int, nth: int) -> int:
-        """Position of the nth (from 0) given bit of a plane."""
+    def _find(self, level: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Positions of the nth (from 0, rising) given bits of a plane; a block is read once, and of it the samples that hold some."""
         plane = self.head["planes"][level]
         before = np.array(plane["ones"], np.int64)
         if not bit:
             before = np.arange(len(before)) * self.block_bits - before
-        k = int(np.searchsorted(before, nth, "right")) - 1
-        bits = np.unpackbits(self._block(level, k))[: min(self.block_bits, self.n - k * self.block_bits)]
-        return k * self.block_bits + int(np.flatnonzero(bits == bit)[nth - before[k]])
+        where, out = np.searchsorted(before, nth, "right") - 1, np.empty(len(nth), np.int64)
+        for k in np.unique(where).tolist():
+            mine = np.flatnonzero(where == k)
+            block, ones = self._block(level, k)
+            marks = ones if bit else np.minimum(np.arange(len(ones)) * 8 * SAMPLE, self.block_bits) - ones
+            rest = nth[mine] - before[k]
+            sample = np.searchsorted(marks, rest, "right") - 1
+            for s in np.unique(sample).tolist():
+                some = mine[sample == s]
+                bits = np.unpackbits(block[s * SAMPLE : (s + 1) * SAMPLE])
+                out[some] = k * self.block_bits + s * 8 * SAMPLE + np.flatnonzero(bits == bit)[rest[sample == s] - marks[s]]
+        return out
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -170,6 +185,15 @@ class Shard:
         """Position of the nth occurrence (from 0)."""
         if not 0 <= nth < self.count(token):
             raise IndexError(nth)
+        return int(self._up(token, np.array([nth]))[0])
+
+    def locate(self, token: int) -> list[int]:
+        """All positions of the id, found together plane by plane."""
+        n = self.count(token)
+        return self._up(token, np.arange(n)).tolist() if n else []
+
+    def _up(self, token: int, nth: np.ndarray) -> np.ndarray:
+        """The positions of these occurrences (rising): down to where the id's symbols stand, and up again."""
         code, a = self.code[token], 0
         for level, plane in enumerate(self.head["planes"]):
             one = self._ones(level, a)
@@ -180,10 +204,6 @@ class Shard:
             at = self._find(level, 1, at - zeros) if code >> (self.levels - 1 - level) & 1 else self._find(level, 0, at)
         return at
 
-    def locate(self, token: int) -> list[int]:
-        """All positions of the id."""
-        return [self.select(token, k) for k in range(self.count(token))]
-
     def decode(self) -> np.ndarray:
         """All ids in order: the partitions undone plane by plane, lowest first."""
         now = np.zeros(self.n, np.uint16 if len(self.symbols) <= 1 << 16 else np.uint32)

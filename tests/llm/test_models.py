@@ -155,7 +155,7 @@ def test_mixture_meets_its_targets_in_tokens_and_copies(spark):
     have = w @ q
     want = (have / have.sum()) ** 0.7
     want = want / want.sum() * (have / (want / want.sum())).max()
-    assert (r >= 0).all() and np.abs((w * r) @ q / want - 1).max() < 1e-3
+    assert (r >= 0).all() and np.abs((w * r) @ q / want - 1).max() < 1e-3 and np.abs(got["reached"] / got["target"] - 1).max() < 1e-3
     assert np.abs((w * got["n_copies"]) @ q / want - 1).max() < 0.06  # whole copies, on average the rate
     assert ((got["n_copies"] == np.floor(r)) | (got["n_copies"] == np.floor(r) + 1) | (np.abs(r - np.rint(r)) < 1e-6)).all()
     assert abs(got["n_copies"].mean() - r.mean()) < 0.02
