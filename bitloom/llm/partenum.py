@@ -255,18 +255,25 @@ def sketches(h: np.ndarray, count: np.ndarray) -> list[bytes]:
     return [bits[a // 8 : (a + n) // 8] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
-def folded(sketch: bytes, words: int) -> np.ndarray:
-    """The sketch as so many 64-bit words."""
-    x = np.frombuffer(sketch, np.uint64)
-    while len(x) > words:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one size as rows of so many 64-bit words."""
+    x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
     return x
 
 
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """Bits in which two parity sketches differ: at most the number of shingles in just one of the sets."""
-    words = min(len(a), len(b)) // 8
-    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+def sketch_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the parity sketches of each pair differ: at most the number of shingles in just one of the sets. Pairs of
+    like sizes are compared at once."""
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for m, n in np.unique(size, axis=0).tolist():
+        which = np.flatnonzero((size == (m, n)).all(1))
+        words = min(m, n) // 8
+        out[which] = np.bitwise_count(folded([a[i] for i in which], words) ^ folded([b[i] for i in which], words)).sum(1, dtype=np.int64)
+    return out
 
 
 def near_pairs(doc: np.ndarray, comp: np.ndarray, lower: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[bytes], p: Params) -> np.ndarray:
@@ -274,7 +281,10 @@ def near_pairs(doc: np.ndarray, comp: np.ndarray, lower: np.ndarray, block: np.n
 
     With two blocks, pairs within a block are left to others. The largest component is only compared with the rest."""
     words = min(map(len, sketch)) // 8
-    x = np.stack([folded(s, words) for s in sketch])
+    x, long = np.empty((len(sketch), words), np.uint64), np.array([len(s) for s in sketch])
+    for m in np.unique(long).tolist():
+        which = np.flatnonzero(long == m)
+        x[which] = folded([sketch[i] for i in which], words)
     names, size = np.unique(comp, return_counts=True)
     two = block.min() != block.max()
     out = []
@@ -383,7 +393,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> Da
     def near(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            far = np.array([sketch_distance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            far = sketch_distances(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
             ok = (p.den + p.num) * np.maximum(far, np.abs(na - nb)) <= (p.den - p.num) * (na + nb)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 

@@ -97,7 +97,7 @@ def test_signatures_meet_for_every_similar_pair():
             (sa, _), (sb, _) = (partenum.signatures(v, np.array([len(v)]), p) for v in (a, b))
             assert len(np.intersect1d(sa >> np.uint64(1), sb >> np.uint64(1)))
             sk = [partenum.sketches(v, np.array([len(v)]))[0] for v in (a, b)]
-            assert partenum.sketch_distance(*sk) <= len(a) + len(b) - 2 * inter
+            assert partenum.sketch_distances([sk[0]], [sk[1]])[0] <= len(a) + len(b) - 2 * inter
 
 
 def test_bpe_equals_the_library_and_round_trips(spark, edge):
