@@ -87,7 +87,7 @@ def class_numbers(df: DataFrame, label: str, name: str = "y") -> DataFrame:
     """df with the class's place (from 0) among the sorted distinct classes."""
     classes = df.select(F.col(label).alias("__l")).distinct()
     numbered = classes.withColumn(name, (F.row_number().over(Window.orderBy("__l")) - 1).cast("long"))  # a row a class
-    return df.join(F.broadcast(numbered), F.col(label) == F.col("__l")).drop("__l")
+    return df.join(numbered, F.col(label) == F.col("__l")).drop("__l")
 
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def moments(df: DataFrame, features: list[str]) -> dict[str, dict]:
 
 def bucketed(x: DataFrame, feature: str, bounds: list[float], name: str) -> DataFrame:
     """x with ``name``, how many of the rising bounds a value has reached (null for null)."""
-    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=feature, outputCol=name, handleInvalid="keep")
+    cut = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol=feature, outputCol=name, handleInvalid="keep")
     return cut.transform(x).withColumn(name, F.when(F.col(feature).isNotNull(), F.col(name).cast("int")))
 
 
@@ -88,6 +88,7 @@ def _by_rank(x: DataFrame, ranks: dict[str, list[int]], sample: dict[str, np.nda
     cuts = {}
     for f, v in sample.items():
         n = min(MOST_RANGES, max(256, max(ranks[f]) // RANGE_ROWS))
+        v = v[np.isfinite(v)]
         cuts[f] = np.unique(v[np.linspace(0, len(v) - 1, min(n, len(v))).astype(int)]).tolist() if len(v) else []
     found = by_bucket(x, cuts, F.count(F.lit(1)), F.min("v"), F.max("v"))
     out: dict[str, dict[int, float]] = {f: {} for f in ranks}

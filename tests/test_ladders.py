@@ -124,6 +124,28 @@ def test_memory_and_local_bits(spark, df, x):
     assert rows == {i: "".join("01"[int(v[i] >= t)] for t in np.quantile(v[max(0, i - 16) : i + 1], np.arange(1, 6) / 6)) for i in range(60)}
 
 
+def test_quantiles_by_rank_equal_numpy(spark, monkeypatch):
+    """Ranges, ties, heavy values, few distinct values, infinities and nulls; more rows than the sample."""
+    monkeypatch.setattr(P, "SAMPLE", 500)
+    monkeypatch.setattr(P, "RANGE_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(size=6000), "b": rng.integers(0, 7, 6000).astype(float), "c": np.where(rng.random(6000) < 0.7, 0.0, rng.gamma(1, 3, 6000)), "d": np.where(np.arange(6000) % 1000 == 3, rng.normal(size=6000), np.nan), "e": np.where(np.arange(6000) % 50 == 0, np.inf, rng.normal(size=6000))}
+    df = spark.createDataFrame([tuple(float(v) for v in row) for row in zip(*x.values(), strict=True)], ", ".join(f"{f} double" for f in x)).repartition(5)
+    probs = [0.0, 0.001, 1 / 9, 0.25, 0.5, 0.777, 0.97, 1.0]
+    got = P.quantiles(df, list(x), probs)
+    for f, v in x.items():
+        with np.errstate(invalid="ignore"):
+            want = np.quantile(v[~np.isnan(v)], probs)
+        want[np.isnan(want)] = np.inf  # between two infinities
+        assert np.allclose(got[f], want, rtol=1e-12, atol=1e-12), f
+    edges = np.linspace(-3, 3, 13).tolist()
+    assert P.histogram(df, {"a": edges})["a"] == np.histogram(x["a"], edges)[0].tolist()
+    assert P.histogram(df, {"b": [0.0, 2.0, 6.0]})["b"] == np.histogram(x["b"], [0, 2, 6])[0].tolist()
+    cuts = [-1.0, 0.0, 0.0, 1.0]
+    want = [np.std(x["a"][(x["a"] >= lo) & (x["a"] < hi)]) if lo < hi else 0.0 for lo, hi in zip([-np.inf, *cuts], [*cuts, np.inf], strict=True)]
+    assert np.allclose(P.deviations_between(df, {"a": cuts})["a"], want)
+
+
 def test_running_sums_and_neighbours(spark):
     v = np.random.default_rng(1).permutation(5000)
     df = spark.createDataFrame([(int(a), float(a % 7)) for a in v], "k long, w double").repartition(7)
