@@ -60,9 +60,25 @@ def test_entropy_and_gates(df, x):
     assert np.allclose([got[t + 7] for t in range(113)], h)
     gate = column(T.entropy_gate(df, ["s"], "i", "v"), "gate")
     assert gate == {t + 7: int(v > np.mean(h)) for t, v in enumerate(h)}
+    tau, moving = np.mean(h), {}
+    for t, v in enumerate(h):
+        moving[t + 7] = int(v > tau)
+        tau = 0.9 * tau + 0.1 * v
+    assert column(T.moving_gate(df, ["s"], "i", "v"), "gate") == moving
     bits = column(T.chronological(df, ["s"], "i", "v"), "bits")
-    assert set(bits) == set(range(15, 120)) and all(len(b) == 17 for b in bits.values())
-    assert all(("1" in b) <= bool(gate[i]) for i, b in bits.items())
+    assert set(bits) == set(range(8, 120)) and all(len(b) == 17 for b in bits.values())  # every part over the same window
+    parts = [column(f(df, ["s"], "i", "v", **more), name) for f, name, more in ((T.phase_plane, "phase", {}), (T.frequency_bands, "bands", {"window": 8}), (T.temporal_predicates, "logic", {}))]
+    for i, b in bits.items():
+        assert b == ("".join(p[i] for p in parts) if moving[i] else "0" * 17)
+    whole = column(T.chronological(df, ["s"], "i", "v", tabular=True), "bits")
+    assert whole == {i: bits.get(i, "0" * 17) for i in range(120)}
+    some = column(T.chronological(df, ["s"], "i", "v", parts=("phase", "logic"), gated=False), "bits")
+    assert some == {i: parts[0][i] + parts[2][i] for i in parts[2]}
+    assert [g[:3] for g in T.bit_groups()] == [("phase", 0, 8), ("bands", 8, 4), ("logic", 12, 5)] and [g[:3] for g in T.bit_groups(("logic",))] == [("logic", 0, 5)]
+    rows = T.learning_rows(df.withColumn("y", F.col("i") % 3), ["s"], "i", "v", "y", lags=2).collect()
+    assert {r["i"]: (r["bits"], r["y"]) for r in rows} == {i: (bits[i] + bits[i - 1] + bits[i - 2], i % 3) for i in range(10, 120)}
+    plane = T.soft_plane([0.0, 1.0, math.inf], 4)
+    assert plane["rings"] == [0.5, 50.5] and np.allclose(plane["sectors"], np.array([-3, -1, 1, 3]) * math.pi / 4) and np.allclose(plane["ring_widths"], [0.5, 49.5], atol=1e-6)
 
 
 def test_short_and_empty_series(spark, df):
@@ -197,8 +213,6 @@ def test_followers_and_schemas(spark):
             assert all(len(m.step(v)) <= 3 for v in xs)
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, float("nan"), float("inf"), None])], "s int, i long, v double")
     assert S.encode_rows(df, ["s"], "i", "v", G.WarmSchema).count() == 1 and S.encode_rows(df, ["s"], "i", "v", G.Incoherence).count() == 4
-    with pytest.raises(ValueError):
-        S.encode_live(df, "s", "i", "v", G.WarmSchema)
 
 
 def test_category_bits(spark):
