@@ -31,7 +31,8 @@ from bitloom.llm.shared import column, small_batches
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHE_ENTRIES, CACHE_BYTES = 800_000, 64
 NEVER = np.int32(1 << 30)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+SIDE_BY_SIDE = 1 << 17  # bytes of fragments that merge at once
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -142,7 +143,7 @@ class Splitter:
     def _forget(self) -> None:
         """Only the added tokens are known: where their bytes stand in a text, they are that token."""
         self.keys, self.raw, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
-        self.from_, self.to, self.start, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.from_, self.to, self.start, self.size = (np.zeros(0, np.int32) for _ in range(4))  # few enough bytes for 32 bits
         if self.added:
             buf = np.frombuffer(b"".join(self.added), np.uint8)
             ends = np.cumsum([len(k) for k in self.added])
@@ -279,8 +280,8 @@ class Codec:
             if n > CACHE_BYTES:
                 done += [(np.array([i]), np.array([self.merge(flat[start[i] : start[i] + n].tobytes())], np.uint32)) for i in who.tolist()]
                 continue
-            for at in range(0, len(who), max(1, (1 << 21) // n)):
-                some = who[at : at + max(1, (1 << 21) // n)]
+            for at in range(0, len(who), max(1, SIDE_BY_SIDE // n)):
+                some = who[at : at + max(1, SIDE_BY_SIDE // n)]
                 ids = self.single[flat[start[some][:, None] + np.arange(n)]]
                 rank = self.ranks(ids[:, :-1], ids[:, 1:])
                 while len(some):

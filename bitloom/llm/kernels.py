@@ -229,6 +229,14 @@ def range_sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_sums(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Sums of each row's values, rows following one another without gaps."""
+    out, some = np.zeros(len(bound) - 1), np.flatnonzero(np.diff(bound))
+    if len(some):
+        out[some] = np.add.reduceat(values, bound[some])
+    return out
+
+
 def counts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     """How often mask holds, by row."""
     off = off.tolist()

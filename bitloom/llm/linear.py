@@ -202,15 +202,26 @@ def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, p
 
     schema = ", ".join(["__id long", *(f"{c} {kinds[c]}" for c in carry), "__idx binary", "__val binary"])
     got = rows.mapInArrow(run, schema).toArrow().sort_by("__id")
-    view = lambda c, kind: np.frombuffer(b"".join(v.as_buffer() for v in got.column(c) if v.is_valid), kind)
-    idx, val = view("__idx", np.uint32), view("__val", np.float16).astype(np.float32)
-    size = [v.as_buffer().size // 4 for v in got.column("__idx")]
     rest = got.select(["__id", *carry]).to_pandas()
+    idx, size = _flat(got.column("__idx"), np.uint32)
+    val = _flat(got.column("__val"), np.float16)[0].astype(np.float32)
     del got
     K.give_back()
     return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, np.broadcast_to(np.float32(1), len(idx)) if spec.presence else val, len(size)), rest
 
 
+def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column of bytes holds, one cell after another, without a copy; and how many each has."""
+    cells = column.combine_chunks()
+    cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) and cells.num_chunks else cells
+    if not len(cells):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    at = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    data = cells.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
+    return flat, np.diff(at) // np.dtype(kind).itemsize
+
+
 def pick(x: Sparse, mask: np.ndarray) -> Sparse:
     """The rows where mask holds, renumbered."""
     on = mask[x.rows]
@@ -272,7 +283,7 @@ def fit_binary(x: Sparse, y: np.ndarray, dim: int, l2: float = 1e-3, steps: int
     size, idx = np.diff(bound), idx.astype(np.intp)
 
     def f(p):
-        z = K.range_sums(x.val * p[:-1][idx], bound[:-1], bound[1:]) + p[-1]
+        z = K.row_sums(x.val * p[:-1][idx], bound) + p[-1]
         loss = weight @ (np.logaddexp(0, z) - y * z) / total + 0.5 * l2 * (p[:-1] @ p[:-1])
         r = weight * (sigmoid(z) - y) / total
         return loss, np.append(np.bincount(idx, x.val * np.repeat(r, size), minlength=len(used)) + l2 * p[:-1], r.sum())

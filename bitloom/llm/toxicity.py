@@ -68,6 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, p: Para
     L.both_classes(rows, "toxicity")
     m = train(x, rows["__y"].to_numpy(float), p)
     m.bias += L.prior_shift(rows)
+    del x
+    K.give_back()
     return m
 
 
