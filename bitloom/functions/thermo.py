@@ -5,6 +5,9 @@ A bit is 1 where ``x >= threshold``; null and NaN give 0 (Spark orders NaN above
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +18,16 @@ def probabilities(k: int) -> list[float]:
     return [(i + 1) / (k + 1) for i in range(k)]
 
 
+def places(probs: list[float], n: int) -> list[tuple[int, float]]:
+    """Where the quantiles of n values in order lie: a place and the share of the way to the next."""
+    return [(int(p * (n - 1)), p * (n - 1) % 1) for p in probs]
+
+
+def between(ordered: Sequence[float], place: int, share: float) -> float:
+    """The quantile there, rounded as DuckDB's quantile_cont does (one multiply-add), so that equal values tie alike."""
+    return math.fma(ordered[place], 1 - share, ordered[place + 1] * share) if share else ordered[place]
+
+
 def bits(x: Column, thresholds: list[float]) -> Column:
     """array<tinyint> of x against literal thresholds; a plain projection, inside whole-stage codegen."""
     live = x.isNotNull() & ~F.isnan(x)

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 import struct
+from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitloom.functions.thermo import probabilities
+from bitloom.functions.thermo import between, places, probabilities
 from bitloom.streaming.steps import Markers, early_rate
 
 
@@ -298,18 +301,48 @@ class ChartedSchema(WarmSchema):
         return out
 
 
+class Ordered:
+    """Values kept in order, 8 bytes each, in blocks: one is added within its block, which is halved when it is ``most`` long."""
+
+    def __init__(self, most: int = 4096):
+        self.most, self.blocks, self.tops, self.ends = most, [], [], None
+
+    def __len__(self) -> int:
+        return sum(map(len, self.blocks))
+
+    def __getitem__(self, place: int) -> float:
+        if self.ends is None:
+            self.ends = list(accumulate(map(len, self.blocks)))
+        i = bisect_right(self.ends, place)
+        return self.blocks[i][place - self.ends[i]]
+
+    def append(self, x: float) -> None:
+        self.ends = None
+        if not self.blocks:
+            self.blocks, self.tops = [array("d")], [x]
+        i = min(bisect_left(self.tops, x), len(self.tops) - 1)
+        block = self.blocks[i]
+        insort(block, x)
+        self.tops[i] = block[-1]
+        if len(block) >= self.most:
+            half = len(block) // 2
+            self.blocks[i : i + 1] = block[:half], block[half:]
+            self.tops[i : i + 1] = block[half - 1], block[-1]
+
+
 class ReservoirQuantiles:
     """Quantiles of a seeded uniform sample of ``size`` of all values seen (Vitter's algorithm R), found anew every ``every``
-    values; exact while no more than ``size`` were seen. Emits, then moves; zeros until the first time."""
+    values; exact while no more than ``size`` were seen, and always if it is None: all values are kept then, 8 bytes each.
+    Emits, then moves; zeros until the first time."""
 
-    def __init__(self, probs: list[float] | None = None, size: int = 4096, every: int = 100, seed: int = 1):
+    def __init__(self, probs: list[float] | None = None, size: int | None = 4096, every: int = 100, seed: int = 1):
         self.probs, self.size, self.every = list(probs or probabilities(8)), size, every
-        self.rng, self.kept, self.n, self.at = np.random.default_rng(seed), [], 0, None
+        self.rng, self.kept, self.n, self.at = np.random.default_rng(seed), Ordered() if size is None else [], 0, None
 
     def step(self, x: float) -> list[int]:
         out = [0] * len(self.probs) if self.at is None else [int(x >= t) for t in self.at]
         self.n += 1
-        if len(self.kept) < self.size:
+        if self.size is None or len(self.kept) < self.size:
             self.kept.append(x)
         else:
             place = int(self.rng.integers(self.n))
@@ -320,7 +353,8 @@ class ReservoirQuantiles:
         return out
 
     def refit(self) -> None:
-        self.at = np.quantile(self.kept, self.probs).tolist()
+        ordered = self.kept if self.size is None else sorted(self.kept)
+        self.at = [between(ordered, *at) for at in places(self.probs, len(ordered))]
 
 
 class WindowQuantiles:
