@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.functions.thermo import probabilities
+from bitloom.functions.thermo import between, places, probabilities
 
 
 def early_rate(rate: float, t: int) -> float:
@@ -150,19 +150,16 @@ class RecentQuantiles:
     """Bits against the exact quantiles of the ``window`` values before (thresholds 0 at first), kept in order."""
 
     def __init__(self, k: int = 8, window: int = 500):
-        self.probs, self.window, self.sorted, self.line = probabilities(k), window, [], deque()
+        self.probs, self.window, self.sorted, self.line, self.places = probabilities(k), window, [], deque(), []
 
     def step(self, x: float) -> list[int]:
-        out, n = [], len(self.sorted) - 1
-        for p in self.probs:
-            place = p * n
-            low = int(place) if n >= 0 else 0
-            a, b = (self.sorted[low], self.sorted[min(low + 1, n)]) if n >= 0 else (0.0, 0.0)
-            out.append(int(x >= a + (b - a) * (place - low if n >= 0 else 0)))
+        out = [int(x >= between(self.sorted, *at)) for at in self.places] or [int(x >= 0)] * len(self.probs)
         self.line.append(x)
         insort(self.sorted, x)
         if len(self.line) > self.window:
             del self.sorted[bisect_left(self.sorted, self.line.popleft())]
+        else:
+            self.places = places(self.probs, len(self.sorted))
         return out
 
 
