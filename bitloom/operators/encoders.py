@@ -57,8 +57,13 @@ class Model:
 def uniform(df: DataFrame, features: list[str], k: int = 8, least: float = 1e-6) -> Model:
     """k even thresholds strictly inside the range (a constant column counts as ``least`` wide)."""
     s = P.moments(df, features)
-    step = {f: max(s[f]["hi"] - s[f]["lo"], least) / (k + 1) for f in features}
-    return Model({f: np.linspace(s[f]["lo"] + step[f], s[f]["hi"] - step[f], k).tolist() for f in features})
+
+    def even(lo: float, hi: float) -> list[float]:
+        if hi - lo >= least:  # in the SQL's order of operations, so that values tie with thresholds alike
+            return [lo + (hi - lo) * i / (k + 1) for i in range(1, k + 1)]
+        return np.linspace(lo + least / (k + 1), hi - least / (k + 1), k).tolist()
+
+    return Model({f: even(s[f]["lo"], s[f]["hi"]) for f in features})
 
 
 def quantile(df: DataFrame, features: list[str], k: int = 8) -> Model:
