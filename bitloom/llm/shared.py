@@ -82,6 +82,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and return what their heaps have grown by to the system, which by themselves they hardly do:
+    a task a core, each a full collection of its own JVM. For the beginning of a stage that follows others."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def fold(column: str, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -10,10 +10,13 @@ their names, pass through all stages but the last; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm import bpe, cotraining, mixing, partenum, toxicity
-from bitloom.llm.shared import table, written
+from bitloom.llm.shared import give_back, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", tokens)]
+def _afresh(stage: Callable) -> Callable:
+    """The stage, begun on executors that have given back what the stages before took: heaps that only grow add up."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _afresh(stage)) for name, stage in (("quality", quality), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", tokens))]
 
 #: Classifiers are no SQL: ``tests/llm/test_pipeline.py`` holds each stage against brute force or its operator's verdicts.
 ORACLE_SQL = None

@@ -95,3 +95,15 @@ def test_tokens_equal_the_library(stages):
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert rows(out) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_begin_on_executors_that_gave_memory_back(spark, name, stage):
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = full_collections()  # in local mode the executor is the driver's JVM
+    with pytest.raises(AttributeError):  # without a table no stage goes on
+        stage(spark, None, DATA)
+    assert full_collections() > before
