@@ -187,6 +187,12 @@ def both_classes(rows: pd.DataFrame, what: str) -> bool:
 
 def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, pd.DataFrame]:
     """The sample's features, made on the executors and brought to the driver (bounded by the sample's bound)."""
+    idx, val, size, rest = gathered(rows, spec, carry)
+    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, val, len(size)), rest
+
+
+def gathered(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """What ``gather`` brings, with the number of entries of each row in place of every entry's row: buckets, values, numbers, the rest."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
@@ -201,25 +207,41 @@ def gather(rows: DataFrame, spec: Features, carry: list[str]) -> tuple[Sparse, p
                 )
 
     schema = ", ".join(["__id long", *(f"{c} {kinds[c]}" for c in carry), "__idx binary", "__val binary"])
-    got = rows.mapInArrow(run, schema).toArrow().sort_by("__id")
-    rest = got.select(["__id", *carry]).to_pandas()
-    idx, size = _flat(got.column("__idx"), np.uint32)
-    val = _flat(got.column("__val"), np.float16)[0].astype(np.float32)
+    got = rows.mapInArrow(run, schema).toArrow()
+    order = np.argsort(got.column("__id").to_numpy(), kind="stable")
+    rest = got.select(["__id", *carry]).take(order).to_pandas()
+    batches = got.select(["__idx", "__val"]).to_batches()
     del got
+    (idx, size), (val, _) = _flat(batches, [np.uint32, np.float16], order)
     K.give_back()
-    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), idx, np.broadcast_to(np.float32(1), len(idx)) if spec.presence else val, len(size)), rest
-
-
-def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers that a column of bytes holds, one cell after another, without a copy; and how many each has."""
-    cells = column.combine_chunks()
-    cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) and cells.num_chunks else cells
-    if not len(cells):
-        return np.zeros(0, kind), np.zeros(0, np.int64)
-    at = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
-    data = cells.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
-    return flat, np.diff(at) // np.dtype(kind).itemsize
+    rows.sparkSession._jvm.System.gc()  # the driver's heap gives back what the results took on their way, before a fit takes its own
+    return idx, np.broadcast_to(np.float32(1), len(idx)) if spec.presence else val.astype(np.float32), size, rest
+
+
+def _flat(batches: list[pa.RecordBatch], kinds: list, order: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The numbers that columns of bytes hold, one cell after another in the order given; and how many each has. The list is
+    emptied: a batch goes when it is copied, so that the whole is hardly ever there twice."""
+
+    def offsets(column: pa.Array) -> np.ndarray:
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+
+    sizes = [np.concatenate([np.zeros(0, np.int64), *(np.diff(offsets(b.column(k))) for b in batches)]) for k in range(len(kinds))]
+    flats, places = [np.empty(n.sum() // np.dtype(kind).itemsize, kind) for n, kind in zip(sizes, kinds, strict=True)], [np.empty_like(n) for n in sizes]
+    for n, place in zip(sizes, places, strict=True):
+        place[order] = np.cumsum(n[order]) - n[order]
+    first = 0
+    while batches:
+        batch = batches.pop(0)
+        for k, flat in enumerate(flats):
+            at, out = offsets(batch.column(k)).tolist(), flat.view(np.uint8)
+            data = batch.column(k).buffers()[2]
+            data = np.zeros(0, np.uint8) if data is None or not data.size else np.frombuffer(data, np.uint8)
+            for a, b, to in zip(at[:-1], at[1:], places[k][first : first + batch.num_rows].tolist(), strict=True):
+                out[to : to + b - a] = data[a:b]
+        first += batch.num_rows
+        del batch, data
+    return [(flat, n[order] // np.dtype(kind).itemsize) for flat, n, kind in zip(flats, sizes, kinds, strict=True)]
 
 
 def pick(x: Sparse, mask: np.ndarray) -> Sparse:

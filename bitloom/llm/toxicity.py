@@ -43,30 +43,57 @@ class Model:
     bias: float
 
 
-def train(x: L.Sparse, y: np.ndarray, p: Params) -> Model:
+def pieces(size: np.ndarray):
+    """(first row, end, first entry, end) of rows with about ``L.PIECE`` entries together, in turn."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        start = int(ends[a] - size[a])
+        b = max(a + 1, int(np.searchsorted(ends, start + L.PIECE, "right")))
+        yield a, b, start, int(ends[b - 1])
+        a = b
+
+
+def select(idx: np.ndarray, size: np.ndarray, y: np.ndarray, p: Params) -> tuple[L.Sparse, np.ndarray]:
+    """The entries of the n-grams that tell the classes apart, scaled, and every bucket's scale (0: left out). idx has the
+    rows' entries one row after another, size how many each has; piece by piece, since a few numbers for every entry at
+    once are several times what the entries take."""
     dim = 1 << p.features.bits
-    if len(set(y)) < 2:
-        return Model(np.zeros(dim, np.float32), -1e9)
     toxic = y > 0.5
-    on = np.bincount(x.idx[toxic[x.rows]], minlength=dim)
-    off = np.bincount(x.idx, minlength=dim) - on
-    a = p.smoothing
-    ratio = np.log((on + a) / (toxic.sum() + 2 * a)) - np.log((off + a) / ((~toxic).sum() + 2 * a))
-    ratio[(on + off < p.min_rows) | (np.abs(ratio) < p.least_z * np.sqrt(1 / (on + a) + 1 / (off + a)))] = 0
-    live = ratio[x.idx] != 0
-    rows, idx = x.rows[live], x.idx[live]
-    scaled = L.Sparse(rows, idx, ratio[idx].astype(np.float32), x.n)
-    del x, live
-    w, b = L.fit_binary(scaled, y, dim, p.l2, steps=80, weight=np.where(toxic, max(1.0, np.sqrt((~toxic).sum() / toxic.sum())), 1.0))
+    on, both = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
+    for a, b, i, j in pieces(size):
+        both += np.bincount(idx[i:j], minlength=dim)
+        on += np.bincount(idx[i:j][np.repeat(toxic[a:b], size[a:b])], minlength=dim)
+    off = both - on
+    s = p.smoothing
+    ratio = np.log((on + s) / (toxic.sum() + 2 * s)) - np.log((off + s) / ((~toxic).sum() + 2 * s))
+    ratio[(both < p.min_rows) | (np.abs(ratio) < p.least_z * np.sqrt(1 / (on + s) + 1 / (off + s)))] = 0
+    keep, rows, kept = ratio != 0, [np.zeros(0, np.int32)], [idx[:0]]
+    for a, b, i, j in pieces(size):
+        live = keep[idx[i:j]]
+        rows.append(np.repeat(np.arange(a, b, dtype=np.int32), size[a:b])[live])
+        kept.append(idx[i:j][live])
+    rows, kept = np.concatenate(rows), np.concatenate(kept)
+    return L.Sparse(rows, kept, ratio.astype(np.float32)[kept], len(size)), ratio
+
+
+def train(x: L.Sparse, ratio: np.ndarray, y: np.ndarray, p: Params) -> Model:
+    """x, ratio: as ``select`` gives them, of rows of two classes."""
+    toxic = y > 0.5
+    w, b = L.fit_binary(x, y, len(ratio), p.l2, steps=80, weight=np.where(toxic, max(1.0, np.sqrt((~toxic).sum() / toxic.sum())), 1.0))
     return Model((w * ratio).astype(np.float32), b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, p: Params = Params()) -> Model:
     """learn: a condition on doc_id, which documents may be learnt from (all, if none is given)."""
     labels = labels if learn is None else labels.where(learn)
-    x, rows = L.gather(L.sample(docs, L.labelled(labels, "toxic"), p.rows, p.chars, [], p.features.bits), p.features, ["__y", "__size"])
-    L.both_classes(rows, "toxicity")
-    m = train(x, rows["__y"].to_numpy(float), p)
+    idx, _, size, rows = L.gathered(L.sample(docs, L.labelled(labels, "toxic"), p.rows, p.chars, [], p.features.bits), p.features, ["__y", "__size"])
+    if not L.both_classes(rows, "toxicity"):
+        return Model(np.zeros(1 << p.features.bits, np.float32), -1e9)
+    y = rows["__y"].to_numpy(float)
+    x, ratio = select(idx, size, y, p)
+    del idx  # all entries go before the steps
+    K.give_back()
+    m = train(x, ratio, y, p)
     m.bias += L.prior_shift(rows)
     del x
     K.give_back()
